@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyquarry.llm import chat, classifier, quality_rules, url_filter
+from skyquarry.llm import bpe, chat, classifier, packing, quality_rules, url_filter
 
 
 def _urls(spark, sf_dir):
@@ -12,8 +12,10 @@ def _urls(spark, sf_dir):
 
 def queries():
     return {
+        "op1_packing": packing.query,
         "op2_chat_formatting": chat.query,
         "op5_quality_rules": quality_rules.query,
+        "op6_bpe": bpe.query,
         "op8_quality_classifier": classifier.query,
         "op10_url_filters": _urls,
     }
