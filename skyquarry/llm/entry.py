@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyquarry.llm import bpe, chat, classifier, packing, quality_rules, url_filter
+from skyquarry.llm import bpe, chat, classifier, packing, quality_rules, setsketch, url_filter
 
 
 def _urls(spark, sf_dir):
@@ -17,6 +17,7 @@ def queries():
         "op5_quality_rules": quality_rules.query,
         "op6_bpe": bpe.query,
         "op8_quality_classifier": classifier.query,
+        "op9_setsketch": setsketch.query,
         "op10_url_filters": _urls,
     }
 

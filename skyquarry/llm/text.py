@@ -8,6 +8,7 @@ UTF-8 sequence, so byte positions are exact.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -39,9 +40,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder."""
+    """Cuts the lineage by a reliable checkpoint in the shared folder; shuffle files that only led there can then go."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
