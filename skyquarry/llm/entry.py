@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyquarry.llm import bpe, chat, classifier, packing, quality_rules, setsketch, spotsigs, url_filter
+from skyquarry.llm import bpe, chat, classifier, packing, quality_rules, setsketch, spotsigs, suffix_dedup, url_filter
 
 
 def _urls(spark, sf_dir):
@@ -14,6 +14,7 @@ def queries():
     return {
         "op1_packing": packing.query,
         "op2_chat_formatting": chat.query,
+        "op3_suffix_dedup": suffix_dedup.query,
         "op4_spotsigs": spotsigs.query,
         "op5_quality_rules": quality_rules.query,
         "op6_bpe": bpe.query,
