@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyquarry.llm import bpe, chat, classifier, packing, quality_rules, setsketch, spotsigs, suffix_dedup, url_filter
+from skyquarry.llm import bpe, chaining, chat, classifier, packing, quality_rules, setsketch, spotsigs, suffix_dedup, url_filter
 
 
 def _urls(spark, sf_dir):
@@ -18,6 +18,7 @@ def queries():
         "op4_spotsigs": spotsigs.query,
         "op5_quality_rules": quality_rules.query,
         "op6_bpe": bpe.query,
+        "op7_chaining": chaining.query,
         "op8_quality_classifier": classifier.query,
         "op9_setsketch": setsketch.query,
         "op10_url_filters": _urls,
