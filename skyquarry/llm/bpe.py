@@ -18,8 +18,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from skyquarry.llm.packing import byte_characters, vocabulary
+from skyquarry.llm.packing import byte_characters, unsettled, vocabulary
 
 
 class Memory(dict):
@@ -66,6 +67,9 @@ class WordBpe:
         self.inner, self.final = self.joined()
         self.fast = self.quick() if consistent else None
         self.known = Memory(self.encode_word, most)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
 
     def symbols(self, token: str) -> list[str]:
         """The single symbols of a token; the last one carries the word end if the token does."""
@@ -158,6 +162,9 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; special tokens' strings become their ids."""
+        if unsettled(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         if not any(s in text for s in self.special):
             return b"".join(map(self.known.__getitem__, self.words(self.normalize(text))))
         return b"".join(struct.pack("<I", self.special[p]) if p in self.special else self.encode(p) for p in self.split(text) if p)

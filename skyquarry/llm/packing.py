@@ -41,6 +41,15 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Fixed value: outside these ranges, Unicode versions may differ between libraries on what is a letter.
+_UNSETTLED = re.compile("[^\x00-\u024f\u0370-\u052f\u2000-\u206f\u20a0-\u20bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
+
+
+def unsettled(text: str) -> bool:
+    """Does the text hold characters that only the tokenizer's own library can be trusted to class?"""
+    return not text.isascii() and _UNSETTLED.search(text) is not None
+
+
 class ByteBpe:
     """Ids as the tokenizers library gives them for a byte-level BPE file, by the faster tiktoken where the file allows."""
 
@@ -60,6 +69,11 @@ class ByteBpe:
         fit = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         fit = fit and None not in made and made == sorted(made) and not model.get("ignore_merges") and not model.get("end_of_word_suffix")
         fit = fit and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"])
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
         if fit:
             #: Fixed value: the published pattern of this kind of pre-tokenizer.
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -68,17 +82,14 @@ class ByteBpe:
             plain = encoding.encode_ordinary
 
             def encode(text: str) -> list[int]:
+                if unsettled(text):
+                    return library.encode(text, add_special_tokens=False).ids
                 if split is None or not any(x in text for x in self.special):
                     return plain(text)
                 return [i for part in split.split(text) for i in ([self.special[part]] if part in self.special else plain(part))]
 
             self.encode: Callable[[str], list[int]] = encode
         else:
-            from tokenizers import Tokenizer
-
-            library = Tokenizer.from_file(path)
-            library.no_truncation()
-            library.no_padding()
             self.encode = lambda text: library.encode(text, add_special_tokens=False).ids
 
     def sentence_ends(self) -> np.ndarray:
