@@ -32,8 +32,8 @@ class Settings:
     length: int = 200
     seed: int = 64
     #: Anchors, and suffixes, that a task holds before it passes them on.
-    hold: int = 1 << 21
-    hold_suffixes: int = 1 << 17
+    hold: int = 1 << 19
+    hold_suffixes: int = 1 << 15
 
 
 _PLACE_BITS = 24
@@ -153,11 +153,10 @@ def _suffix_runs(batches: Iterable[pa.RecordBatch], s: Settings, targets: int) -
     """(target, run, m1, m2, begin, stop): front-coded runs, and intervals of suffixes that occur twice in this task, context and all."""
     width, left = s.length, s.length - s.seed
     seen: set[tuple[int, int]] = set()
-    rights, lefts, info, held = [], [], [], 0
+    both, info, held = [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        right, before, meta = np.concatenate(rights), np.concatenate(lefts), np.concatenate(info)
-        rows = np.ascontiguousarray(np.concatenate([right, before], axis=1))
+        rows, meta = np.concatenate(both), np.concatenate(info)
         order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
         rows, meta = rows[order], meta[order]
         new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
@@ -210,13 +209,12 @@ def _suffix_runs(batches: Iterable[pa.RecordBatch], s: Settings, targets: int) -
                 columns = np.arange(left)[None, :]
                 before = padded[left + place[:, None] - 1 - columns]
                 before[columns >= back[:, None]] = 0
-                rights.append(right)
-                lefts.append(before)
+                both.append(np.concatenate([right, before], axis=1))
                 info.append(np.column_stack([np.full(len(place), mark[0]), np.full(len(place), mark[1]), place, back, ahead]).astype(np.int64))
                 held += len(place)
                 if held >= s.hold_suffixes:
                     yield from flush()
-                    rights, lefts, info, held = [], [], [], 0
+                    both, info, held = [], [], 0
     if held:
         yield from flush()
 
