@@ -116,7 +116,7 @@ class Texts:
         return mix((prefix[ends] - prefix[starts]) * powers(n + 1, _INVERSE)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def as_texts(column: pa.Array, chunk_bytes: int = 1 << 21) -> Iterator[tuple[int, int, Texts]]:
+def as_texts(column: pa.Array, chunk_bytes: int = 1 << 19) -> Iterator[tuple[int, int, Texts]]:
     """(first row, row after the last, texts): slices of at most chunk_bytes, or one text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
