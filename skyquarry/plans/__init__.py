@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from skyquarry.plans import raster  # noqa: F401
+from skyquarry.plans import catalog, raster  # noqa: F401
 from skyquarry.plans.registry import SQL, runnable  # noqa: F401
