@@ -75,7 +75,7 @@ def search_projects(projects: DataFrame, tasks: DataFrame, owners: DataFrame, te
 
 def split_list(text: Column) -> Column:
     """Trimmed entries of a comma list, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def with_assets(tasks: DataFrame, wanted: str) -> DataFrame:

@@ -47,7 +47,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "o_orderkey % 8 = 0 AS public",
             "o_orderdate AS created_at",
             "o_totalprice AS size",
-            "CAST(o_totalprice * 100 AS BIGINT) - 1 AS processing_time",
+            "CAST(floor(o_totalprice * 100) AS BIGINT) - 1 AS processing_time",
             "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'orthophoto.tif,dsm.tif,georeferenced_model.laz' WHEN '2' THEN 'orthophoto.tif,dtm.tif'"
             " WHEN '3' THEN 'dsm.tif, dtm.tif,georeferenced_model.laz' WHEN '4' THEN 'georeferenced_model.laz' ELSE '' END AS assets",
             "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'urgent d .hidden' WHEN '2' THEN 'high e' WHEN '3' THEN ' d  e ' ELSE '' END AS tags",
@@ -107,6 +107,8 @@ def with_views(sql: str) -> str:
         return sql
     parts = ", ".join(f"{v} AS (SELECT {', '.join(VIEWS[v][1])} FROM {VIEWS[v][0]})" for v in used)
     own = sql.lstrip()
+    if own[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {parts}, {own[14:]}"
     return f"WITH {parts}, {own[5:]}" if own[:5].upper() == "WITH " else f"WITH {parts} {own}"
 
 
