@@ -66,12 +66,12 @@ def accepted_range(asked: tuple[float, float] | None, own: tuple[float, float] |
 def rescale(v: Column, lo: float | Column, hi: float | Column) -> Column:
     """[lo, hi] to [0, 255], clipped."""
     lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
-    return divide((F.greatest(F.least(v, hi), lo) - lo) * F.lit(255.0), hi - lo)
+    return F.when(v.isNotNull(), divide((F.greatest(F.least(v, hi), lo) - lo) * F.lit(255.0), hi - lo))
 
 
 def to_byte(v: Column) -> Column:
     """Truncated to 0..255."""
-    return F.floor(F.greatest(F.least(v, F.lit(255.0)), F.lit(0.0))).cast("int")
+    return F.when(v.isNotNull(), F.floor(F.greatest(F.least(v, F.lit(255.0)), F.lit(0.0))).cast("int"))
 
 
 def on_white(v: Column, mask: Column) -> Column:
