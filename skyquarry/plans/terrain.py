@@ -115,7 +115,7 @@ def _(t):
 
 @query("r08_contour_lines")
 def _(t):
-    return te.contour_lines(te.contour_segments(t.dem, 100.0), shortest=10.0).select(F.round("level", 5).alias("level"), F.round("length", 4).alias("length"), F.size("points").alias("n"))
+    return te.contour_lines(te.contour_segments(t.dem, 100.0), shortest=1.0).select(F.round("level", 5).alias("level"), F.round("length", 4).alias("length"), F.size("points").alias("n"))
 
 
 @query(
