@@ -26,4 +26,9 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_chat_formatting": chat.ORACLE, "op10_url_filters": url_filter.ORACLE}
+    return {
+        "op2_chat_formatting": chat.ORACLE,
+        "op3_suffix_dedup": suffix_dedup.ORACLE,
+        "op9_setsketch": setsketch.ORACLE,
+        "op10_url_filters": url_filter.ORACLE,
+    }
