@@ -84,7 +84,7 @@ def _(t):
 
 @query("t11_throttled")
 def _(t):
-    return li.throttled(t.life, 2.0).select("task_id", "event_id")
+    return li.throttled(t.life, 6 * 3600.0).select("task_id", "event_id")
 
 
 @query("t12_signals", "SELECT kind, count(*) AS n, count(DISTINCT task_id) AS tasks FROM life GROUP BY 1")
