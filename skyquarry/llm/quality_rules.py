@@ -121,7 +121,12 @@ def _measured(column) -> dict[str, np.ndarray]:
 
 
 def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, base counts and base_failed, and for each signal the number of cutoffs that it exceeds."""
+    """doc_id, stratum, base counts and base_failed, and for each signal the number of cutoffs that it exceeds, of every row.
+
+    Null, empty and wordless texts: all counts 0, base_failed.  A null stratum, or no
+    such column: the empty one.  Ties and repeated rows are measured one by one;
+    other columns are not looked at.
+    """
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

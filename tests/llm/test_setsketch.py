@@ -87,7 +87,7 @@ def test_registers_merge_and_estimate():
 
 def test_connected_components(spark):
     rng = random.Random(2)
-    edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (200, None), (None, 1)]
+    edges = [(i, i + 1) for i in range(100, 140)] + [(70, i) for i in range(71, 90)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (200, None), (None, 1)]
     got = dict(map(tuple, graph.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()))
     parent = {v: v for e in edges if None not in e for v in e}
     for _ in range(200):
