@@ -158,16 +158,20 @@ def _(t):
     return _pour(t)
 
 
+def _basin(t):
+    """The pour point's watershed; nothing where no water flows."""
+    at = _pour(t).first()
+    return te.watershed(te.d8_pointer(t.dem), at["x"], at["y"]) if at else t.dem.where("false").select("x", "y")
+
+
 @query("r10_watershed")
 def _(t):
-    at = _pour(t).first()
-    return te.watershed(te.d8_pointer(t.dem), at["x"], at["y"])
+    return _basin(t)
 
 
 @query("a17_watershed_area", f"WITH RECURSIVE {_FLOW}, w AS (SELECT x AS sx, y AS sy, x, y FROM f UNION ALL SELECT w.sx, w.sy, f.tx, f.ty FROM w JOIN f ON f.x = w.x AND f.y = w.y WHERE f.tx <> f.x OR f.ty <> f.y), a AS (SELECT x, y, count(*) AS cells FROM w GROUP BY 1, 2) SELECT cells * 0.25::DOUBLE AS area FROM a WHERE x BETWEEN 40 AND 60 AND y BETWEEN 40 AND 60 ORDER BY cells DESC, y, x LIMIT 1")
 def _(t):
-    at = _pour(t).first()
-    return te.watershed(te.d8_pointer(t.dem), at["x"], at["y"]).agg((F.count(F.lit(1)) * F.lit(0.25)).alias("area"))
+    return _basin(t).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select((F.col("n") * F.lit(0.25)).alias("area"))
 
 
 @query("a18_windowed_argmax", "SELECT x, y, z FROM dem WHERE x BETWEEN 20 AND 80 AND y BETWEEN 20 AND 80 AND z IS NOT NULL ORDER BY z DESC, y, x LIMIT 1")

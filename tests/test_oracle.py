@@ -10,6 +10,11 @@ from skyquarry import plans
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
