@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  #
     nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", "least", "one", "n", "bands"))  # numbers are fixed by the checkpoint
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
-    members = checkpointed(members.join(buckets.select("bucket", "centre"), "bucket"))
+    members = checkpointed(members.join(buckets.select("bucket", "centre"), "bucket"), large=True)
     clusters = connected_components(members.where("centre <> node").select("node", "centre").distinct(), "node", "centre")
     clusters = checkpointed(clusters.withColumnRenamed("component", "cluster"))
     needed = clusters.join(nodes.select("node", "one", "n"), "node")
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  #
         inside = clusters.join(large.select("cluster"), "cluster", "left_semi")
         labels = labels.union(_by_rounds(members.select("bucket", "node").join(inside.select("node"), "node", "left_semi"), texts.where(F.col("size") > s.most), s))
     named = nodes.select("node", "set_key", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = checkpointed(named)
+    named = checkpointed(named, large=True)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("set_key", "component_id")
     out = sketched.join(named, "set_key", "left")

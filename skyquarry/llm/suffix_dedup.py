@@ -412,7 +412,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), digest: bool = Fal
     the bytes but their SHA-256, of every row.  Null text: empty, nothing to
     remove.  Equal or null doc_id play no part; other columns are not looked at.
     """
-    spans = checkpointed(repeated_spans(docs, s))
+    spans = checkpointed(repeated_spans(docs, s), large=True)
     marked = _marked(docs)
     by_text = spans.groupBy("m1", "m2").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
     texts = marked.select("m1", "m2", "text").mapInArrow(_distinct, "m1 bigint, m2 bigint, text string").repartition("m1", "m2")

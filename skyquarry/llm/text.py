@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +40,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found or context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder; shuffle files that only led there can then go."""
-    checkpoint_dir(df.sparkSession)
+def checkpointed(df: DataFrame, large: bool = False) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint in the shared folder.
+
+    large: also lets go of the shuffle files that led there.  Spark removes them once
+    the plan is collected, first here and then in the JVM, which takes two rounds.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df
+    for _ in range(2 * large):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return out
 
 
