@@ -264,6 +264,41 @@ def _extension(same: np.ndarray) -> tuple[int, int]:
     return best + 1, int((~same[: best + 1]).sum())
 
 
+def _parts(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, edits: np.ndarray, s: Settings) -> list[tuple[int, int, int, int, int]]:
+    """The passages between any two matches of a row, with the words alike beyond them, that lie in no other one."""
+
+    def back(i: int) -> tuple[int, int]:
+        k = min(x[i], y[i])
+        return _extension((a[x[i] - k : x[i]] == b[y[i] - k : y[i]])[::-1])
+
+    def on(i: int) -> tuple[int, int]:
+        u, v = x[i] + s.words, y[i] + s.words
+        k = max(0, min(len(a) - u, len(b) - v))
+        return _extension(a[u : u + k] == b[v : v + k])
+
+    total = np.cumsum(edits)
+    before, after = np.array([back(0)]), np.array([on(len(x) - 1)])
+    out, done = [], -1
+    for whole in (True, False):  # mostly the row is one passage
+        n = 1 if whole else len(x)
+        firsts, lasts = np.arange(n), np.arange(len(x) - n, len(x))
+        if not whole:
+            before, after = np.array([back(i) for i in range(n)]), np.array([on(i) for i in range(n)])
+        a1, b1 = x[lasts] + s.words + after[:, 0], y[lasts] + s.words + after[:, 0]
+        for i in firsts.tolist():
+            a0, b0 = x[i] - before[i, 0], y[i] - before[i, 0]
+            wrong = total[lasts] - total[i] + before[i, 1] + after[:, 1]
+            longest = np.maximum(a1 - a0, b1 - b0)
+            good = (lasts >= i) & (np.minimum(a1 - a0, b1 - b0) >= s.least) & (longest - wrong >= s.alike * longest)
+            k = np.flatnonzero(good)
+            if len(k) and k[-1] > done:
+                done = int(k[-1])
+                out.append((int(a0), int(a1[done]), int(b0), int(b1[done]), int(wrong[done])))
+        if out:
+            break
+    return out
+
+
 def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, s: Settings) -> list[tuple[int, int, int, int, int]]:
     """(begin, stop in a, begin, stop in b, edits) of the passages along a chain of matches at x, y."""
     n = len(x)
@@ -286,17 +321,7 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, s: Setting
     breaks = np.flatnonzero(edits > 20)  # nothing alike between: passages of their own
     for stop in [*breaks.tolist(), n]:
         if stop > i:
-            first, last = i, stop - 1
-            k = min(x[first], y[first])
-            back, e0 = _extension((a[x[first] - k : x[first]] == b[y[first] - k : y[first]])[::-1])
-            u, v = x[last] + s.words, y[last] + s.words
-            k = max(0, min(len(a) - u, len(b) - v))
-            on, e1 = _extension(a[u : u + k] == b[v : v + k])
-            wrong_words = int(edits[first + 1 : last + 1].sum()) + e0 + e1
-            box = (int(x[first] - back), int(u + on), int(y[first] - back), int(v + on))
-            longest = max(box[1] - box[0], box[3] - box[2])
-            if min(box[1] - box[0], box[3] - box[2]) >= s.least and longest - wrong_words >= s.alike * longest:
-                out.append((*box, wrong_words))
+            out += _parts(a, b, x[i:stop], y[i:stop], edits[i:stop], s)
         i = stop
     return out
 

@@ -75,3 +75,26 @@ def test_alignment_through_gaps():
     y = np.array([int(np.flatnonzero(b == a[i])[0]) for i in x])
     [(a0, a1, b0, b1, edits)] = chaining.align(a, b, x, y, s)
     assert (a0, a1, b0, b1, edits) == (0, 120, 2, 123, 3)
+
+
+def test_alike_parts_of_a_chain_that_is_not_alike_as_a_whole():
+    s = chaining.Settings()
+    words = np.arange(1, 400, dtype=np.uint32)
+    for sizes in ((51, 16), (51, 28), (28, 51), (51, 51, 51)):
+        a, b, x, at = [], [], [], 0
+        for k, n in enumerate(sizes):
+            if k:
+                a.append(words[:20] + 1000 * k)
+                b.append(words[:20] + 1000 * k + 500)
+                at += 20
+            a.append(words[100 * k : 100 * k + n])
+            b.append(words[100 * k : 100 * k + n])
+            x += [at, at + n // 2, at + n - 5]
+            at += n
+        exact = np.concatenate([np.full(n, n >= 50) if j == 0 else np.zeros(20, bool) for n in sizes for j in (0, 1)])[:at]
+        for side in (0, 1):
+            found = np.zeros(at, bool)
+            for box in chaining.align(np.concatenate(a), np.concatenate(b), np.array(x), np.array(x), s):
+                found[box[2 * side] : box[2 * side + 1]] = True
+                assert box[1] - box[0] >= s.least and box[4] <= 0.2 * (box[1] - box[0])
+            assert found[exact].all()
