@@ -5,8 +5,7 @@ content words after it.  So that texts without common words (lists, tables, othe
 languages) have signatures too, content words of one hash class in two serve as
 anchors as well: that is decided word by word, so an edit changes signatures only
 near it.  A text's signatures form a set; its fingerprint is the
-set's size and its ``KEEP`` smallest hashes, so it is exact for sets up to that
-size and an unbiased sample of larger ones.  Fingerprints are compared by Jaccard
+set's size and all its hashes, so it is exact.  Fingerprints are compared by Jaccard
 similarity, pruned by size: sets whose sizes differ too much can't be alike.
 """
 
@@ -31,7 +30,6 @@ ANCHORS = (
     "el los las y se con no su al lo como más pero sus o"
 ).split()
 CHAIN = 2
-KEEP = 128
 #: Below so many signatures, pairs of neighbouring words and single words count too.
 FEW = 3
 
@@ -92,7 +90,7 @@ def signature_sets(texts: Texts) -> list[np.ndarray]:
 
 
 def fingerprint(signatures: np.ndarray) -> str:
-    return f"{len(signatures):x}:{signatures[:KEEP].astype('>u4').tobytes().hex()}"
+    return f"{len(signatures):x}:{signatures.astype('>u4').tobytes().hex()}"
 
 
 def parse(text: str) -> tuple[int, np.ndarray]:
@@ -110,9 +108,6 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], least: float
     both = np.concatenate([x, y])
     both.sort()
     twice = both[1:][both[1:] == both[:-1]]
-    if n > KEEP or m > KEEP:
-        distinct = np.unique(both)[:KEEP]
-        return float(np.count_nonzero(twice <= distinct[-1]) / len(distinct))
     return len(twice) / (n + m - len(twice))
 
 
@@ -183,7 +178,7 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         texts = [t for _, t in rows]
         edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:], strict=False)]
         sets = [x for _, _, t in as_texts(pa.array(texts + edited, pa.large_string())) for x in signature_sets(t)]
-        marks = [(len(x), x[:KEEP]) for x in sets]
+        marks = [(len(x), x) for x in sets]
         own, made, n = marks[: len(texts)], marks[len(texts) :], len(edited)
         return pa.RecordBatch.from_arrays(
             [

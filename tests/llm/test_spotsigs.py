@@ -49,3 +49,27 @@ def test_likeness_of_an_edit():
     true = len(set(a) & set(b)) / len(set(a) | set(b))
     assert true > 0.9 and abs(likeness(spotsigs.fingerprint(a), spotsigs.fingerprint(b)) - true) < 0.1
     assert spotsigs.likeness((10, a[:10]), (100, a[:100]), least=0.8) == 0.0
+
+
+def test_likeness_of_long_texts_is_exact(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = [" ".join(words), " ".join([*words[:700], "edited", *words[701:]]), " ".join([*words[:30], *(f"v{k}" for k in range(1400))])]
+    docs = spark.createDataFrame([(3 - k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    r = {x.doc_id: x for x in spotsigs.compare_with_next(docs, 2).collect()}
+    a, b, c = (set(spotsigs.signature_sets(t)[0].tolist()) for t in map(_one, texts))
+    assert min(len(a), len(b), len(c)) > 300 and a != b and a & c
+    assert r[3].near_next == len(a & b) / len(a | b) < 1 and r[1].near_next == len(a & c) / len(a | c) > 0
+    assert len({x.fingerprint for x in r.values()}) == 3
+    assert set(spotsigs.parse(r[3].fingerprint)[1].tolist()) == a
+    made = set(spotsigs.signature_sets(_one(r[3].edited))[0].tolist())
+    assert r[3].near_edited == len(a & made) / len(a | made)
+
+
+def _one(text):
+    from skyquarry.llm.text import as_texts
+    import pyarrow as pa
+
+    return next(t for _, _, t in as_texts(pa.array([text])))
