@@ -293,17 +293,20 @@ def snap(accumulated: DataFrame, px: int, py: int, radius: int) -> DataFrame:
     return best.where("m.cells > 1").select((-F.col("m.nx")).alias("x"), (-F.col("m.ny")).alias("y"), F.col("m.cells").alias("cells"))
 
 
-def viewshed(dem: DataFrame, ox: int, oy: int, height: float = 1.7, radius: int = 30) -> DataFrame:
-    """(x, y, visible 255 or 0) of the cells within a radius of an observer.
+def viewshed(dem: DataFrame, ox: int, oy: int, height: float = 1.7, radius: int | None = None) -> DataFrame:
+    """(x, y, visible 255 or 0) of all cells, or of those within a radius of an observer.
 
     The line to a cell is sampled at its longer side's steps, nearest pixel; a cell
     is seen if no sample before it rises above the line.  Samples are rows joined to
     the grid by place, so nothing depends on one task holding the raster.
     """
-    near = dem.where(F.col("x").between(ox - radius, ox + radius) & F.col("y").between(oy - radius, oy + radius) & F.col("z").isNotNull())
+    near = dem.where(F.col("z").isNotNull())
+    if radius is not None:
+        near = near.where(F.col("x").between(ox - radius, ox + radius) & F.col("y").between(oy - radius, oy + radius))
     eye = near.where((F.col("x") == ox) & (F.col("y") == oy)).select((F.col("z") + F.lit(float(height))).alias("eye"))  # one row
     dx, dy = F.col("x") - ox, F.col("y") - oy
-    cells = near.where((dx * dx + dy * dy) <= radius * radius).withColumn("n", F.greatest(F.abs(dx), F.abs(dy)))
+    cells = near if radius is None else near.where((dx * dx + dy * dy) <= radius * radius)
+    cells = cells.withColumn("n", F.greatest(F.abs(dx), F.abs(dy)))
     steps = cells.where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("n") - 1).cast("int"))))
     sample = lambda o, d: (F.lit(o) + F.floor(d * F.col("k") / F.col("n") + 0.5)).cast("bigint")
     steps = steps.select("x", "y", "n", "k", sample(ox, dx).alias("sx"), sample(oy, dy).alias("sy"))

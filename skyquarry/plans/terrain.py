@@ -126,6 +126,18 @@ def _(t):
     r AS (SELECT s.x, s.y, max((d.z - eye) * s.n / k) AS rise FROM s JOIN dem d ON d.x = sx AND d.y = sy AND d.z IS NOT NULL, e GROUP BY ALL)
     SELECT c.x, c.y, CASE WHEN coalesce(c.z - eye >= rise, true) THEN 255 ELSE 0 END AS visible FROM c LEFT JOIN r ON c.x = r.x AND c.y = r.y, e""",
 )
+def _(t):
+    return te.viewshed(t.dem, 50, 50, radius=30)
+
+
+@query(
+    "r09_viewshed_whole",
+    """WITH e AS (SELECT z + 1.7 AS eye FROM dem WHERE x = 50 AND y = 50),
+    c AS (SELECT x, y, z, greatest(abs(x - 50), abs(y - 50)) AS n FROM dem WHERE z IS NOT NULL),
+    s AS (SELECT c.x, c.y, c.n, k, CAST(50 + floor((c.x - 50) * k / c.n + 0.5) AS BIGINT) AS sx, CAST(50 + floor((c.y - 50) * k / c.n + 0.5) AS BIGINT) AS sy FROM (SELECT *, unnest(range(1, n)) AS k FROM c) c),
+    r AS (SELECT s.x, s.y, max((d.z - eye) * s.n / k) AS rise FROM s JOIN dem d ON d.x = sx AND d.y = sy AND d.z IS NOT NULL, e GROUP BY ALL)
+    SELECT c.x, c.y, CASE WHEN coalesce(c.z - eye >= rise, true) THEN 255 ELSE 0 END AS visible FROM c LEFT JOIN r ON c.x = r.x AND c.y = r.y, e""",
+)
 def _(t):
     return te.viewshed(t.dem, 50, 50)
 

@@ -138,6 +138,14 @@ def test_viewshed_behind_a_wall(spark):
     assert seen[(4, 4)] == 255 and seen[(5, 4)] == 255 and seen[(7, 4)] == 0 and seen[(0, 0)] == 255
 
 
+def test_viewshed_reaches_every_cell(spark):
+    z = np.zeros((3, 80))
+    z[:, 60] = 10
+    seen = {(r.x, r.y): r.visible for r in terrain.viewshed(grid(spark, z), 2, 1).collect()}
+    assert len(seen) == 240 and seen[(59, 1)] == 255 and seen[(60, 1)] == 255 and seen[(79, 1)] == 0
+    assert {x for x, _ in ((r.x, r.y) for r in terrain.viewshed(grid(spark, z), 2, 1, radius=30).collect())} == set(range(33))
+
+
 @given(st.floats(0, 0.999), st.floats(0, 1), st.floats(0, 1))
 def test_units_invert(h, s, v):
     for u in units.UNITS:
