@@ -1,8 +1,10 @@
 """Substring dedup by collinear chaining: fuzzy passages that several texts share.
 
 Sampled word k-mers (the least hash of every few successive ones) are seeds.  An
-occurrence of a seed is matched with the seed's first text and with the one before
-it, never with all, so matches grow with the occurrences.  The matches of two texts
+occurrence of a seed is matched with the seed's first place, with the text before
+and with the place before in its own text, never with all, so matches grow with the
+occurrences.  Places of a text that are less than a passage apart count as one run,
+so what repeats with a shorter period is not a repeat of itself.  The matches of two texts
 are chained in order: a match adds its words and pays for the gap to the match
 before it; a Fenwick tree over the places in the second text finds the best one
 before.  The words around a chain are aligned between its matches and beyond its
@@ -57,15 +59,31 @@ def seeds(texts: Texts, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h[place], own[place], at[first[place]] - begin[own[place]]
 
 
-def _linked(h: np.ndarray, node: np.ndarray, pos: np.ndarray) -> tuple[tuple, tuple]:
-    """Of sorted occurrences: the first of each seed, and matches (a, b, place in a, place in b) with a > b."""
-    once = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])) if len(h) else np.zeros(0, bool)
-    h, node, pos = h[once], node[once], pos[once]
-    new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+def _linked(h: np.ndarray, node: np.ndarray, pos: np.ndarray, least: int) -> tuple[tuple, tuple]:
+    """Of sorted occurrences: the first of each seed, and matches (a, b, place in a, place in b) of later ones with earlier ones.
+
+    Places of one text that follow each other in less than ``least`` words would
+    overlap as passages: they form a run, in which nothing is matched.  Partners are
+    the seed's first place, a place in the text before and the place before in the
+    same text.
+    """
+    if not len(h):
+        return (h, node, pos), (node, node, pos, pos)
+    at = np.arange(len(h))
+    new = np.append(True, h[1:] != h[:-1])
+    text = new | np.append(True, node[1:] != node[:-1])
+    run = np.cumsum(text | np.append(True, pos[1:] - pos[:-1] >= least))
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    begin = np.flatnonzero(text)[np.cumsum(text) - 1]
     later = np.flatnonzero(~new)
-    far = later[head[later] != later - 1]
-    a, b = np.concatenate([later, far]), np.concatenate([head[later], far - 1])
+    second = at[begin > head]  # of the text before, the place of the same rank
+    last = begin[begin[second] - 1]
+    other = last + np.minimum(second - begin[second], begin[second] - last - 1)
+    far = other != head[second]
+    again = np.flatnonzero(~text & (at - 1 != head))
+    a, b = np.concatenate([later, second[far], again]), np.concatenate([head[later], other[far], again - 1])
+    apart = run[a] != run[b]
+    a, b = a[apart], b[apart]
     return (h[new], node[new], pos[new]), (node[a], node[b], pos[a], pos[b])
 
 
@@ -87,7 +105,7 @@ def _seed_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
     def flush() -> Iterator[pa.RecordBatch]:
         h, node, pos = (np.concatenate(x) for x in zip(*kept, strict=True))
         order = np.lexsort((pos, node, h))
-        (h, node, pos), found = _linked(h.view(np.int64)[order], node[order], pos[order])
+        (h, node, pos), found = _linked(h.view(np.int64)[order], node[order], pos[order], s.least)
         yield from _links(*found)
         for i in range(0, len(h), 1 << 18):
             j = slice(i, i + (1 << 18))
@@ -113,7 +131,7 @@ def _seed_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
         yield from flush()
 
 
-def _match_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Matches: those that come as such, and those between tasks' first occurrences; rows sorted by h."""
     rest = None
     for batch in batches:
@@ -127,11 +145,11 @@ def _match_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         cut = int(np.searchsorted(now[0], now[0][-1]))  # at most one row a task for the seed that may go on
-        for out in _links(*_linked(*(x[:cut] for x in now))[1]):
+        for out in _links(*_linked(*(x[:cut] for x in now), s.least)[1]):
             yield out.select(["a", "b", "places"])
         rest = [x[cut:] for x in now]
     if rest is not None:
-        for out in _links(*_linked(*rest)[1]):
+        for out in _links(*_linked(*rest, s.least)[1]):
             yield out.select(["a", "b", "places"])
 
 
@@ -368,15 +386,8 @@ def _noded(docs: DataFrame) -> DataFrame:
     return own.withColumn("node", F.xxhash64("text"))
 
 
-def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """(node, start, stop, partner, repeat): spans of words in each distinct text (node: its hash) that another one shares.
-
-    Texts are ordered by their hash: of two, the later one's span is the repeat.  A
-    row without partner has a text's number of words as ``stop``.
-    """
-    texts = _noded(docs).select("node", "text")
-    rows = texts.mapInArrow(lambda b: _seed_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
-    matches = rows.repartition("route").sortWithinPartitions("h", "a", "places").mapInArrow(_match_rows, "a bigint, b bigint, places bigint")
+def _spans(texts: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
+    """Spans of the passages along chains of matches, and the texts' numbers of words; see passages."""
     schema = "a bigint, b bigint, matches binary, a0 bigint, a1 bigint, b0 bigint, b1 bigint"
     found = matches.repartition("a", "b").sortWithinPartitions("a", "b", "places").mapInArrow(lambda b: _chains(b, s), schema)
     found = checkpointed(found.withColumn("id", F.monotonically_increasing_id()), large=True)  # numbers are fixed by the checkpoint
@@ -392,6 +403,18 @@ def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B
     return spans.mapInArrow(lambda b: _span_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean")
 
 
+def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """(node, start, stop, partner, repeat): spans of words in each distinct text (node: its hash) that another one shares.
+
+    Texts are ordered by their hash: of two, the later one's span is the repeat.  A
+    row without partner has a text's number of words as ``stop``.
+    """
+    texts = _noded(docs).select("node", "text")
+    rows = texts.mapInArrow(lambda b: _seed_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
+    matches = rows.repartition("route").sortWithinPartitions("h", "a", "places").mapInArrow(lambda b: _match_rows(b, s), "a bigint, b bigint, places bigint")
+    return _spans(texts, matches, s)
+
+
 def merged(spans: DataFrame) -> DataFrame:
     """Spans of one node and kind united where they overlap or touch; partner is the least."""
     distinct = spans.where("partner is not null").groupBy("node", "repeat", "start", "stop").agg(F.min("partner").alias("partner"))

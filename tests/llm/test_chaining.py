@@ -98,3 +98,15 @@ def test_alike_parts_of_a_chain_that_is_not_alike_as_a_whole():
                 found[box[2 * side] : box[2 * side + 1]] = True
                 assert box[1] - box[0] >= s.least and box[4] <= 0.2 * (box[1] - box[0])
             assert found[exact].all()
+
+
+def test_passage_twice_in_a_text(spark):
+    passage = prose(99, 70)
+    inner = passage.split()[30:35]
+    for k in range(3):  # the text with two may come first or second in order
+        twice = prose(400 + k, 40) + " ".join(inner) + " " + prose(410 + k, 60) + passage + prose(420 + k, 80) + passage + prose(430 + k, 30)
+        data = [(1, twice), (2, prose(440 + k, 50) + passage), (3, prose(450 + k, 90) + "\n".join([prose(460 + k, 80)] * 2))]
+        df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+        rest = [" ".join(r.text.split()) for r in chaining.cut_repeats(df).collect()]
+        assert sum(t.count(" ".join(passage.split()[2:68])) for t in rest) == 1
+        assert sum(t.count(" ".join(prose(460 + k, 80).split()[2:78])) for t in rest) == 1
