@@ -9,12 +9,17 @@ are chained in order: a match adds its words and pays for the gap to the match
 before it; a Fenwick tree over the places in the second text finds the best one
 before.  The words around a chain are aligned between its matches and beyond its
 ends, and passages that are long and alike enough remain.
+
+A partner that holds only a piece of a passage may hide the others.  So what is not
+yet a repeat is searched again for runs of equal words as long as a passage: long
+k-mers, sampled so that each such run has one, tell which places occur again; the
+whole runs there are compared by hash, and all but the first of equal ones are repeats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -403,16 +408,105 @@ def _spans(texts: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
     return spans.mapInArrow(lambda b: _span_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean")
 
 
+def _gram_rows(batches: Iterable[pa.RecordBatch], s: Settings, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Hash, node and place of word k-mers; rows sorted by (node, kind), a text (kind 1) after its spans.
+
+    whole: all runs of s.least words around the long k-mers at the spans' starts.
+    Otherwise: sampled long k-mers, at least one in every run of s.least words that
+    has no word in a span.
+    """
+    long = replace(s, words=s.least - s.window + 1)
+    spans: dict[int, list[tuple[int, int]]] = {}
+    done = None
+    for batch in batches:
+        texts = []
+        kind, node, lo, hi = (batch.column(c).to_pylist() for c in ("kind", "node", "lo", "hi"))
+        for k in range(batch.num_rows):
+            if kind[k] == 0:
+                spans.setdefault(node[k], []).append((lo[k], hi[k]))
+            elif node[k] != done:
+                done = node[k]
+                texts.append(k)
+        for i, _, t in as_texts(batch.column("text").take(pa.array(texts, pa.int64()))):
+            ids = [node[k] for k in texts[i : i + t.n]]
+            if whole:
+                starts, ends, owner = t.word_bounds()
+                begin = np.searchsorted(owner, np.arange(t.n))
+                wanted = np.zeros(len(starts) + 1, bool)
+                for k, x in enumerate(ids):
+                    at = np.array([a for a, _ in spans.get(x, [])], np.int64)
+                    at = (at[:, None] - np.arange(s.window)).ravel()
+                    wanted[begin[k] + at[at >= 0]] = True
+                h, first = grams(t.hash_spans(starts, ends, fold_case=True), owner, s.least)
+                h, first = h[wanted[first]], first[wanted[first]]
+                own = owner[first]
+                pos = first - begin[own]
+            else:
+                h, own, pos = seeds(t, long)
+                ok = np.ones(len(h), bool)
+                edge = np.searchsorted(own, np.arange(t.n + 1))
+                for k, x in enumerate(ids):
+                    if x in spans:
+                        a, b = np.array(sorted(spans[x]), np.int64).T
+                        j = slice(edge[k], edge[k + 1])
+                        of = np.searchsorted(a, pos[j], side="right") - 1
+                        ok[j] = (of < 0) | (b[of] < pos[j] + long.words)
+                h, own, pos = h[ok], own[ok], pos[ok]
+            if len(h):
+                nodes = np.array(ids, np.int64)[own]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(nodes), pa.array(pos.astype(np.int64))], names=["h", "node", "pos"])
+        spans = {x: v for x, v in spans.items() if x == node[-1]} if batch.num_rows and node[-1] != done else {}
+
+
+def _equal_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Spans of equal runs of s.least words: each with the first; rows sorted by (h, node, pos). Runs as in _linked."""
+    now = head = last = None
+    for batch in batches:
+        rows = []
+        for h, node, pos in zip(*(batch.column(c).to_pylist() for c in ("h", "node", "pos")), strict=True):
+            if h != now:
+                now, head = h, (node, pos)
+            elif node != last[0] or pos - last[1] >= s.least:
+                rows.append((node, pos, pos + s.least, head[0], True))
+                rows.append((head[0], head[1], head[1] + s.least, node, False))
+            last = (node, pos)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SPAN.types, strict=True)], schema=_SPAN)
+
+
+def _exact(texts: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
+    """Spans of the exact passages that the repeats among spans leave."""
+    schema = "h bigint, node bigint, pos bigint"
+    none = F.lit(None)
+
+    def grams_of(texts: DataFrame, places: DataFrame, whole: bool) -> DataFrame:
+        own = texts.mapInArrow(_distinct, texts.schema).select("node", F.lit(1).alias("kind"), none.cast("bigint").alias("lo"), none.cast("bigint").alias("hi"), "text")
+        rows = places.select("node", F.lit(0).alias("kind"), "lo", "hi", none.cast("string").alias("text")).unionAll(own)
+        return rows.repartition("node").sortWithinPartitions("node", "kind").mapInArrow(lambda b: _gram_rows(b, s, whole), schema)
+
+    cuts = merged(spans).where("repeat").select("node", F.col("start").alias("lo"), F.col("stop").alias("hi"))
+    sampled = grams_of(texts, cuts, False).repartition("h")
+    twice = sampled.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    places = checkpointed(sampled.join(twice, "h", "left_semi").select("node", F.col("pos").alias("lo"), F.col("pos").alias("hi")), large=True)
+    some = texts.join(places.select("node").distinct(), "node", "left_semi")
+    runs = grams_of(some, places, True).repartition("h").sortWithinPartitions("h", "node", "pos")
+    return runs.mapInArrow(lambda b: _equal_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean")
+
+
 def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(node, start, stop, partner, repeat): spans of words in each distinct text (node: its hash) that another one shares.
 
     Texts are ordered by their hash: of two, the later one's span is the repeat.  A
     row without partner has a text's number of words as ``stop``.
+
+    Runs of s.least equal words are all found; passages that are only alike are
+    missed where too few seeds are left in them or partners hide them.
     """
     texts = _noded(docs).select("node", "text")
     rows = texts.mapInArrow(lambda b: _seed_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
     matches = rows.repartition("route").sortWithinPartitions("h", "a", "places").mapInArrow(lambda b: _match_rows(b, s), "a bigint, b bigint, places bigint")
-    return _spans(texts, matches, s)
+    spans = checkpointed(_spans(texts, matches, s), large=True)
+    return spans.unionAll(_exact(texts, spans, s))
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -110,3 +110,34 @@ def test_passage_twice_in_a_text(spark):
         rest = [" ".join(r.text.split()) for r in chaining.cut_repeats(df).collect()]
         assert sum(t.count(" ".join(passage.split()[2:68])) for t in rest) == 1
         assert sum(t.count(" ".join(prose(460 + k, 80).split()[2:78])) for t in rest) == 1
+
+
+def test_fragments_hide_no_exact_passage(spark):
+    s, data = chaining.Settings(), []
+    for k in range(15):
+        passage = prose(1000 + k, 50 + 2 * k).split()
+        for j, part in enumerate([passage, passage, passage, passage[:45], passage[:49], passage[-45:], passage[-49:], passage[3:48]]):
+            data.append((100 * k + j, " ".join([prose(2000 + 10 * k + j, 20 + j).strip(), *part, prose(3000 + 10 * k + j, 30).strip()])))
+
+    def runs(rows):
+        found = {}
+        for text in rows:
+            w = text.lower().split()
+            for i in range(len(w) - s.least + 1):
+                key = tuple(w[i : i + s.least])
+                found[key] = found.get(key, 0) + 1
+        return found
+
+    before = runs(t for _, t in data)
+    assert max(before.values()) == 3
+    for parts in (1, 3):
+        df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(parts)
+        after = runs(r.text for r in chaining.cut_repeats(df).collect())
+        assert max(after.values()) == 1
+        spans = {}
+        for r in chaining.shared_passages(df).collect():
+            spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+        for i, t in data:
+            w = t.lower().split()
+            for p in range(len(w) - s.least + 1):
+                assert before[tuple(w[p : p + s.least])] == 1 or any(a <= p and p + s.least <= b for a, b in spans.get(i, []))
