@@ -238,10 +238,12 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  #
     component_id is the least doc_id that links reach.  Documents with equal sets
     are one node from the start, so copies are never paired; buckets link to one
     member, so nothing is quadratic in a bucket's size before clusters are known.
-    Clusters up to s.most shingles are resolved in one task each; larger ones in
-    rounds of joins (see _by_rounds).  Two linked texts whose registers agree in no
-    band, and which no chain of candidates connects, are missed with probability
-    s.miss at most.
+    Clusters up to s.most shingles are resolved in one task each, over all members;
+    larger ones in rounds of joins (see _by_rounds) that compare only members of one
+    band bucket.  So two linked texts whose registers agree in no band are found in
+    a small cluster, if a chain of candidates puts them in one, and missed in a large
+    one unless links connect them; a pair at the threshold agrees in no band with
+    probability s.miss at most.
 
     Null, empty and wordless texts: an empty set, linked with nothing, component_id
     is their own doc_id.  Repeated rows are equal sets.  Null doc_id: never the
