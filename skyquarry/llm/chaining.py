@@ -395,7 +395,7 @@ def _spans(texts: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
     """Spans of the passages along chains of matches, and the texts' numbers of words; see passages."""
     schema = "a bigint, b bigint, matches binary, a0 bigint, a1 bigint, b0 bigint, b1 bigint"
     found = matches.repartition("a", "b").sortWithinPartitions("a", "b", "places").mapInArrow(lambda b: _chains(b, s), schema)
-    found = checkpointed(found.withColumn("id", F.monotonically_increasing_id()), large=True)  # numbers are fixed by the checkpoint
+    found = checkpointed(found.withColumn("id", F.monotonically_increasing_id()))  # numbers are fixed by the checkpoint
     none = F.lit(None)
     wanted = texts.mapInArrow(_distinct, texts.schema).select("node", F.lit(0).alias("kind"), none.cast("bigint").alias("id"), none.cast("bigint").alias("lo"), none.cast("bigint").alias("hi"), none.cast("binary").alias("matches"), "text")
     for side, node, lo, hi in ((1, "a", "a0", "a1"), (2, "b", "b0", "b1")):
@@ -487,7 +487,7 @@ def _exact(texts: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
     cuts = merged(spans).where("repeat").select("node", F.col("start").alias("lo"), F.col("stop").alias("hi"))
     sampled = grams_of(texts, cuts, False).repartition("h")
     twice = sampled.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = checkpointed(sampled.join(twice, "h", "left_semi").select("node", F.col("pos").alias("lo"), F.col("pos").alias("hi")), large=True)
+    places = checkpointed(sampled.join(twice, "h", "left_semi").select("node", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
     some = texts.join(places.select("node").distinct(), "node", "left_semi")
     runs = grams_of(some, places, True).repartition("h").sortWithinPartitions("h", "node", "pos")
     return runs.mapInArrow(lambda b: _equal_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean")
@@ -505,7 +505,7 @@ def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B
     texts = _noded(docs).select("node", "text")
     rows = texts.mapInArrow(lambda b: _seed_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
     matches = rows.repartition("route").sortWithinPartitions("h", "a", "places").mapInArrow(lambda b: _match_rows(b, s), "a bigint, b bigint, places bigint")
-    spans = checkpointed(_spans(texts, matches, s), large=True)
+    spans = checkpointed(_spans(texts, matches, s))
     return spans.unionAll(_exact(texts, spans, s))
 
 
@@ -528,7 +528,7 @@ def shared_passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  #
     document.  Null, empty and short texts share nothing; null doc_ids are never
     the ones kept.  Other columns are not looked at.
     """
-    spans = checkpointed(passages(docs, s), large=True)
+    spans = checkpointed(passages(docs, s))
     sizes = spans.where("partner is null").groupBy("node").agg(F.max("stop").alias("n_words"))
     rows = _noded(docs).select("doc_id", "node").distinct()
     texts = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).join(sizes, "node")
@@ -549,7 +549,7 @@ def cut_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa
     go as a whole; ``n_chars``, where there is such a column, is counted anew for
     texts that were cut.
     """
-    spans = checkpointed(passages(docs, s), large=True)
+    spans = checkpointed(passages(docs, s))
     names = docs.columns
     node, found, copied, least = fresh(docs, "node", "cuts", "copied", "least")
     cuts = merged(spans).where("repeat").groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias(found)).withColumnRenamed("node", f"{node}_")

@@ -6,7 +6,8 @@ of a union are the larger of both, and two sets agree in a register with about
 their Jaccard similarity.  Bands of registers propose candidates; documents that
 candidates connect form clusters.  Within a cluster, the likelihood of a pair's
 register comparisons (with both sizes known) estimates its similarity; what comes
-near the threshold is confirmed on the full sets.
+near the threshold is confirmed on the full sets.  Pairs are tried if they share a
+band, in clusters of any size.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquarry.llm.graph import connected_components
+from skyquarry.llm.graph import components_of_buckets, connected_components, spread_join
 from skyquarry.llm.text import Texts, as_texts, checkpointed, grams, mix
 
 
@@ -35,14 +36,19 @@ class Settings:
     miss: float = 1e-5
     base: float = 1.001
     rate: float = 20.0
-    #: Shingles of the clusters that one task resolves in memory; larger ones go through rounds of joins.
+    #: Shingles, and pairs with a common band, of the clusters that one task resolves in memory; larger ones go through rounds of joins.
     most: int = 1 << 24
+    most_pairs: int = 1 << 22
 
     def rows(self) -> int:
         """Registers a band: as many as keep the chance of missing a pair at the threshold below ``miss``."""
         fits = [r for r in range(1, 9) if (1 - (self.percent / 100) ** r) ** (self.registers // r) <= self.miss]
         return max(fits, default=1)
 
+    def margin(self) -> float:
+        """Pairs of which the registers say less are not confirmed: five standard errors below the threshold."""
+        return self.percent / 100 - 5 * math.sqrt(0.25 / self.registers)
+
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     x = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -78,8 +84,17 @@ def registers(sets: list[np.ndarray], s: Settings) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / math.log(s.base)), 0, 65535).astype(np.uint16)
 
 
-def estimate(more: np.ndarray, less: np.ndarray, n: int, sizes: np.ndarray, s: Settings) -> np.ndarray:
-    """Maximum-likelihood similarity of a set of n members to others, from how many registers are larger and smaller."""
+def band_keys(regs: np.ndarray, s: Settings) -> np.ndarray:
+    """The hashes of each row's bands; the band's number is part of its hash."""
+    rows, count = s.rows(), s.registers // s.rows()
+    h = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), (len(regs), count)).copy()
+    for r in range(rows):
+        h = mix(h + regs[:, r : rows * count : rows].astype(np.uint64))
+    return h
+
+
+def estimate(more: np.ndarray, less: np.ndarray, n: int | np.ndarray, sizes: np.ndarray, s: Settings) -> np.ndarray:
+    """Maximum-likelihood similarity of sets of n members to others, from how many registers are larger and smaller."""
     u = (n / (n + sizes))[:, None]
     v = 1 - u
     grid = np.linspace(0, 1, 101)[None, :] * np.minimum(u / v, v / u)
@@ -103,41 +118,47 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def resolve(nodes: list[int], sets: list[np.ndarray], s: Settings) -> list[int]:
-    """The least node of each one's component, by links on the full sets."""
-    regs = registers(sets, s).astype(np.int32)
+    """The least node of each one's component, by links on the full sets of pairs that share a band."""
+    regs = registers(sets, s)
+    bands = band_keys(regs, s)
     sizes = np.array([len(x) for x in sets])
-    margin = s.percent / 100 - 5 * math.sqrt(0.25 / s.registers)
-    groups: list[list[int]] = []  # members of each component so far, the first one tried first
+    component = np.arange(len(sets))
+    least = s.margin()
 
-    def near(i: int, others: list[int]) -> list[int]:
-        at = np.array(others)
-        d = regs[at] - regs[i]
-        guess = estimate((d < 0).sum(1), (d > 0).sum(1), int(sizes[i]), sizes[at], s)
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        d = regs[others].astype(np.int32) - regs[i]
+        guess = estimate((d < 0).sum(1), (d > 0).sum(1), int(sizes[i]), sizes[others], s)
         order = np.argsort(-guess, kind="stable")
-        return [others[k] for k in order if guess[k] >= margin]
-
-    for i in range(len(sets)):
-        open_groups, joined = groups, []
-        for members in (lambda g: g[:1]), (lambda g: g[1:]):
-            of = {m: k for k, g in enumerate(open_groups) for m in members(g)}
-            if not of:
+        return others[order[guess[order] >= least]]
+
+    for c in range(bands.shape[1]):
+        order = np.argsort(bands[:, c], kind="stable")
+        edge = np.flatnonzero(np.append(True, bands[order[1:], c] != bands[order[:-1], c]))
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+            group = order[a:b]
+            if b - a == 1 or (component[group] == component[group[0]]).all():
                 continue
-            hit: set[int] = set()
-            for j in near(i, list(of)):
-                if of[j] not in hit and linked(sets[i], sets[j], s.percent):
-                    hit.add(of[j])
-            joined += [open_groups[k] for k in hit]
-            open_groups = [g for k, g in enumerate(open_groups) if k not in hit]
-        joined.sort(key=len, reverse=True)
-        groups = [*open_groups, [*(x for g in joined for x in g), i]]
-    label = {i: min(nodes[k] for k in g) for g in groups for i in g}
-    return [label[i] for i in range(len(sets))]
+            for k in range(1, b - a):
+                i = int(group[k])
+                others = group[:k][component[group[:k]] != component[i]]
+                if c and len(others):  # pairs of an earlier band have been tried
+                    others = others[~(bands[others, :c] == bands[i, :c]).any(axis=1)]
+                if not len(others):
+                    continue
+                _, first = np.unique(component[others], return_index=True)  # one of each component, then the rest
+                rest = np.ones(len(others), bool)
+                rest[first] = False
+                for part in (others[first], others[rest]):
+                    for j in near(i, part) if len(part) else ():
+                        if component[j] != component[i] and linked(sets[i], sets[int(j)], s.percent):
+                            component[component == component[j]] = component[i]
+    names = np.array(nodes, np.int64)
+    smallest = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, component, names)
+    return smallest[component].tolist()
 
 
 def _sketched(docs: DataFrame, s: Settings) -> DataFrame:
-    rows, count = s.rows(), s.registers // s.rows()
-    seeds = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, bands = [], [], []
@@ -145,11 +166,7 @@ def _sketched(docs: DataFrame, s: Settings) -> DataFrame:
                 sets = shingle_sets(texts, s.words)
                 full = [x for x in sets if len(x)]
                 if full:
-                    regs = registers(full, s).astype(np.uint64)
-                    h = np.broadcast_to(seeds, (len(full), count)).copy()
-                    for r in range(rows):
-                        h = mix(h + regs[:, r : rows * count : rows])
-                    h = h.view(np.int64).tolist()
+                    h = band_keys(registers(full, s), s).view(np.int64).tolist()
                 k = 0
                 for x in sets:
                     sizes.append(len(x))
@@ -189,106 +206,116 @@ def _in_memory(members: DataFrame, s: Settings) -> DataFrame:
     return members.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(run, "node bigint, label bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked."""
+def _registered(texts: DataFrame, s: Settings) -> DataFrame:
+    """node, n (members of its set) and registers of texts(node, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x for _, _, t in as_texts(batch.column("text"), 1 << 19) for x in shingle_sets(t, s.words)]
+            if sets:
+                regs = [x.tobytes() for x in registers(sets, s)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(regs, pa.binary())], names=["node", "n", "regs"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, regs binary")
+
+
+def _sides(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    """pairs(a, b) with both nodes' columns; a node in many pairs is no task of its own."""
+    for side, other in (("a", "b"), ("b", "a")):
+        own = facts.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+        pairs = spread_join(pairs, own, [side], [other])
+    return pairs
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose registers come near the threshold and whose full sets are linked."""
+
+    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 4096):
+                batch = whole.slice(k, 4096)
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(np.int32) for c in ("regs_a", "regs_b"))
+                n, m = (batch.column(c).to_numpy(False) for c in ("n_a", "n_b"))
+                guess = estimate((y < x).sum(1), (y > x).sum(1), n, m, s)
+                yield batch.select(["a", "b"]).filter(pa.array(guess >= s.margin()))
+
+    def sure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                left, right = ([x for _, _, t in as_texts(batch.column(c)) for x in shingle_sets(t, s.words)] for c in ("ta", "tb"))
+                left, right = ([x for _, _, t in as_texts(batch.column(c)) for x in shingle_sets(t, s.words)] for c in ("text_a", "text_b"))
                 yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, s.percent) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
-
-
-def _by_rounds(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(node, label) for clusters too large for one task.
-
-    members(bucket, node).  Each round takes one member of every bucket that still
-    holds several components, compares it with the bucket's members of other
-    components, and takes it out of the bucket.  It ends when no bucket is mixed, so
-    no link between two members of a bucket is lost, and no task ever holds a bucket.
-    """
-    labels = checkpointed(members.select("node", F.col("node").alias("label")).distinct())
-    step = 0
-    while True:
-        rows = members.join(labels, "node")
-        mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "label")).alias("c"))
-        mixed = mixed.where("lo < hi").select("bucket", F.col("c.node").alias("a"), F.col("c.label").alias("own"))
-        rows = checkpointed(rows.join(mixed, "bucket"))
-        if rows.isEmpty():
-            return labels
-        pairs = rows.where("label <> own").select("a", F.col("node").alias("b")).distinct()
-        found = _verified(pairs, texts, s)
-        named = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        merged = connected_components(named.select("la", "lb").distinct(), "la", "lb")
-        labels = checkpointed(
-            labels.join(merged, labels["label"] == merged["node"], "left").select(labels["node"], F.coalesce("component", "label").alias("label"))
-        )
-        members = rows.where("node <> a").select("bucket", "node")
-        step += 1
+    near = checkpointed(_sides(pairs, sketches, "n", "regs").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(likely, "a bigint, b bigint"))
+    return _sides(near, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(sure, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles, component_id of every row of docs.
+    """doc_id, mark (a hash of the text), n_shingles, component_id and representative of every row of docs.
 
     component_id is the least doc_id that links reach.  Documents with equal sets
     are one node from the start, so copies are never paired; buckets link to one
     member, so nothing is quadratic in a bucket's size before clusters are known.
-    Clusters up to s.most shingles are resolved in one task each, over all members;
-    larger ones in rounds of joins (see _by_rounds) that compare only members of one
-    band bucket.  So two linked texts whose registers agree in no band are found in
-    a small cluster, if a chain of candidates puts them in one, and missed in a large
-    one unless links connect them; a pair at the threshold agrees in no band with
-    probability s.miss at most.
+    Within a cluster, pairs that share a band are tried: those whose registers say
+    that they come near the threshold are confirmed on the full sets.  One task
+    resolves clusters up to s.most shingles and s.most_pairs such pairs; larger ones
+    go through rounds of joins that try the same pairs.  A pair at the threshold
+    shares no band with probability s.miss at most, and its registers mislead (by
+    five standard errors) in fewer than 1e-6 of all cases.
+
+    representative: true for one document of each component, that of the least
+    doc_id (of equal ones the least mark).  Rows that repeat both are one document.
 
     Null, empty and wordless texts: an empty set, linked with nothing, component_id
-    is their own doc_id.  Repeated rows are equal sets.  Null doc_id: never the
-    least; component_id is null if all of a component are null.  Other columns are
-    not looked at.
+    is their own doc_id, each its own representative.  Repeated rows are equal sets.
+    Null doc_id: never the least; component_id is null if all of a component are
+    null.  Other columns are not looked at.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketched = checkpointed(_sketched(own, s))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one")
     nodes = sketched.where("set_key is not null").groupBy("set_key")
-    nodes = nodes.agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", "least", "one", "n", "bands"))  # numbers are fixed by the checkpoint
+    nodes = nodes.agg(one, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", "one", "n", "bands"))  # numbers are fixed by the checkpoint
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
-    members = checkpointed(members.join(buckets.select("bucket", "centre"), "bucket"), large=True)
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("centre < last")
+    members = checkpointed(spread_join(members, buckets.select("bucket", "centre", "size"), ["bucket"], ["node"]))
     clusters = connected_components(members.where("centre <> node").select("node", "centre").distinct(), "node", "centre")
     clusters = checkpointed(clusters.withColumnRenamed("component", "cluster"))
     needed = clusters.join(nodes.select("node", "one", "n"), "node")
-    size = needed.groupBy("cluster").agg(F.sum("n").alias("size"))
-    needed = needed.join(size, "cluster").select("node", "cluster", "size", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("mark"))
+    size = needed.groupBy("cluster").agg(F.sum("n").alias("shingles"))
+    pairs = members.where("centre = node").select("node", F.expr("size * (size - 1) div 2").alias("pairs")).join(clusters, "node").groupBy("cluster").agg(F.sum("pairs").alias("pairs"))
+    large = checkpointed(size.join(pairs, "cluster").where((F.col("shingles") > s.most) | (F.col("pairs") > s.most_pairs)).select("cluster", F.lit(True).alias("large")))
+    needed = spread_join(needed, large, ["cluster"], ["node"], "left").select("node", "cluster", F.coalesce("large", F.lit(False)).alias("large"), F.col("one.doc_id").alias("id"), F.col("one.mark").alias("mark"))
     marked = own.select("doc_id", F.xxhash64("text").alias("own_mark"), "text")
-    texts = needed.join(marked, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("own_mark"))).select("node", "cluster", "size", "text")
-    large = size.where(F.col("size") > s.most)
+    texts = needed.join(marked, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("own_mark"))).select("node", "cluster", "large", "text")
     if large.isEmpty():
         labels = _in_memory(_single(texts), s)
     else:
         texts = checkpointed(_single(texts))
-        labels = _in_memory(texts.where(F.col("size") <= s.most), s)
-        inside = clusters.join(large.select("cluster"), "cluster", "left_semi")
-        labels = labels.union(_by_rounds(members.select("bucket", "node").join(inside.select("node"), "node", "left_semi"), texts.where(F.col("size") > s.most), s))
-    named = nodes.select("node", "set_key", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = checkpointed(named, large=True)
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select("set_key", "component_id")
-    out = sketched.join(named, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        labels = _in_memory(texts.where("not large"), s)
+        far = texts.where("large").select("node", "text")
+        sketches = checkpointed(_registered(far, s))
+        inside = members.select("bucket", "node").join(far.select("node"), "node", "left_semi")
+        labels = labels.union(components_of_buckets(inside, lambda p: _verified(p, far, sketches, s)))
+    named = nodes.select("node", "set_key", "one").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = checkpointed(named)
+    least = named.groupBy("label").agg(F.min("one").alias("best"))
+    named = spread_join(named, least, ["label"], ["node"]).select("set_key", "best")
+    out = spread_join(sketched.drop("bands"), named, ["set_key"], ["doc_id", "mark"], "left")
+    alone = F.col("set_key").isNull()
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
+    return out.select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), (alone | first).alias("representative"))
 
 
 def _single(texts: DataFrame) -> DataFrame:
     """One row a node: of repeated rows one is enough."""
-    return texts.groupBy("node", "cluster", "size").agg(F.first("text").alias("text"))
+    return texts.groupBy("node", "cluster", "large").agg(F.first("text").alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = near_duplicates(docs, Settings(words=3, percent=85))
+    found = near_duplicates(docs, Settings(words=3, percent=85)).select("doc_id", "n_shingles", "component_id")
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

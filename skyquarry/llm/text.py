@@ -8,10 +8,9 @@ UTF-8 sequence, so byte positions are exact.
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,29 +31,35 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
+    """The shared folder of spark.checkpoint.dir; where it is unset, a folder of our own on a local master, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), "skyquarry-checkpoints"))
     return found or context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame, large: bool = False) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder.
+#: Lets Spark delete a query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    large: also lets go of the shuffle files that led there.  Spark removes them once
-    the plan is collected, first here and then in the JVM, which takes two rounds.
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table written to the shared folder and read again; the shuffle files that led there go at once.
+
+    A table has its true size; a checkpoint would hand on the sizes that the planner
+    guesses, which are multiplied in every join and double their digits each round.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    for _ in range(2 * large):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-    return out
+    path = f"{checkpoint_dir(spark).rstrip('/')}/skyquarry-{uuid.uuid4()}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a plan made under this setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,13 +49,14 @@ COLUMNS = ("doc_id", "n_shingles", "component_id")
 @pytest.mark.parametrize("most", [1 << 24, 100])
 def test_components(spark, docs, extra, most):
     s = setsketch.Settings(words=3, percent=85, most=most)
+    first = bag(setsketch.near_duplicates(docs, s).where("representative"), "doc_id", "component_id")
+    assert len(first) == len(set(first)) + 1  # document 5 is there twice
     want = brute(rows(), 3, 85)
     assert bag(setsketch.near_duplicates(docs, s), *COLUMNS) == want
     assert bag(setsketch.near_duplicates(extra, s), *COLUMNS) == want
 
 
-@pytest.mark.parametrize("most", [1 << 24, 300])
-def test_families_of_edits(spark, most):
+def test_families_of_edits(spark):
     rng = random.Random(4)
     data = []
     for f in range(6):
@@ -64,11 +66,34 @@ def test_families_of_edits(spark, most):
             for _ in range(rng.randrange(0, 8)):
                 own[rng.randrange(len(own))] = f"new{rng.randrange(1000)}"
             data.append((len(data), " ".join(own)))
-    s = setsketch.Settings(words=5, percent=80, most=most)
+    s = setsketch.Settings(words=5, percent=80)
     df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
     assert bag(setsketch.near_duplicates(df, s), *COLUMNS) == brute(data, 5, 80)
 
 
+@pytest.mark.parametrize("limits", [{}, {"most_pairs": 10}])
+def test_chains_of_edits(spark, limits):
+    """Each text is like its neighbours only, so a cluster holds many pairs that are not linked."""
+    data = []
+    for f in range(3):
+        words = prose(50 + f, 400).split()
+        data += [(1000 * f + k, " ".join(words[6 * k : 6 * k + 100])) for k in range(30)]
+    data += [(k, t) for k, t in ((5000, data[3][1]), (None, data[4][1]), (None, data[40][1]))]
+    s = setsketch.Settings(words=3, percent=85, **limits)
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    found = setsketch.near_duplicates(df, s)
+    assert bag(found, *COLUMNS) == brute(data, 3, 85)
+    assert found.where("representative").count() == 3
+
+
+def test_long_chain_in_memory():
+    x = mix(np.arange(40_000, dtype=np.uint64))
+    sets = [np.sort(x[5 * k : 5 * k + 100]) for k in range(5000)]
+    begun = time.perf_counter()
+    assert setsketch.resolve(list(range(5000)), sets, setsketch.Settings(percent=85)) == [0] * 5000
+    assert time.perf_counter() - begun < 30
+
+
 def test_empty(empty):
     assert setsketch.near_duplicates(empty).collect() == []
 
