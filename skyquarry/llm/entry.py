@@ -22,6 +22,7 @@ def queries():
         "op8_quality_classifier": classifier.query,
         "op9_setsketch": setsketch.query,
         "op10_url_filters": _urls,
+        "spotsigs_classes": spotsigs.similar,
     }
 
 
