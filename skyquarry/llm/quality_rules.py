@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects a text whose signal exceeds a cutoff.  The cutoffs are not
-guessed: on labelled documents that no other part of the method sees, the number
-of good documents that a cutoff rejects is binomial, so an exact
-(Clopper-Pearson) upper bound on its false rejection rate holds at any size.
-Within a stratum and signal, cutoffs are tested in a fixed order from the
-loosest, stopping at the first that fails; over strata and signals the error
-level is divided (Bonferroni).  So with probability 1 - error at least, every
-rule in force rejects at most ``risk`` of the good documents of its stratum.
+Each rule rejects a text whose signal exceeds a cutoff.  The labelled documents of
+a stratum are split by a hash of their text.  One part chooses: for each signal the
+cutoff that gains most, and the order of the signals.  The other part, which
+nothing has looked at, certifies: of the rule sets made of the first, the first
+two, ... signals, each rejects a number of good documents that is binomial, so an
+exact (Clopper-Pearson) bound on its false rejection rate holds at any size.  They
+are tested in this fixed order, each with the stratum's whole error level, up to
+the first that fails (fixed-sequence testing); over strata the level is divided
+(Bonferroni).  So with probability 1 - error at least, in every stratum all rules
+together reject at most ``risk`` of the good documents.  A stratum with too few
+labels to certify anything has no rules.  Copies of a text are one trial.
 """
 
 from __future__ import annotations
@@ -43,7 +46,6 @@ CUTOFFS = {
     "few_short": [0.999, 0.98, 0.96, 0.94, 0.92, 0.9, 0.87, 0.84, 0.81, 0.78, 0.75, 0.72],
 }
 SIGNALS = list(CUTOFFS)
-OTHER = "\x00other"
 
 
 def _per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -121,7 +123,7 @@ def _measured(column) -> dict[str, np.ndarray]:
 
 
 def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, base counts and base_failed, and for each signal the number of cutoffs that it exceeds, of every row.
+    """doc_id, mark (a hash of the text), stratum, base counts and base_failed, and for each signal the number of cutoffs that it exceeds, of every row.
 
     Null, empty and wordless texts: all counts 0, base_failed.  A null stratum, or no
     such column: the empty one.  Ties and repeated rows are measured one by one;
@@ -131,13 +133,14 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _measured(batch.column("text"))
-            arrays = [batch.column("doc_id"), batch.column("stratum"), *(pa.array(m[k].astype(np.int64)) for k in BASE), pa.array(base_failed(m).astype(bool))]
+            arrays = [batch.column("doc_id"), batch.column("mark"), batch.column("stratum"), *(pa.array(m[k].astype(np.int64)) for k in BASE), pa.array(base_failed(m).astype(bool))]
             arrays += [pa.array(exceeded(k, m[k]).astype(np.int32)) for k in SIGNALS]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "stratum", *BASE, "base_failed", *SIGNALS])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "stratum", *BASE, "base_failed", *SIGNALS])
 
-    schema = "doc_id bigint, stratum string, " + "".join(f"{k} bigint, " for k in BASE) + "base_failed boolean, " + ", ".join(f"{k} int" for k in SIGNALS)
+    schema = "doc_id bigint, mark bigint, stratum string, " + "".join(f"{k} bigint, " for k in BASE) + "base_failed boolean, " + ", ".join(f"{k} int" for k in SIGNALS)
     own = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), own.alias("stratum"), F.col("text").cast("string").alias("text")).mapInArrow(made, schema)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), own.alias("stratum"), text.alias("text")).mapInArrow(made, schema)
 
 
 def exceeded(signal: str, values: np.ndarray) -> np.ndarray:
@@ -165,53 +168,78 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return hi
 
 
-def choose(good: list[int], bad: list[int], risk: float, error: float, cost: float = 5.0) -> int | None:
-    """Index of a cutoff, or None. good, bad: documents by number of cutoffs exceeded (0 to all)."""
-    n, best, chosen = sum(good), 0.0, None
-    for i in range(len(good) - 1):
-        wrong, right = sum(good[i + 1 :]), sum(bad[i + 1 :])
-        if wrong > risk * n or upper_bound(wrong, n, error) > risk:
-            break
-        if right - cost * wrong > best:
-            best, chosen = right - cost * wrong, i
-    return chosen
+def order_rules(table: dict[str, dict[bool, list[int]]], cost: float = 5.0) -> list[tuple[str, int]]:
+    """(signal, index of its cutoff), the most useful first, from the choosing part.
+
+    table: for each signal, good and bad documents by the number of cutoffs exceeded.
+    A good document that is rejected costs as much as ``cost`` bad ones gain.
+    """
+    out = []
+    for k, by in table.items():
+        gains = [(sum(by[False][i + 1 :]) - cost * sum(by[True][i + 1 :]), -i) for i in range(len(CUTOFFS[k]))]
+        best, i = max(gains)
+        if best > 0:
+            out.append((best, k, -i))
+    return [(k, i) for _, k, i in sorted(out, key=lambda x: (-x[0], SIGNALS.index(x[1])))]
+
+
+def certified(wrong: list[int], n: int, risk: float, error: float) -> int:
+    """How many of the nested rule sets hold; wrong: the good documents that each rejects, of n that certify."""
+    k = 0
+    while k < len(wrong) and upper_bound(wrong[k], n, error) <= risk:
+        k += 1
+    return k
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.005, error: float = 0.05) -> dict[str, dict[str, int]]:
+def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> dict[str, dict[str, int]]:
     """{stratum: {signal: index of its cutoff}} from all labelled documents that pass the base rules.
 
-    Strata with too few good documents for any cutoff to be certified are judged
-    together as one more stratum.  Labels without doc_id or quality don't count; of
-    several for one document the largest does.
+    Labels without doc_id or quality don't count; of several for one document, or
+    for documents of one text, the largest does.  One text in three chooses, the
+    others certify.  What reaches the driver are counts by stratum, signal and
+    cutoff, whatever the number of labels.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
     joined = measured.where(~F.col("base_failed")).join(own, "doc_id")
-    counts = joined.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(k).alias("signal"), F.col(k).alias("bin")) for k in SIGNALS))).alias("x"))
-    counts = counts.groupBy("stratum", "good", "x.signal", "x.bin").agg(F.count(F.lit(1)).alias("n"))
-    least = math.log(len(SIGNALS) / error) / risk  # fewer good documents can't certify anything
-    size = joined.where("good").groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
-    counts = counts.join(size, "stratum", "left").withColumn("stratum", F.when(F.col("size") >= least, F.col("stratum")).otherwise(F.lit(OTHER)))
-    table: dict[str, dict[str, dict[bool, list[int]]]] = {}
-    for r in counts.groupBy("stratum", "good", "signal", "bin").agg(F.sum("n").alias("n")).collect():
-        by = table.setdefault(r["stratum"], {k: {g: [0] * (len(CUTOFFS[k]) + 1) for g in (True, False)} for k in SIGNALS})
+    trials = joined.groupBy("stratum", "mark").agg(F.max("good").alias("good"), *(F.first(k).alias(k) for k in SIGNALS))
+    trials = checkpointed(trials.withColumn("chooses", F.pmod(F.xxhash64(F.lit(3), "mark"), F.lit(3)) == 0))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("signal"), F.col(k).alias("bin")) for k in SIGNALS))).alias("x")
+    tables: dict[str, dict[str, dict[bool, list[int]]]] = {}
+    for r in trials.where("chooses").select("stratum", "good", pairs).groupBy("stratum", "good", "x.signal", "x.bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        by = tables.setdefault(r["stratum"], {k: {g: [0] * (len(CUTOFFS[k]) + 1) for g in (True, False)} for k in SIGNALS})
         by[r["signal"]][r["good"]][r["bin"]] += r["n"]
-    each = error / max(1, len(table) * len(SIGNALS))
-    return {s: {k: i for k, v in by.items() if (i := choose(v[True], v[False], risk, each)) is not None} for s, by in table.items()}
+    orders = {s: found for s, t in sorted(tables.items()) if (found := order_rules(t))}
+    if not orders:
+        return {}
+    first = F.lit(len(SIGNALS))  # the first rule of its stratum that rejects a document
+    for s, found in orders.items():
+        own = F.lit(len(SIGNALS))
+        for j in reversed(range(len(found))):
+            own = F.when(F.col(found[j][0]) > found[j][1], F.lit(j)).otherwise(own)
+        first = F.when(F.col("stratum") == s, own).otherwise(first)
+    hits = {s: [0] * (len(SIGNALS) + 1) for s in orders}
+    for r in trials.where("good and not chooses").groupBy("stratum", first.alias("first")).agg(F.count(F.lit(1)).alias("n")).collect():
+        if r["stratum"] in hits:
+            hits[r["stratum"]][r["first"]] += r["n"]
+    out = {}
+    for s, found in orders.items():
+        wrong = np.cumsum(hits[s])[: len(found)].tolist()
+        if k := certified(wrong, sum(hits[s]), risk, error / len(orders)):
+            out[s] = dict(found[:k])
+    return out
 
 
 def judge(measured: DataFrame, rules: dict[str, dict[str, int]]) -> DataFrame:
     """measured with kept: false if the base rules fail or a rule of the stratum rejects."""
-    known = [s for s in rules if s != OTHER]
     rejected = F.lit(False)
     for s, by in rules.items():
-        inside = F.col("stratum") == s if s != OTHER else ~F.col("stratum").isin(known)
         for k, i in by.items():
-            rejected = rejected | (inside & (F.col(k) > i))
+            rejected = rejected | ((F.col("stratum") == s) & (F.col(k) > i))
     return measured.withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def keep(docs: DataFrame, rules: dict[str, dict[str, int]], stratum: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, that the base rules and the certified rules keep."""
+    """The rows of docs, all columns, that the base rules and the certified rules keep; nulls and repeated rows as in features."""
 
     def kept(batches):
         for batch in batches:
@@ -221,7 +249,7 @@ def keep(docs: DataFrame, rules: dict[str, dict[str, int]], stratum: str = "lang
             over = {k: exceeded(k, m[k]) for k in SIGNALS}
             good = ~base_failed(m).astype(bool)
             for j, s in enumerate(strata):
-                good[j] = good[j] and not any(over[k][j] > i for k, i in rules.get(s, rules.get(OTHER, {})).items())
+                good[j] = good[j] and not any(over[k][j] > i for k, i in rules.get(s, {}).items())
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -44,10 +44,70 @@ def test_upper_bound_is_exact():
     assert quality_rules.upper_bound(5, 5, 0.1) == 1.0
 
 
-def test_choice_stops_at_the_first_failure():
-    assert quality_rules.choose([5000, 0, 0, 0], [10, 5, 5, 80], 0.005, 0.001) == 0
-    assert quality_rules.choose([4000, 0, 900, 100], [10, 5, 5, 80], 0.005, 0.001) is None
-    assert quality_rules.choose([100, 0, 0, 0], [10, 5, 5, 80], 0.005, 0.001) is None  # too few to certify
+def test_certification_stops_at_the_first_failure():
+    assert quality_rules.certified([0, 0, 200, 0], 5000, 0.01, 0.01) == 2
+    assert quality_rules.certified([0], 100, 0.01, 0.01) == 0  # too few to certify
+    assert quality_rules.certified([], 5000, 0.01, 0.01) == 0
+
+
+def brute_kept(measured, labels, risk=0.01, error=0.05):
+    """doc_id of the rows kept: rules by plain loops over documents, the binomial tail summed term by term."""
+    label, signals, cuts = {}, quality_rules.SIGNALS, {k: len(v) for k, v in quality_rules.CUTOFFS.items()}
+    for i, q in labels:
+        if i is not None and q is not None:
+            label[i] = max(label.get(i, 0), q)
+    trials = {}
+    for r in measured:
+        if not r.base_failed and r.doc_id in label:
+            key = (r.stratum, r.mark)
+            trials[key] = (r, label[r.doc_id] > 0 or trials.get(key, (r, False))[1])
+    chooses = {m: pick for m, pick in ((r.mark, r.pick) for r in measured)}
+    orders = {}
+    for s in {s for s, _ in trials}:
+        part = [(r, g) for (t, m), (r, g) in trials.items() if t == s and chooses[m]]
+        found = []
+        for k in signals:
+            gain = {i: sum((not g) - 5 * g for r, g in part if r[k] > i) for i in range(cuts[k])}
+            i = max(gain, key=lambda i: (gain[i], -i))
+            if gain[i] > 0:
+                found.append((-gain[i], signals.index(k), k, i))
+        if found:
+            orders[s] = [(k, i) for _, _, k, i in sorted(found)]
+    rules = {}
+    for s, order in orders.items():
+        good = [r for (t, m), (r, g) in trials.items() if t == s and g and not chooses[m]]
+        for n in range(1, len(order) + 1):
+            wrong = sum(any(r[k] > i for k, i in order[:n]) for r in good)
+            tail = sum(math.comb(len(good), j) * risk**j * (1 - risk) ** (len(good) - j) for j in range(wrong + 1))
+            if tail > error / len(orders):  # at a rate of ``risk`` so few would not be a surprise
+                break
+            rules[s] = order[:n]
+    return rules, {r.doc_id for r in measured if not r.base_failed and not any(r[k] > i for k, i in rules.get(r.stratum, []))}
+
+
+def test_kept_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    data, labels = [], []
+    for s, n in (("a", 1500), ("b", 1100), ("c", 60)):
+        for i in range(n):
+            doc_id = len(data)
+            bad = i % 9 == 0
+            text = prose(doc_id, 40)
+            if bad and i % 2:
+                text = re.sub(r"(\w+)", r"\1### ", text)
+            elif bad:
+                text = text.upper()
+            elif i % 400 == 1:
+                text = text.upper()  # good ones that a rule rejects
+            data.append((doc_id, data[-1][1] if i % 50 == 5 else text, s))
+            labels.append((doc_id, int(not bad)))
+    measured = quality_rules.features(spark.createDataFrame(data, "doc_id bigint, text string, lang string"))
+    rows_ = measured.withColumn("pick", F.pmod(F.xxhash64(F.lit(3), "mark"), F.lit(3)) == 0).collect()
+    rules, kept = brute_kept(rows_, labels)
+    got = quality_rules.calibrate(measured, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    assert {s: list(by.items()) for s, by in got.items()} == rules and set(rules) == {"a", "b"}
+    assert {r.doc_id for r in quality_rules.judge(measured, got).where("kept").collect()} == kept
 
 
 def test_rules_reject_junk_and_keep_good(spark, empty):
