@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyquarry.llm.graph import spread_join
 from skyquarry.llm.text import Texts, as_texts, checkpointed, fresh, grams, sliding_min
 
 
@@ -238,7 +239,10 @@ def _chains(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
 
 
 def _word_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """The words (as hashes) that chains ask for, and every text's number of words; a text comes before its requests."""
+    """The words (as hashes) that chains ask for, and every text's number of words and mark; a text comes before its requests.
+
+    Of different texts with one node only the first is measured, and its mark says which.
+    """
     now, words = None, np.zeros(0, np.uint32)
     for batch in batches:
         rows = []
@@ -253,7 +257,7 @@ def _word_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
                 for _, _, t in as_texts(texts.slice(k, 1)):
                     a, b, _ = t.word_bounds()
                     words = (t.hash_spans(a, b, fold_case=True) >> np.uint64(32)).astype(np.uint32)
-                rows.append((now, None, 0, None, len(words), None, now))
+                rows.append((now, ids[k], 0, None, len(words), None, now))
             elif now == node[k]:
                 a = max(0, lo[k] - s.margin)
                 rows.append((ids[k], ids[k], kind[k], words[a : hi[k] + s.words + s.margin].tobytes(), a, matches[k].as_py(), now))
@@ -262,14 +266,22 @@ def _word_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["route", "id", "side", "words", "at", "matches", "node"])
 
 
-def _edits(a: np.ndarray, b: np.ndarray) -> int:
-    """Edit distance of two short word sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a.tolist(), 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b.tolist(), 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def _edits(a: np.ndarray, b: np.ndarray, most: int = 20) -> int:
+    """Edit distance of two word sequences, or most + 1 if it is larger: within a band of that width it is exact."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    far, x, y = most + 1, a.tolist(), b.tolist()
+    row = {j: j for j in range(min(most, len(y)) + 1)}
+    for i, u in enumerate(x, 1):
+        lo, hi = max(0, i - most), min(len(y), i + most)
+        now = {}
+        for j in range(lo, hi + 1):
+            if j == 0:
+                now[j] = i
+            else:
+                now[j] = min(row.get(j, far) + 1, now.get(j - 1, far) + 1, row.get(j - 1, far) + (u != y[j - 1]))
+        row = now
+    return min(far, row[len(y)])
 
 
 def _extension(same: np.ndarray) -> tuple[int, int]:
@@ -339,7 +351,7 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, s: Setting
     for i in (np.flatnonzero(~straight) + 1).tolist():
         p, q = min(x[i - 1] + s.words, x[i]), min(y[i - 1] + s.words, y[i])
         u, v = a[p : x[i]], b[q : y[i]]
-        edits[i] = _edits(u, v) if len(u) * len(v) <= 4096 else max(len(u), len(v))
+        edits[i] = _edits(u, v)
     out, i = [], 0
     breaks = np.flatnonzero(edits > 20)  # nothing alike between: passages of their own
     for stop in [*breaks.tolist(), n]:
@@ -349,19 +361,19 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, s: Setting
     return out
 
 
-_SPAN = pa.schema([("node", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("partner", pa.int64()), ("repeat", pa.bool_())])
+_SPAN = pa.schema([("node", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("partner", pa.int64()), ("repeat", pa.bool_()), ("mark", pa.int64())])
 
 
 def _span_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Spans of passages on both sides; a row without partner has a text's number of words. Rows sorted by (id, side)."""
+    """Spans of passages on both sides; a row without partner has a text's number of words and its mark. Rows sorted by (id, side)."""
     first = None
     for batch in batches:
         rows = []
         cols = {c: batch.column(c) for c in batch.schema.names}
         ids, sides, at, node = (cols[c].to_pylist() for c in ("id", "side", "at", "node"))
         for k in range(batch.num_rows):
-            if ids[k] is None:
-                rows.append((node[k], 0, at[k], None, False))
+            if sides[k] == 0:
+                rows.append((node[k], 0, at[k], None, False, ids[k]))
             elif sides[k] == 1:
                 first = (ids[k], node[k], at[k], np.frombuffer(cols["words"][k].as_py(), np.uint32))
             elif first is not None and first[0] == ids[k]:
@@ -369,8 +381,8 @@ def _span_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
                 words = np.frombuffer(cols["words"][k].as_py(), np.uint32)
                 x, y = np.frombuffer(cols["matches"][k].as_py(), np.int32).astype(np.int64).reshape(2, -1)
                 for a0, a1, b0, b1, _ in align(other[3], words, x - other[2], y - at[k], s):
-                    rows.append((other[1], other[2] + a0, other[2] + a1, node[k], True))
-                    rows.append((node[k], at[k] + b0, at[k] + b1, other[1], False))
+                    rows.append((other[1], other[2] + a0, other[2] + a1, node[k], True, None))
+                    rows.append((node[k], at[k] + b0, at[k] + b1, other[1], False, None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SPAN.types, strict=True)], schema=_SPAN)
 
@@ -388,7 +400,7 @@ def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _noded(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.withColumn("node", F.xxhash64("text"))
+    return own.withColumn("node", F.xxhash64("text")).withColumn("mark", F.xxhash64("text", F.lit(1)))
 
 
 def _spans(texts: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
@@ -397,7 +409,7 @@ def _spans(texts: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
     found = matches.repartition("a", "b").sortWithinPartitions("a", "b", "places").mapInArrow(lambda b: _chains(b, s), schema)
     found = checkpointed(found.withColumn("id", F.monotonically_increasing_id()))  # numbers are fixed by the checkpoint
     none = F.lit(None)
-    wanted = texts.mapInArrow(_distinct, texts.schema).select("node", F.lit(0).alias("kind"), none.cast("bigint").alias("id"), none.cast("bigint").alias("lo"), none.cast("bigint").alias("hi"), none.cast("binary").alias("matches"), "text")
+    wanted = texts.mapInArrow(_distinct, texts.schema).select("node", F.lit(0).alias("kind"), F.col("mark").alias("id"), none.cast("bigint").alias("lo"), none.cast("bigint").alias("hi"), none.cast("binary").alias("matches"), "text")
     for side, node, lo, hi in ((1, "a", "a0", "a1"), (2, "b", "b0", "b1")):
         own = F.col("matches") if side == 2 else none.cast("binary")
         wanted = wanted.unionAll(found.select(F.col(node).alias("node"), F.lit(side).alias("kind"), "id", F.col(lo).alias("lo"), F.col(hi).alias("hi"), own.alias("matches"), none.cast("string").alias("text")))
@@ -405,7 +417,7 @@ def _spans(texts: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
         lambda b: _word_rows(b, s), "route bigint, id bigint, side int, words binary, at bigint, matches binary, node bigint"
     )
     spans = words.repartition("route").sortWithinPartitions("id", "side")
-    return spans.mapInArrow(lambda b: _span_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean")
+    return spans.mapInArrow(lambda b: _span_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean, mark bigint")
 
 
 def _gram_rows(batches: Iterable[pa.RecordBatch], s: Settings, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -467,8 +479,8 @@ def _equal_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.R
             if h != now:
                 now, head = h, (node, pos)
             elif node != last[0] or pos - last[1] >= s.least:
-                rows.append((node, pos, pos + s.least, head[0], True))
-                rows.append((head[0], head[1], head[1] + s.least, node, False))
+                rows.append((node, pos, pos + s.least, head[0], True, None))
+                rows.append((head[0], head[1], head[1] + s.least, node, False, None))
             last = (node, pos)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SPAN.types, strict=True)], schema=_SPAN)
@@ -490,7 +502,7 @@ def _exact(texts: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
     places = checkpointed(sampled.join(twice, "h", "left_semi").select("node", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
     some = texts.join(places.select("node").distinct(), "node", "left_semi")
     runs = grams_of(some, places, True).repartition("h").sortWithinPartitions("h", "node", "pos")
-    return runs.mapInArrow(lambda b: _equal_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean")
+    return runs.mapInArrow(lambda b: _equal_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean, mark bigint")
 
 
 def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -502,8 +514,8 @@ def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B
     Runs of s.least equal words are all found; passages that are only alike are
     missed where too few seeds are left in them or partners hide them.
     """
-    texts = _noded(docs).select("node", "text")
-    rows = texts.mapInArrow(lambda b: _seed_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
+    texts = _noded(docs).select("node", "mark", "text")
+    rows = texts.select("node", "text").mapInArrow(lambda b: _seed_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
     matches = rows.repartition("route").sortWithinPartitions("h", "a", "places").mapInArrow(lambda b: _match_rows(b, s), "a bigint, b bigint, places bigint")
     spans = checkpointed(_spans(texts, matches, s))
     return spans.unionAll(_exact(texts, spans, s))
@@ -518,6 +530,11 @@ def merged(spans: DataFrame) -> DataFrame:
     return united.groupBy("node", "repeat", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("partner").alias("partner")).drop("run")
 
 
+def _sizes(spans: DataFrame) -> DataFrame:
+    """node, mark and n_words of each text that was measured."""
+    return spans.where("partner is null").groupBy("node").agg(F.max(F.struct("stop", "mark")).alias("x")).select("node", F.col("x.mark").alias("mark"), F.col("x.stop").alias("n_words"))
+
+
 def shared_passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """doc_id, start_word, end_word, n_words (of the text), other_doc_id, repeat: spans of words shared with other documents.
 
@@ -525,21 +542,22 @@ def shared_passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  #
     to remove, so that one is left.  Equal texts of s.least words or more are
     shared as a whole and their least doc_id is the one to keep; other spans are
     given for every copy.  Rows that repeat both doc_id and text count as one
-    document.  Null, empty and short texts share nothing; null doc_ids are never
-    the ones kept.  Other columns are not looked at.
+    document.  A text is known by two 64-bit hashes; one that shares the first but
+    not the second with a text that was measured has no spans.  Null, empty and
+    short texts share nothing; null doc_ids are kept only where there is no other.
+    Other columns are not looked at.
     """
     spans = checkpointed(passages(docs, s))
-    sizes = spans.where("partner is null").groupBy("node").agg(F.max("stop").alias("n_words"))
-    rows = _noded(docs).select("doc_id", "node").distinct()
-    texts = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).join(sizes, "node")
+    rows = _noded(docs).select("doc_id", "node", "mark").distinct()
+    texts = checkpointed(rows.groupBy("node", "mark").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).join(_sizes(spans), ["node", "mark"]))
     partner = texts.select(F.col("node").alias("partner"), F.col("least").alias("other_doc_id"))
-    fuzzy = merged(spans).join(partner, "partner").select("node", "start", "stop", "other_doc_id", "repeat")
-    own = rows.join(texts, "node")
-    kept = F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False))
-    whole = own.where((F.col("copies") > 1) & (F.col("n_words") >= s.least))
-    whole = whole.select("doc_id", F.lit(0).cast("bigint").alias("start_word"), F.col("n_words").alias("end_word"), "n_words", F.col("least").alias("other_doc_id"), (~kept).alias("repeat"))
-    part = own.join(fuzzy, "node").select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("end_word"), "n_words", "other_doc_id", "repeat")
-    return whole.unionAll(part)
+    fuzzy = merged(spans).join(partner, "partner").groupBy("node").agg(F.collect_list(F.struct("start", "stop", "other_doc_id", "repeat")).alias("spans"))
+    facts = texts.where((F.col("copies") > 1) & (F.col("n_words") >= s.least)).select("node", F.lit(True).alias("copied")).join(fuzzy, "node", "full").join(texts, "node")
+    own = spread_join(rows, facts, ["node", "mark"], ["doc_id"])
+    whole = F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("stop"), F.col("least").alias("other_doc_id"), (~F.col("doc_id").eqNullSafe(F.col("least"))).alias("repeat"))
+    every = F.concat(F.when(F.col("copied"), F.array(whole)).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint,other_doc_id:bigint,repeat:boolean>>")), F.coalesce("spans", F.array()))
+    found = own.select("doc_id", "n_words", F.explode(every).alias("x"))
+    return found.select("doc_id", F.col("x.start").alias("start_word"), F.col("x.stop").alias("end_word"), "n_words", "x.other_doc_id", "x.repeat")
 
 
 def cut_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -547,18 +565,22 @@ def cut_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa
 
     A span goes with the white space after it.  Documents of which no word is left
     go as a whole; ``n_chars``, where there is such a column, is counted anew for
-    texts that were cut.
+    texts that were cut.  Of equal texts of s.least words or more the document with
+    the least doc_id stays; rows that repeat both doc_id and text, null ids
+    included, are one document and stay or go together.  Null, empty and short
+    texts stay as they are; extra columns are carried along, whatever their names.
     """
     spans = checkpointed(passages(docs, s))
     names = docs.columns
-    node, found, copied, least = fresh(docs, "node", "cuts", "copied", "least")
-    cuts = merged(spans).where("repeat").groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias(found)).withColumnRenamed("node", f"{node}_")
-    marked = docs.withColumn(node, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    sizes = spans.where("partner is null").groupBy("node").agg(F.max("stop").alias("n")).where(F.col("n") >= s.least).select(F.col("node").alias(copied))
-    copies = marked.groupBy(node).agg(F.min("doc_id").alias(least), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = copies.join(sizes, copies[node] == sizes[copied]).select(copied, least)
-    joined = marked.join(cuts, F.col(node) == F.col(f"{node}_"), "left").join(copies, F.col(node) == F.col(copied), "left")
-    joined = joined.where(F.col(copied).isNull() | F.coalesce(F.col("doc_id") == F.col(least), F.lit(False))).select(*names, found)
+    node, mark, found, copied, least, total = fresh(docs, "node", "mark", "cuts", "copied", "least", "total")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.withColumn(node, F.xxhash64(text)).withColumn(mark, F.xxhash64(text, F.lit(1)))
+    sizes = _sizes(spans).select(F.col("node").alias(node), F.col("mark").alias(mark), "n_words")
+    cuts = merged(spans).where("repeat").groupBy(F.col("node").alias(node)).agg(F.collect_list(F.struct("start", "stop")).alias(found)).join(sizes.select(node, mark), node)
+    copies = marked.groupBy(node, mark).agg(F.min("doc_id").alias(least), F.count(F.lit(1)).alias(total)).where(F.col(total) > 1)
+    copies = copies.join(sizes.where(F.col("n_words") >= s.least).select(node, mark), [node, mark]).select(node, mark, least, F.lit(True).alias(copied))
+    joined = spread_join(marked, cuts.join(copies, [node, mark], "full"), [node, mark], ["doc_id"], "left")
+    joined = joined.where(F.col(copied).isNull() | F.col("doc_id").eqNullSafe(F.col(least))).select(*names, found)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -141,3 +141,27 @@ def test_fragments_hide_no_exact_passage(spark):
             w = t.lower().split()
             for p in range(len(w) - s.least + 1):
                 assert before[tuple(w[p : p + s.least])] == 1 or any(a <= p and p + s.least <= b for a, b in spans.get(i, []))
+
+
+def test_null_ids_clashing_names_and_wide_gaps(spark):
+    text = prose(70, 120)
+    df = spark.createDataFrame([(None, text, 1, 2), (None, text, 1, 2), (4, prose(71, 90), 1, 2)], "doc_id bigint, text string, node_ int, salt int")
+    out = chaining.cut_repeats(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(0, text), (0, text), (4, prose(71, 90))])
+    df = df.union(spark.createDataFrame([(9, text, 1, 2), (8, text, 1, 2)], df.schema))
+    assert sorted(r.doc_id for r in chaining.cut_repeats(df).collect()) == [4, 8]
+    assert {(r.doc_id, r.repeat) for r in chaining.shared_passages(df).collect()} == {(None, True), (8, False), (9, True)}
+
+
+def test_edits_in_a_band():
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        a, b = (rng.integers(0, 4, rng.integers(0, 40)) for _ in "ab")
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        for most in (3, 20, 60):
+            assert chaining._edits(a, b, most) == min(row[-1], most + 1)
