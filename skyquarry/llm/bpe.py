@@ -52,7 +52,8 @@ class WordBpe:
         self.suffix: str = model["end_of_word_suffix"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.letters = {b: c for c, b in byte_characters().items()}
+        self.bytes = byte_characters()
+        self.letters = {b: c for c, b in self.bytes.items()}
         names = self.ids | self.special
         self.tokens = [""] * (max(names.values()) + 1)
         for token, i in names.items():
@@ -143,7 +144,10 @@ class WordBpe:
         return tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def encode_word(self, word: str) -> bytes:
-        parts = self.fragments_of(word.encode())
+        return self.encode_bytes(word.encode())
+
+    def encode_bytes(self, word: bytes) -> bytes:
+        parts = self.fragments_of(word)
         last = len(parts) - 1
         if self.fast:
             of = self.of_rank
@@ -162,10 +166,10 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; special tokens' strings become their ids."""
-        if unsettled(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
         if not any(s in text for s in self.special):
+            if unsettled(text):  # the library says what is a word, here too each is cut and merged by itself
+                words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                return b"".join(self.encode_bytes(bytes(map(self.bytes.__getitem__, w))) for w, _ in words)
             return b"".join(map(self.known.__getitem__, self.words(self.normalize(text))))
         return b"".join(struct.pack("<I", self.special[p]) if p in self.special else self.encode(p) for p in self.split(text) if p)
 

@@ -36,6 +36,13 @@ def test_equals_the_library(text):
     assert PLAIN.encode(text) == want[0]
 
 
+def test_other_scripts_go_through_forced_boundaries_too():
+    texts = ["مرحبا بالعالم 123", "שלום עולם", "नमस्ते दुनिया", "สวัสดีชาวโลก ๑๒", "🤷🏽‍♂️ → ok 👍👍", "Привет, мир → ΑΣ", "한국어 中文 かな", "ａｂｃ ǅ ﬁ Ⅻ ½", "a\u0301 \u1e9b\u0323 <|endoftext|> \u200d"]
+    for text in [*texts, " ".join(texts)]:
+        assert (FAST.encode(text), FAST.decode(FAST.encode(text))) == expected(text)
+        assert PLAIN.encode(text) == expected(text)[0]
+
+
 def test_fragments_are_independent():
     assert PLAIN.consistent()
     for word in ("zxqj", "ß", "èçß", "internationalization"):

@@ -73,7 +73,7 @@ def test_plan_is_optimal(sizes, size, seed):
 @given(st.text(max_size=80))
 def test_ids_equal_the_library(text):
     own, _ = packing.tokenizer(PATH)
-    assert own.encode(text) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids if "<|" in text else True
+    assert own.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
     assert own.encode(text + " <|endoftext|>a") == LIBRARY.encode(text + " <|endoftext|>a", add_special_tokens=False).ids
 
 
