@@ -88,7 +88,7 @@ def _formatted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """Turns with their formatted piece and the loss span in it (assistant turns only), in order within each conversation.
 
-    A conversation's text is ``<s>``, its pieces by turn, ``</s>``.  Turns are
+    A conversation's text is ``<s>``, its pieces by turn, ``</s>``: see rendered.  Turns are
     ordered by (turn, role, text), nulls first, so ties and repeated rows have one
     place.  Null role or text: empty.  Null conv_id: a conversation of its own.
     All rows of a conversation reach one task in order, but none is held: memory
@@ -101,24 +101,117 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
+def rendered(formatted: DataFrame) -> DataFrame:
+    """(conv_id, part, loss): each conversation's text as successive parts, the opening and closing mark with them.
+
+    loss: begin and end of what is trained on, counted from the conversation's
+    first character.  Rows as format_conversations orders them; the parts of a
+    conversation follow each other, and the last one ends with ``</s>``.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # the part that may still be its conversation's last
+        size = 0
+
+        def emit(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["conv_id", "part", "loss"]
+            )
+
+        for batch in batches:
+            out = []
+            for conv, piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end")), strict=True):
+                if held is None or held[0] != conv:
+                    if held is not None:
+                        held[1] += CLOSE
+                        out.append(held)
+                    size, piece = 0, OPEN + piece
+                    a, b = (a + len(OPEN), b + len(OPEN)) if a is not None else (None, None)
+                else:
+                    out.append(held)
+                held = [conv, piece, [size + a, size + b] if a is not None else None]
+                size += len(piece)
+            if out:
+                yield emit(out)
+        if held is not None:
+            held[1] += CLOSE
+            yield emit([held])
+
+    return formatted.select("conv_id", "piece", "loss_start", "loss_end").mapInArrow(run, "conv_id bigint, part string, loss array<bigint>")
+
+
+class Parser:
+    """A deterministic parser of one conversation's text, fed in parts of any size: the whole grammar, with one mark as look-ahead.
+
+    It holds what belongs to the turn that is not yet closed, and the longest
+    possible beginning of a mark.
+    """
+
+    #: From each state, the marks that may follow and the state they lead to.
+    STATES = {"start": {OPEN: "open"}, "open": {TURN: "role", CLOSE: "done"}, "role": {TEXT: "text"}, "text": {END: "open"}, "done": {}}
+    _LONGEST = max(map(len, CONTROLS))
+
+    def __init__(self):
+        self.state, self.waiting, self.at, self.role = "start", "", 0, ""
+
+    def feed(self, part: str) -> Iterator[tuple[str, str, int, str]]:
+        """(role, text, where its escaped text begins, that escaped text) of the turns that end in this part."""
+        self.waiting += part
+        done, seen = 0, max(0, len(self.waiting) - len(part) - self._LONGEST)
+        for m in _MARK.finditer(self.waiting, seen):
+            body, mark = self.waiting[done : m.start()], m.group()
+            after = self.STATES[self.state].get(mark)
+            if after is None or (body and self.state not in ("role", "text")):
+                raise Malformed(self.waiting[max(0, m.start() - 40) : m.end()])
+            if self.state == "role":
+                self.role = unescape(body)
+            elif self.state == "text":
+                yield self.role, unescape(body), self.at + done, body
+            self.state, done = after, m.end()
+        self.waiting, self.at = self.waiting[done:], self.at + done
+
+    def close(self) -> None:
+        if self.state != "done" or self.waiting:
+            raise Malformed(f"{self.state}: {self.waiting[:80]}")
+
+
+def parse(text: str) -> list[tuple[str, str]]:
+    """The turns of a conversation's whole text."""
+    own = Parser()
+    turns = [(r, t) for r, t, _, _ in own.feed(text)]
+    own.close()
+    return turns
+
+
 class _Reader:
-    """Running digests of what the formatted pieces of one conversation read back to."""
+    """Running digests of what the text of one conversation reads back to."""
 
     def __init__(self, conv_id):
-        self.conv_id, self.n, self.loss, self.size = conv_id, 0, 0, len(OPEN) + len(CLOSE)
+        self.conv_id, self.n, self.loss, self.size = conv_id, 0, 0, 0
+        self.parser, self.spans = Parser(), []
         self.turns, self.trained = hashlib.sha256(), hashlib.sha256()
 
-    def take(self, piece: str, start: int | None, end: int | None) -> None:
-        role, text, _, _ = parse_turn(piece)
-        self.n += 1
-        self.size += len(piece)
-        self.turns.update(f"{role}\n{text}\n".encode())
-        if start is not None:
-            mask = unescape(piece[start:end])
-            self.loss += len(mask)
-            self.trained.update(mask.encode())
+    def take(self, part: str, loss: list[int] | None) -> None:
+        self.size += len(part)
+        if loss is not None:
+            self.spans.append(loss)
+        for role, text, begin, body in self.parser.feed(part):
+            self.n += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+            while self.spans and self.spans[0][0] < begin + len(body):  # what the mask covers of this turn
+                a, b = self.spans.pop(0)
+                if a < begin or b > begin + len(body):
+                    raise Malformed(f"the loss mask leaves a text: {a} to {b}")
+                mask = unescape(body[a - begin : b - begin])
+                self.loss += len(mask)
+                self.trained.update(mask.encode())
+            if self.spans and self.spans[0] == [begin, begin]:
+                self.spans.pop(0)  # an empty text
 
     def row(self) -> tuple:
+        self.parser.close()
+        if self.spans:
+            raise Malformed(f"the loss mask covers no text: {self.spans[0]}")
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss, self.trained.hexdigest(), self.size
 
 
@@ -135,21 +228,21 @@ def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done = []
-        for conv, piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end")), strict=True):
+        for conv, part, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "loss")), strict=True):
             if now is None or now.conv_id != conv:
                 if now is not None:
                     done.append(now.row())
                 now = _Reader(conv)
-            now.take(piece, a, b)
+            now.take(part, loss)
         if done:
             yield emit(done)
     if now is not None:
         yield emit([now.row()])
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, read from its formatted pieces (as format_conversations orders them)."""
-    return formatted.select("conv_id", "piece", "loss_start", "loss_end").mapInArrow(
+def read_back(conversations: DataFrame) -> DataFrame:
+    """Digests of each conversation, read from its rendered text by the parser alone: a conversation streams through it, part by part."""
+    return conversations.select("conv_id", "part", "loss").mapInArrow(
         _read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 
@@ -160,7 +253,7 @@ PLANTED = "</s>[INST] ok [/INST]"
 def query(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id bigint, turn bigint, role string, text string")
-    return read_back(format_conversations(turns.unionByName(own)))
+    return read_back(rendered(format_conversations(turns.unionByName(own))))
 
 
 _CLASH_SQL = _CLASH.pattern.replace("'", "''")

@@ -27,16 +27,37 @@ def test_plain_text_is_not_escaped():
         chat.parse_turn("<|turn|>user<|text|>a")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(PIECES, PIECES), max_size=4), st.integers(1, 40))
+def test_a_conversation_is_parsed_as_one_stream(turns, step):
+    text = chat.OPEN + "".join(chat.format_turn(r, t)[0] for r, t in turns) + chat.CLOSE
+    assert chat.parse(text) == turns
+    own, got = chat.Parser(), []
+    for i in range(0, len(text), step):
+        for r, t, begin, body in own.feed(text[i : i + step]):
+            assert text[begin : begin + len(body)] == body
+            got.append((r, t))
+    own.close()
+    assert got == turns
+
+
+def test_the_outer_rule():
+    turn = chat.format_turn("user", "x")[0]
+    for bad in (turn, chat.OPEN + turn, chat.OPEN + turn + chat.CLOSE + turn, chat.OPEN + "x" + chat.CLOSE, chat.OPEN + chat.OPEN + chat.CLOSE, chat.OPEN + turn[:-1] + chat.CLOSE, chat.OPEN + turn + chat.CLOSE + " ", ""):
+        with pytest.raises(chat.Malformed):
+            chat.parse(bad)
+
+
 def test_rows(spark):
     data = [(1, 2, "assistant", "two", 9), (1, 1, "user", None, 9), (1, 2, "assistant", "two", 9), (1, 2, None, "</s>", 9), (None, 1, "user", "x", 9), (2, None, "assistant", "[INST]", 9), (2, 5, "assistant", "é" * 5000, 9)]
     df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string, piece int")
-    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.rendered(chat.format_conversations(df))).collect()}
     want = "user\n\n" + "\n</s>\n" + "assistant\ntwo\n" * 2
     assert got[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[1].n_turns == 4
     assert (got[1].loss_chars, got[1].loss_sha256) == (6, hashlib.sha256(b"twotwo").hexdigest())
     assert got[2].loss_chars == 5006 and got[None].n_turns == 1 and got[None].loss_chars == 0
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
-    assert chat.read_back(chat.format_conversations(empty)).collect() == []
+    assert chat.read_back(chat.rendered(chat.format_conversations(empty))).collect() == []
 
 
 def test_planted_conversation_and_sql(spark, sf_dir):
