@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquarry.llm.text import checkpointed, fresh
+from skyquarry.llm.text import tabled, fresh
 
 #: A frequent key's rows are dealt over so many tasks.
 SALTS = 64
@@ -31,11 +31,9 @@ def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[Col
 
 
 def _starred(edges: DataFrame) -> DataFrame:
-    """Each node's least neighbour, itself included, joined back to its edges: (u, v, m); a hub's edges are dealt over many tasks."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    least = salted.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("salt").alias("salts"))
-    least = least.select("u", F.least("u", "m").alias("m"), F.explode("salts").alias("salt"))
-    return salted.join(least, ["u", "salt"]).select("u", "v", "m")
+    """Each node's least neighbour, itself included, joined back to its edges: (u, v, m)."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return edges.join(least, "u")  # a hub's edges, two numbers each, can be split: the other side has one row a node
 
 
 def connected_components(edges: DataFrame, a: str, b: str, node_type: str = "bigint") -> DataFrame:
@@ -43,20 +41,20 @@ def connected_components(edges: DataFrame, a: str, b: str, node_type: str = "big
 
     Alternating large-star and small-star steps.  Neither edges nor labels reach the
     driver: only a count and a checksum that tell when nothing changes any more.
-    Each round is checkpointed.  Loops and repeated edges change nothing; edges with
+    Each round is tabled.  Loops and repeated edges change nothing; edges with
     a null end are left out.
     """
     now = edges.select(F.col(a).cast(node_type).alias("u"), F.col(b).cast(node_type).alias("v")).where("u is not null and v is not null")
     nodes = now.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now = checkpointed(now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = tabled(now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _starred(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _starred(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         joined = _starred(small)
         own = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = checkpointed(own.where("u <> v").distinct())
+        now = tabled(own.where("u <> v").distinct())
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:
             break
@@ -74,7 +72,7 @@ def components_of_buckets(members: DataFrame, verified: Callable[[DataFrame], Da
     and no task ever holds a bucket.  What is linked is compared once; a bucket of n
     members that are not linked takes log2(n) rounds, and n / CENTRES beyond that.
     """
-    labels = checkpointed(members.select("node", F.col("node").alias("label")).distinct())
+    labels = tabled(members.select("node", F.col("node").alias("label")).distinct())
     step = 0
     while True:
         rows = members.join(labels, "node").withColumn("h", F.xxhash64("node", F.lit(step)))
@@ -82,17 +80,17 @@ def components_of_buckets(members: DataFrame, verified: Callable[[DataFrame], Da
         share = F.lit(float(min(1 << step, CENTRES))) / F.col("n")
         centre = (F.col("h") == F.col("first")) | ((F.col("h").cast("double") / 2.0**64 + 0.5) < share)
         rows = spread_join(rows, mixed.select("bucket", "n", "first"), ["bucket"], ["node"])
-        rows = checkpointed(rows.select("bucket", "node", "label", centre.alias("centre")))
+        rows = tabled(rows.select("bucket", "node", "label", centre.alias("centre")))
         if rows.isEmpty():
             return labels
         centres = rows.where("centre").groupBy("bucket").agg(F.collect_list(F.struct("node", "label")).alias("centres"))
         pairs = spread_join(rows, centres, ["bucket"], ["node"]).withColumn("c", F.explode("centres"))
         pairs = pairs.where("c.label <> label and not (centre and c.node > node)").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-        found = checkpointed(verified(pairs))
+        found = tabled(verified(pairs))
         members = rows.where("not centre").select("bucket", "node")
         step += 1
         if found.isEmpty():
             continue
         named = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        merged = connected_components(checkpointed(named.select("la", "lb").distinct()), "la", "lb")
-        labels = checkpointed(spread_join(labels, merged.withColumnRenamed("node", "label"), ["label"], ["node"], "left").select("node", F.coalesce("component", "label").alias("label")))
+        merged = connected_components(tabled(named.select("la", "lb").distinct()), "la", "lb")
+        labels = tabled(spread_join(labels, merged.withColumnRenamed("node", "label"), ["label"], ["node"], "left").select("node", F.coalesce("component", "label").alias("label")))

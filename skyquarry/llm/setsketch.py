@@ -279,17 +279,19 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  #
     nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", "one", "n", "bands"))  # numbers are fixed by the checkpoint
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("centre < last")
-    members = checkpointed(spread_join(members, buckets.select("bucket", "centre", "size"), ["bucket"], ["node"]))
+    members = checkpointed(members.join(buckets.select("bucket", "centre", "size"), "bucket"))
     clusters = connected_components(members.where("centre <> node").select("node", "centre").distinct(), "node", "centre")
     clusters = checkpointed(clusters.withColumnRenamed("component", "cluster"))
     needed = clusters.join(nodes.select("node", "one", "n"), "node")
     size = needed.groupBy("cluster").agg(F.sum("n").alias("shingles"))
     pairs = members.where("centre = node").select("node", F.expr("size * (size - 1) div 2").alias("pairs")).join(clusters, "node").groupBy("cluster").agg(F.sum("pairs").alias("pairs"))
     large = checkpointed(size.join(pairs, "cluster").where((F.col("shingles") > s.most) | (F.col("pairs") > s.most_pairs)).select("cluster", F.lit(True).alias("large")))
-    needed = spread_join(needed, large, ["cluster"], ["node"], "left").select("node", "cluster", F.coalesce("large", F.lit(False)).alias("large"), F.col("one.doc_id").alias("id"), F.col("one.mark").alias("mark"))
+    none = large.isEmpty()
+    needed = needed.withColumn("large", F.lit(False)) if none else needed.join(large, "cluster", "left")
+    needed = needed.select("node", "cluster", F.coalesce("large", F.lit(False)).alias("large"), F.col("one.doc_id").alias("id"), F.col("one.mark").alias("mark"))
     marked = own.select("doc_id", F.xxhash64("text").alias("own_mark"), "text")
     texts = needed.join(marked, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("own_mark"))).select("node", "cluster", "large", "text")
-    if large.isEmpty():
+    if none:
         labels = _in_memory(_single(texts), s)
     else:
         texts = checkpointed(_single(texts))
@@ -301,7 +303,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  #
     named = nodes.select("node", "set_key", "one").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = checkpointed(named)
     least = named.groupBy("label").agg(F.min("one").alias("best"))
-    named = spread_join(named, least, ["label"], ["node"]).select("set_key", "best")
+    named = named.join(least, "label").select("set_key", "best")
     out = spread_join(sketched.drop("bands"), named, ["set_key"], ["doc_id", "mark"], "left")
     alone = F.col("set_key").isNull()
     first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))

@@ -209,7 +209,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     named = nodes.select("node", "set_key", "least", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = checkpointed(named)
     best = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    named = spread_join(named, best, ["label"], ["node"]).select("set_key", "class_id", "copies")
+    named = named.join(best, "label").select("set_key", "class_id", "copies")
     out = spread_join(rows.drop("signatures"), named, ["set_key"], ["doc_id"], "left")
     return out.select("doc_id", "n_signatures", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_links"))
 

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +46,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table written to the shared folder and read again; the shuffle files that led there go at once.
-
-    A table has its true size; a checkpoint would hand on the sizes that the planner
-    guesses, which are multiplied in every join and double their digits each round.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/skyquarry-{uuid.uuid4()}"
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.select("*").write.parquet(path)  # a plan made under this setting
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint in the shared folder; the shuffle files that led there go at once."""
+    checkpoint_dir(df.sparkSession)
+    with _tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan made under this setting
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder, for loops.
+
+    A table has its true size; a checkpoint hands on the size that the planner
+    guesses, which every join multiplies, so that its digits double each round.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/skyquarry-{uuid.uuid4()}"
+    with _tidy(spark):
+        df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
