@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyquarry.llm.graph import spread_join
 from skyquarry.llm.text import _INVERSE, as_texts, checkpointed, mix, powers, sliding_min
 
 
@@ -35,6 +36,10 @@ class Settings:
     hold: int = 1 << 19
     hold_suffixes: int = 1 << 15
 
+    def __post_init__(self):
+        if not 0 < self.seed <= self.length < 256:
+            raise ValueError("a length has to fit a byte, and a seed has to fit a length")
+
 
 _PLACE_BITS = 24
 
@@ -420,9 +425,8 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), digest: bool = Fal
     cut = cut.select("m1", "m2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept") if digest else "kept")
     own = [F.sha2(F.col("text").cast("binary"), 256).alias("own")] if digest else []
     rows = marked.select("doc_id", "m1", "m2", F.octet_length("text").cast("bigint").alias("n_bytes"), *own)
-    copies = rows.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m1", "m2", F.lit(True).alias("copied"))
-    whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= s.length)
-    out = rows.join(cut, ["m1", "m2"], "left").join(copies, ["m1", "m2"], "left")
+    out = spread_join(rows, cut, ["m1", "m2"], ["doc_id"], "left", count="copies")
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= s.length)
     nothing = F.sha2(F.lit(b""), 256) if digest else F.lit(b"")
     return out.select(
         "doc_id",
