@@ -224,3 +224,24 @@ def light(azimuth: float, altitude: float) -> tuple[float, float, float]:
 
     a, h = math.radians(90 - azimuth), math.radians(altitude)
     return math.cos(a) * math.cos(h), math.sin(a) * math.cos(h), math.sin(h)
+
+
+def image_thumbnail(w: Column, h: Column, center_x: Column, center_y: Column, zoom: Column, size: Column) -> Column:
+    """Of an image's view: left, top (of the part around the centre), off_x, off_y (what the zoom cuts off), scale and size.
+
+    The centre is given in shares of the image; each further zoom level doubles.
+    No view is larger than the image's longer side.
+    """
+    scale = F.pow(F.lit(2.0), zoom - 1)
+    return F.struct(
+        (w * (center_x - 0.5)).alias("left"), (h * (center_y - 0.5)).alias("top"),
+        (w / 2.0 - w / scale / 2.0).alias("off_x"), (h / 2.0 - h / scale / 2.0).alias("off_y"),
+        scale.alias("scale"), F.least(F.greatest(w, h), size).cast("bigint").alias("size"),
+    )
+
+
+def drawn_point(x: Column, y: Column, radius: Column, w: Column, h: Column, center_x: Column, center_y: Column, zoom: Column) -> tuple[Column, Column, Column]:
+    """Where a point, in shares of the image, lies in its view before it is shrunk, and its radius (in hundredths of the longer side)."""
+    view = image_thumbnail(w, h, center_x, center_y, zoom, F.lit(1))
+    k = view["scale"]
+    return (x + 0.5 - center_x) * w * k - view["off_x"] * k, (y + 0.5 - center_y) * h * k - view["off_y"] * k, radius * F.greatest(w, h) / 100.0
