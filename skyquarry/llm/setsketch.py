@@ -38,7 +38,7 @@ class Settings:
     rate: float = 20.0
     #: Shingles, and pairs with a common band, of the clusters that one task resolves in memory; larger ones go through rounds of joins.
     most: int = 1 << 24
-    most_pairs: int = 1 << 22
+    most_pairs: int = 1 << 26
 
     def rows(self) -> int:
         """Registers a band: as many as keep the chance of missing a pair at the threshold below ``miss``."""
@@ -126,8 +126,11 @@ def resolve(nodes: list[int], sets: list[np.ndarray], s: Settings) -> list[int]:
     least = s.margin()
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
-        d = regs[others].astype(np.int32) - regs[i]
-        guess = estimate((d < 0).sum(1), (d > 0).sum(1), int(sizes[i]), sizes[others], s)
+        parts = []
+        for k in range(0, len(others), 4096):
+            x = regs[others[k : k + 4096]]
+            parts.append(estimate((x < regs[i]).sum(1), (x > regs[i]).sum(1), int(sizes[i]), sizes[others[k : k + 4096]], s))
+        guess = np.concatenate(parts)
         order = np.argsort(-guess, kind="stable")
         return others[order[guess[order] >= least]]
 
