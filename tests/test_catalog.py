@@ -11,28 +11,28 @@ from skyquarry.operators import lifecycle as li
 
 @pytest.fixture(scope="module")
 def world(spark):
-    users = spark.createDataFrame([(1, "testsuperuser", "superuser@test.com"), (2, "testuser", "user@test.com"), (3, "testuser2", "user2@test.com")], "id long, username string, email string")
+    users = spark.createDataFrame([(1, "bossquarry", "boss@quarry.example"), (2, "surveyor", "first@bench.example"), (3, "surveyor2", "second@bench.example")], "id long, username string, email string")
     projects = spark.createDataFrame(
-        [(1, 2, "test project", "b c .hidden"), (2, 2, "test project2", "c d"), (3, 2, "User Test Project", ""), (4, 1, "Super User Test Project", "")], "id long, owner_id long, name string, tags string"
+        [(1, 2, "north pit", "bank clay .quiet"), (2, 2, "north pit2", "clay dust"), (3, 2, "East Ramp", ""), (4, 1, "Old Tailings", "")], "id long, owner_id long, name string, tags string"
     )
-    tasks = spark.createDataFrame([(10, 1, "TestTask0", ""), (11, 1, "TestTask1", "d e .hidden"), (12, 2, "TestTask2", "ee .hidden")], "id long, project_id long, name string, tags string")
+    tasks = spark.createDataFrame([(10, 1, "Flight0", ""), (11, 1, "Flight1", "dust edge .quiet"), (12, 2, "Flight2", "edges .quiet")], "id long, project_id long, name string, tags string")
     return projects, tasks, users
 
 
 @pytest.mark.parametrize(
     ("text", "ids"),
-    [(":c", [1, 2]), (":d", [2]), ("project2", [2]), ("::e", [1]), ("::hidden", [1, 2]), ("TestTask2", [2]), ("@tEstUsEr", [1, 2, 3]), ("@tEstUsEr TestTask2", [2]), ("@TestTask2", []), ("...", [1, 2, 3, 4])],
+    [(":clay", [1, 2]), (":dust", [2]), ("pit2", [2]), ("::edge", [1]), ("::quiet", [1, 2]), ("Flight2", [2]), ("@sUrVeYoR", [1, 2, 3]), ("@sUrVeYoR Flight2", [2]), ("@Flight2", []), ("...", [1, 2, 3, 4])],
 )
 def test_search(world, text, ids):
     assert sorted(r.id for r in c.search_projects(*world, text).collect()) == ids
 
 
 def test_user_prefix(world):
-    assert [r.id for r in c.starts_with_either(world[2], "super", "username", "email").collect()] == [1]
+    assert [r.id for r in c.starts_with_either(world[2], "boss", "username", "email").collect()] == [1]
 
 
 def test_task_listing(spark):
-    rows = [(1, 40, "dsm.tif,georeferenced_model.laz", None, None, None, None, -82.8325, 27.9578, -82.8310, 27.9593), (2, 30, "orthophoto.tif,georeferenced_model.laz", -82.8325, 27.9578, -82.8310, 27.9593, None, None, None, None)]
+    rows = [(1, 40, "dsm.tif,georeferenced_model.laz", None, None, None, None, -11.4325, 48.4578, -11.4310, 48.4593), (2, 30, "orthophoto.tif,georeferenced_model.laz", -11.4325, 48.4578, -11.4310, 48.4593, None, None, None, None)]
     df = spark.createDataFrame(rows, "id int, status int, assets string, ox0 double, oy0 double, ox1 double, oy1 double, dx0 double, dy0 double, dx1 double, dy1 double")
     ids = lambda d: sorted(r.id for r in d.collect())
     assert ids(c.matching(df, {"status": 40})) == [1]
@@ -42,7 +42,7 @@ def test_task_listing(spark):
         box = c.parse_box(text)
         return ids(df.where(c.overlaps(box, *(F.col(f"o{k}") for k in ("x0", "y0", "x1", "y1"))) | c.overlaps(box, *(F.col(f"d{k}") for k in ("x0", "y0", "x1", "y1")))))
 
-    assert inside("-82.8320,27.9588,-82.8310,27.9593") == [1, 2] and inside("-82.8420,27.9688,-82.8410,27.9693") == []
+    assert inside("-11.4320,48.4588,-11.4310,48.4593") == [1, 2] and inside("-11.4420,48.4688,-11.4410,48.4693") == []
     with pytest.raises(ValueError):
         c.parse_box("bad")
 
