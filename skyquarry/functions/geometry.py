@@ -117,3 +117,10 @@ def geojson_ring(text: Column) -> Column:
     feature = F.from_json(text, f"geometry struct<{geometry.replace(' string', ':string').replace('coordinates ', 'coordinates:')}>")["geometry"]
     rings = F.coalesce(bare["coordinates"], feature["coordinates"])
     return F.transform(F.try_element_at(rings, F.lit(1)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+
+
+def epsg_code(wkt: Column) -> Column:
+    """epsg_of as a Column: the last code of the horizontal part; null where there is none."""
+    flat = F.regexp_replace(wkt, r"(?is),\s*(VERT_CS|VERTCRS|VERTICALCRS)\s*\[.*$", "")
+    codes = F.regexp_extract_all(flat, F.lit(r'(?i)(?:AUTHORITY|ID)\s*\[\s*"EPSG"\s*,\s*"?(\d+)"?'), F.lit(1))
+    return F.try_element_at(codes, F.lit(-1)).cast("int")

@@ -226,6 +226,12 @@ def light(azimuth: float, altitude: float) -> tuple[float, float, float]:
     return math.cos(a) * math.cos(h), math.sin(a) * math.cos(h), math.sin(h)
 
 
+def light_of(azimuth: Column, altitude: Column) -> tuple[Column, Column, Column]:
+    """light as Columns."""
+    a, h = F.radians(90 - azimuth), F.radians(altitude)
+    return F.cos(a) * F.cos(h), F.sin(a) * F.cos(h), F.sin(h)
+
+
 def image_thumbnail(w: Column, h: Column, center_x: Column, center_y: Column, zoom: Column, size: Column) -> Column:
     """Of an image's view: left, top (of the part around the centre), off_x, off_y (what the zoom cuts off), scale and size.
 

@@ -66,7 +66,7 @@ FORMULAS: dict[str, Formula] = {
 }
 
 #: The camera filters, as band orders.
-FILTERS = "RGB RGN NGB NRG NRB RGBN RGNRe GRReN RGBNRe BGRNRe BGRReN RGBReN RGBNReL BGRNReL BGRReNL RGBNRePL L".split()
+FILTERS = ["RGB", "RGN", "NGB", "NRG", "NRB", "RGBN", "RGNRe", "GRReN", "RGBNRe", "BGRNRe", "BGRReN", "RGBReN", "RGBNReL", "BGRNReL", "BGRReNL", "RGBNRePL", "L"]
 #: Names that band descriptions use.
 ALIASES = {"R": ["red", "r"], "G": ["green", "g"], "B": ["blue", "b"], "N": ["nir", "n"], "Re": ["rededge", "re"], "P": ["panchro", "p"], "L": ["lwir", "l"]}
 BY_ALIAS = {a: band for band, names in ALIASES.items() for a in names}
@@ -169,3 +169,44 @@ def export_settings(kind: str, fmt: str, formula: str | None = None, bands: str
 def needs_no_work(kind: str, fmt: str, **options: object) -> bool:
     """A plain GeoTIFF of the raster as it is: nothing to compute."""
     return fmt == "gtiff" and not any(v not in (None, "") for v in options.values())
+
+
+def no_work_needed(kind: Column, fmt: Column, *options: Column) -> Column:
+    """needs_no_work for a relation of requests: a plain GeoTIFF and no option that is neither null nor empty."""
+    idle = fmt == "gtiff"
+    for x in options:
+        idle = idle & (x.isNull() | (x.cast("string") == ""))
+    return idle
+
+
+def export_colours(kind: Column, fmt: Column, color_map: Column | None = None, hillshade: Column | None = None) -> tuple[Column, Column]:
+    """Palette and hillshade of a relation of export requests: elevation as an image gets viridis and a shade of 6 unless asked otherwise."""
+    shown = kind.isin("dsm", "dtm") & (fmt != "gtiff")
+    asked = lambda x, kind_: F.lit(None).cast(kind_) if x is None else x
+    return F.coalesce(asked(color_map, "string"), F.when(shown, F.lit("viridis"))), F.coalesce(asked(hillshade, "int"), F.when(shown, F.lit(6)))
+
+
+def auto_order_of(descriptions: Column, name: str) -> Column:
+    """auto_order for a relation of rasters: struct(bands, matched) from an array of band descriptions, alpha among them.
+
+    bands is null where no camera filter of so many bands has what the index needs.
+    """
+    fit = [(f, len(bands_of(f))) for f in filters_for(name, max(len(bands_of(f)) for f in FILTERS))]
+    allowed = F.filter(F.array(*(F.struct(F.lit(f).alias("f"), F.lit(n).alias("n")) for f, n in fit)), lambda x: x["n"] <= F.size(descriptions) - 1)
+    letters = F.create_map(*(F.lit(x) for kv in BY_ALIAS.items() for x in kv))
+    named = F.filter(descriptions, lambda d: d.isNotNull() & (d != "alpha"))
+    order = F.array_join(F.transform(named, lambda d: F.coalesce(F.try_element_at(letters, F.lower(d)), F.lit(""))), "")
+    matched = F.exists(allowed, lambda x: x["f"] == order)
+    return F.struct(F.when(matched, order).otherwise(F.get(allowed, F.lit(0))["f"]).alias("bands"), matched.alias("matched"))
+
+
+def default_index_of(descriptions: Column) -> Column:
+    """default_index for a relation of rasters: an array of band descriptions, in any case."""
+    low = F.transform(descriptions, lambda d: F.lower(d))
+    full = F.size(F.array_intersect(low, F.array(F.lit("red"), F.lit("green"), F.lit("nir")))) == 3
+    return F.when(F.size(descriptions) == 2, F.lit("Celsius")).when(full, F.lit("NDVI")).otherwise(F.lit("VARI"))
+
+
+def letter_of(description: Column) -> Column:
+    """The band letter of a description in any case; null for unknown ones."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in BY_ALIAS.items() for x in kv)), F.lower(description))

@@ -12,17 +12,19 @@ from skyquarry.functions.scalars import light
 from skyquarry.operators.raster import inside_polygon
 
 Ring = list[tuple[float, float]]
+#: Columns that tell rasters apart, where a relation holds several.
+Key = tuple[str, ...]
 
 
-def gradient(dem: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
+def gradient(dem: DataFrame, dx: float = 1.0, dy: float = 1.0, key: Key = ()) -> DataFrame:
     """dem with gx, gy: central differences inside, one-sided at edges; null next to a missing pixel.
 
-    The windows are a row's and a column's, so no window spans a raster.
+    The windows are a row's and a column's of each raster that ``key`` names, so no window spans a raster.
     """
 
     def along(by: str, order: str, h: float) -> Column:
-        w = Window.partitionBy(by).orderBy(order)
-        z, before, after, n, i = F.col("z"), F.lag("z").over(w), F.lead("z").over(w), F.count(F.lit(1)).over(Window.partitionBy(by)), F.row_number().over(w)
+        w = Window.partitionBy(*key, by).orderBy(order)
+        z, before, after, n, i = F.col("z"), F.lag("z").over(w), F.lead("z").over(w), F.count(F.lit(1)).over(Window.partitionBy(*key, by)), F.row_number().over(w)
         return F.when(n == 1, F.lit(0.0)).when(i == 1, (after - z) / h).when(i == n, (z - before) / h).otherwise((after - before) / (2 * h))
 
     return dem.withColumn("gx", along("y", "x", dx)).withColumn("gy", along("x", "y", dy))
@@ -37,9 +39,9 @@ def shade(gx: Column, gy: Column, azimuth: float = 315.0, altitude: float = 45.0
     return F.when(gx.isNotNull() & gy.isNotNull(), lit)
 
 
-def hillshade(dem: DataFrame, dx: float = 1.0, dy: float = -1.0, **how: float) -> DataFrame:
+def hillshade(dem: DataFrame, dx: float = 1.0, dy: float = -1.0, key: Key = (), **how: float) -> DataFrame:
     """dem with shade; dy is negative for rasters whose first row is the northernmost."""
-    return gradient(dem, dx, dy).withColumn("shade", shade(F.col("gx"), F.col("gy"), **how)).drop("gx", "gy")
+    return gradient(dem, dx, dy, key).withColumn("shade", shade(F.col("gx"), F.col("gy"), **how)).drop("gx", "gy")
 
 
 #: Azimuths and weights of the multidirectional hillshade.
@@ -72,21 +74,37 @@ def touched(x: Column, y: Column, ring: Ring) -> Column:
 
 
 def triangulate(points: Ring) -> list[tuple[int, int, int]]:
-    """Delaunay triangles of a few points: those whose circumcircle holds no other point."""
-    out, n = [], len(points)
-    for i in range(n):
-        for j in range(i + 1, n):
-            for k in range(j + 1, n):
-                (ax, ay), (bx, by), (cx, cy) = points[i], points[j], points[k]
-                d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-                if abs(d) < 1e-12:
-                    continue
-                ux = ((ax**2 + ay**2) * (by - cy) + (bx**2 + by**2) * (cy - ay) + (cx**2 + cy**2) * (ay - by)) / d
-                uy = ((ax**2 + ay**2) * (cx - bx) + (bx**2 + by**2) * (ax - cx) + (cx**2 + cy**2) * (bx - ax)) / d
-                r = math.hypot(ax - ux, ay - uy)
-                if all(math.hypot(px - ux, py - uy) >= r - 1e-9 for m, (px, py) in enumerate(points) if m not in (i, j, k)):
-                    out.append((i, j, k))
-    return out
+    """Delaunay triangles of a polygon's corners, as numbers in order: points are added one by one, and the triangles whose circle holds one are replaced."""
+    n = len(points)
+    if n < 3:
+        return []
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    cx, cy, far = (min(xs) + max(xs)) / 2, (min(ys) + max(ys)) / 2, 1e4 * max(max(xs) - min(xs), max(ys) - min(ys), 1.0)
+    at = [*points, (cx - far, cy - far), (cx + far, cy - far), (cx, cy + far)]
+
+    def circle(t: tuple[int, int, int]) -> tuple[float, float, float]:
+        (ax, ay), (bx, by), (px, py) = (at[i] for i in t)
+        bx, by, px, py = bx - ax, by - ay, px - ax, py - ay
+        d = 2 * (bx * py - by * px)
+        if abs(d) < 1e-12:
+            return ax, ay, math.inf
+        ux, uy = (py * (bx * bx + by * by) - by * (px * px + py * py)) / d, (bx * (px * px + py * py) - px * (bx * bx + by * by)) / d
+        return ax + ux, ay + uy, ux * ux + uy * uy
+
+    mesh = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
+    for i, (x, y) in enumerate(points):
+        hit = [t for t, (ux, uy, r) in mesh.items() if (x - ux) ** 2 + (y - uy) ** 2 < r * (1 - 1e-12)]
+        edges: dict[tuple[int, int], int] = {}
+        for t in hit:
+            del mesh[t]
+            for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
+                edges[e] = edges.get(e, 0) + 1
+        for (a, b), times in edges.items():
+            if times == 1:
+                new = tuple(sorted((a, b, i)))
+                mesh[new] = circle(new)
+    flat = lambda t: abs((at[t[1]][0] - at[t[0]][0]) * (at[t[2]][1] - at[t[0]][1]) - (at[t[1]][1] - at[t[0]][1]) * (at[t[2]][0] - at[t[0]][0])) < 1e-12
+    return sorted(t for t in mesh if max(t) < n and not flat(t))
 
 
 def _plane(points: list[tuple[float, float, float]]) -> tuple[float, float, float]:
@@ -151,10 +169,10 @@ def plane_fit(points: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> Da
     return s.select(m1.alias("m1"), m2.alias("m2"), (F.col("mz") - m1 * F.col("mx") - m2 * F.col("my")).alias("b"))
 
 
-def contour_segments(dem: DataFrame, interval: float) -> DataFrame:
-    """(level, x0, y0, x1, y1): marching squares on cells of four pixels; saddles are split by the cell's mean."""
-    right, below = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
-    cells = dem.select("x", "y", F.col("z").alias("a"), F.lead("z").over(right).alias("b"))
+def contour_segments(dem: DataFrame, interval: float, key: Key = ()) -> DataFrame:
+    """(key, level, x0, y0, x1, y1): marching squares on cells of four pixels; saddles are split by the cell's mean."""
+    right, below = Window.partitionBy(*key, "y").orderBy("x"), Window.partitionBy(*key, "x").orderBy("y")
+    cells = dem.select(*key, "x", "y", F.col("z").alias("a"), F.lead("z").over(right).alias("b"))
     cells = cells.withColumn("d", F.lead("a").over(below)).withColumn("c", F.lead("b").over(below)).where("a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL")
     lo, hi = F.least(*"abcd"), F.greatest(*"abcd")
     first, last = F.floor(lo / interval) + 1, F.floor(hi / interval)
@@ -170,25 +188,31 @@ def contour_segments(dem: DataFrame, interval: float) -> DataFrame:
     turn = (mean < level) == (F.col("a") < level)  # the middle belongs to a: cut off b and d
     pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
     two = F.when(turn, F.array(pair(top, rgt), pair(bot, lft))).otherwise(F.array(pair(top, lft), pair(rgt, bot)))
-    found = rows.withColumn("e", edges).select("level", F.explode(F.when(F.size("e") == 4, two).otherwise(F.array(pair(F.col("e")[0], F.col("e")[1])))).alias("s"))
-    return found.select("level", F.col("s.p.x").alias("x0"), F.col("s.p.y").alias("y0"), F.col("s.q.x").alias("x1"), F.col("s.q.y").alias("y1"))
+    found = rows.withColumn("e", edges).select(*key, "level", F.explode(F.when(F.size("e") == 4, two).otherwise(F.array(pair(F.col("e")[0], F.col("e")[1])))).alias("s"))
+    return found.select(*key, "level", F.col("s.p.x").alias("x0"), F.col("s.p.y").alias("y0"), F.col("s.q.x").alias("x1"), F.col("s.q.y").alias("y1"))
 
 
-def contour_lines(segments: DataFrame, shortest: float = 0.0, factor: float = 1.0) -> DataFrame:
-    """(level, length, points): segments joined end to end within each level; lines shorter than ``shortest`` go.
+def contour_lines(segments: DataFrame, shortest: float = 0.0, factor: float = 1.0, key: Key = (), tolerance: float = 0.0) -> DataFrame:
+    """(key, level, length, points): segments joined end to end; lines shorter than ``shortest`` go, points off by ``tolerance`` at most too.
 
-    A level's segments are stitched in one task.
+    Segments of a level that share an end are one line; connected components of the
+    ends, found in rounds of joins, name the lines, so a task stitches one line at a
+    time, however many a level has.
     """
+    import pandas as pd
 
-    def stitch(pdf):
-        import pandas as pd
+    own = [*key, "level"]
+    end = lambda x, y: F.xxhash64(*own, F.round(x, 9), F.round(y, 9))
+    rows = _kept(segments.withColumn("_a", end("x0", "y0")).withColumn("_b", end("x1", "y1")))
+    named = rows.join(_components(rows.select("_a", "_b")), F.col("_a") == F.col("_node")).drop("_a", "_b", "_node")
 
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         ends: dict[tuple, list[int]] = {}
-        parts = [((round(a, 9), round(b, 9)), (round(c, 9), round(d, 9))) for a, b, c, d in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False)]
+        parts = [((round(a, 9), round(b, 9)), (round(c, 9), round(d, 9))) for a, b, c, d in pdf[["x0", "y0", "x1", "y1"]].to_numpy().tolist()]
         for i, s in enumerate(parts):
             for p in s:
                 ends.setdefault(p, []).append(i)
-        used, rows = set(), []
+        used, lines = set(), []
         order = sorted(range(len(parts)), key=lambda i: (min(len(ends[p]) for p in parts[i]) > 1, parts[i]))  # open lines begin at an end
         for i in order:
             if i in used:
@@ -202,24 +226,67 @@ def contour_lines(segments: DataFrame, shortest: float = 0.0, factor: float = 1.
                 line.append(q if p == line[-1] else p)
             length = sum(math.dist(p, q) for p, q in zip(line, line[1:], strict=False))
             if length >= shortest:
-                rows.append((round(float(pdf["level"].iloc[0]) * factor, 5), length, [[float(u), float(v)] for u, v in line]))
-        return pd.DataFrame(rows, columns=["level", "length", "points"])
-
-    return segments.groupBy("level").applyInPandas(stitch, "level double, length double, points array<array<double>>")
+                first = pdf.iloc[0]
+                lines.append((*(first[k] for k in key), round(float(first["level"]) * factor, 5), length, [[float(u), float(v)] for u, v in simplified(line, tolerance)]))
+        return pd.DataFrame(lines, columns=[*own, "length", "points"])
+
+    types = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+    schema = "".join(f"{k} {types[k]}, " for k in key) + "level double, length double, points array<array<double>>"
+    return named.groupBy(*own, "_line").applyInPandas(stitch, schema)
+
+
+def simplified(line: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """The points that remain if none that is dropped lies further than ``tolerance`` from the line left (farthest point first)."""
+    if tolerance <= 0 or len(line) < 3:
+        return line
+    keep, todo = {0, len(line) - 1}, [(0, len(line) - 1)]
+    while todo:
+        i, j = todo.pop()
+        (x0, y0), (x1, y1) = line[i], line[j]
+        dx, dy = x1 - x0, y1 - y0
+        size = dx * dx + dy * dy
+
+        def off(k, x0=x0, y0=y0, dx=dx, dy=dy, size=size):
+            x, y = line[k]
+            t = 0.0 if not size else max(0.0, min(1.0, ((x - x0) * dx + (y - y0) * dy) / size))
+            return math.hypot(x - x0 - t * dx, y - y0 - t * dy)
+
+        if j - i > 1:
+            k = max(range(i + 1, j), key=off)
+            if off(k) > tolerance:
+                keep.add(k)
+                todo += [(i, k), (k, j)]
+    return [line[k] for k in sorted(keep)]
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(_node, _line) of edges(_a, _b) between ends: the least end reachable. Labels jump along labels, so rounds are few on long lines."""
+    both = edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_to")).union(edges.select(F.col("_b"), F.col("_a")))
+    both = _kept(both.distinct())
+    label = _kept(both.groupBy("_node").agg(F.least(F.min("_to"), F.first("_node")).alias("_line")))
+    while True:
+        seen = both.join(label.select(F.col("_node").alias("_to"), F.col("_line").alias("_other")), "_to").groupBy("_node").agg(F.min("_other").alias("_near"))
+        new = label.join(seen, "_node").select("_node", F.least("_line", "_near").alias("_line"))
+        jump = new.select(F.col("_node").alias("_line"), F.col("_line").alias("_far"))
+        new = _kept(new.join(jump, "_line", "left").select("_node", F.least("_line", "_far").alias("_line"), "_far"))
+        changed = new.join(label.withColumnRenamed("_line", "_before"), "_node").where("_line <> _before").isEmpty()
+        label = new.select("_node", "_line")
+        if changed:
+            return label
 
 
 #: Steps to the eight neighbours, clockwise from the right one.
 NEIGHBOURS = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
 
 
-def d8_pointer(dem: DataFrame) -> DataFrame:
+def d8_pointer(dem: DataFrame, key: Key = ()) -> DataFrame:
     """(x, y, z, direction): the neighbour of steepest descent (number in NEIGHBOURS), -1 for pits; missing pixels are left out.
 
     Two windows, by row and by column, bring the eight neighbours: no self-join.
     """
-    w = Window.partitionBy("y").orderBy("x")
+    w = Window.partitionBy(*key, "y").orderBy("x")
     rows = dem.withColumn("t", F.struct(F.lag("z").over(w).alias("l"), F.col("z").alias("m"), F.lead("z").over(w).alias("r")))
-    v = Window.partitionBy("x").orderBy("y")
+    v = Window.partitionBy(*key, "x").orderBy("y")
     rows = rows.withColumn("up", F.lag("t").over(v)).withColumn("down", F.lead("t").over(v)).where("z IS NOT NULL")
     of = {0: "t", 1: "down", -1: "up"}
     drops = [(F.col("z") - F.col(f"{of[sy]}.{'lmr'[sx + 1]}")) / math.sqrt(sx * sx + sy * sy) for sx, sy in NEIGHBOURS]
@@ -227,59 +294,90 @@ def d8_pointer(dem: DataFrame) -> DataFrame:
     at = F.lit(-1)
     for i in reversed(range(8)):
         at = F.when(drops[i] == best, F.lit(i)).otherwise(at)
-    return rows.select("x", "y", "z", F.when(best > 0, at).otherwise(F.lit(-1)).alias("direction"))
+    return rows.select(*key, "x", "y", "z", F.when(best > 0, at).otherwise(F.lit(-1)).alias("direction"))
 
 
-def _flow(pointer: DataFrame) -> DataFrame:
-    """(x, y, tx, ty): where each cell drains; pits and the border drain into themselves."""
+def _flow(pointer: DataFrame, key: Key = ()) -> DataFrame:
+    """(key, x, y, tx, ty): where each cell drains; pits and the border drain into themselves."""
     step = lambda k: F.element_at(F.array(*(F.lit(n[k]) for n in NEIGHBOURS)), F.col("direction") + 1)
     go = F.col("direction") >= 0
-    return pointer.select("x", "y", F.when(go, F.col("x") + step(0)).otherwise(F.col("x")).alias("tx"), F.when(go, F.col("y") + step(1)).otherwise(F.col("y")).alias("ty"))
+    return pointer.select(*key, "x", "y", F.when(go, F.col("x") + step(0)).otherwise(F.col("x")).alias("tx"), F.when(go, F.col("y") + step(1)).otherwise(F.col("y")).alias("ty"))
 
 
-def accumulation(pointer: DataFrame, rounds: int = 40) -> DataFrame:
-    """(x, y, cells): how many cells drain through each, itself included.
+def accumulation(pointer: DataFrame, rounds: int = 64, key: Key = ()) -> DataFrame:
+    """(key, x, y, cells): how many cells drain through each, itself included.
 
     Pointer doubling: after k rounds the cells within 2**k steps are counted, so the
-    number of rounds is the logarithm of the longest stream.  Each is checkpointed.
+    number of rounds is the logarithm of the longest stream.  Cells whose target is
+    an end are done: they are set aside and what they bring is kept as sums, so no
+    outlet gathers its basin in a task.  A round more than ``rounds`` is an error
+    (streams that run in circles).
     """
-    now = _flow(pointer).withColumn("cells", F.lit(1).cast("bigint")).withColumn("on", (F.col("tx") != F.col("x")) | (F.col("ty") != F.col("y")))
+    at, target = [*key, "x", "y"], [*key, "tx", "ty"]
+    now = _flow(pointer, key).withColumn("cells", F.lit(1).cast("bigint"))
+    now = _kept(now.withColumn("on", (F.col("tx") != F.col("x")) | (F.col("ty") != F.col("y"))))
+    moving, sums = now.where("on").drop("on"), now.select(*at, "cells")
     for _ in range(rounds):
-        now = _kept(now)
-        if now.where("on").isEmpty():
-            break
-        given = now.where("on").groupBy(F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.sum("cells").alias("given"))
-        ahead = now.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tx").alias("nx"), F.col("ty").alias("ny"), F.col("on").alias("further"))
-        out = now.join(given, ["x", "y"], "left").join(ahead, ["tx", "ty"], "left")
-        now = out.select("x", "y", F.coalesce("nx", "tx").alias("tx"), F.coalesce("ny", "ty").alias("ty"), (F.col("cells") + F.coalesce("given", F.lit(0))).alias("cells"), (F.col("on") & F.coalesce("further", F.lit(False))).alias("on"))
-    return now.select("x", "y", "cells")
-
-
-def watershed(pointer: DataFrame, px: int, py: int, rounds: int = 40) -> DataFrame:
-    """(x, y) of the cells that drain through the pour point."""
+        if moving.isEmpty():
+            return sums.groupBy(*at).agg(F.sum("cells").alias("cells"))
+        given = moving.groupBy(*target).agg(F.sum("cells").alias("given")).withColumnsRenamed({"tx": "x", "ty": "y"})
+        sums = _kept(sums.union(given.select(*at, "given")).groupBy(*at).agg(F.sum("cells").alias("cells")))
+        ahead = moving.select(*key, F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tx").alias("nx"), F.col("ty").alias("ny"))
+        jumped = moving.select(*at, "tx", "ty").join(ahead, target)  # inner: a target that is an end has nothing ahead
+        given = given.withColumnRenamed("given", "more")
+        cells = moving.select(*at, "cells").join(given, at, "left").select(*at, (F.col("cells") + F.coalesce("more", F.lit(0))).alias("cells"))
+        moving = _kept(jumped.select(*at, F.col("nx").alias("tx"), F.col("ny").alias("ty")).join(cells, at))
+    raise ValueError(f"streams are longer than 2**{rounds} steps, or run in circles")
+
+
+def watershed(pointer: DataFrame, px: int, py: int, rounds: int = 64) -> DataFrame:
+    """(x, y) of the cells that drain through the pour point.
+
+    Pointer doubling; cells that have reached an end, or the pour point, are set
+    aside each round.  A round more than ``rounds`` is an error.
+    """
     home = (F.col("x") == px) & (F.col("y") == py)
     now = _flow(pointer).select("x", "y", F.when(home, F.lit(px)).otherwise(F.col("tx")).cast("bigint").alias("tx"), F.when(home, F.lit(py)).otherwise(F.col("ty")).cast("bigint").alias("ty"))
-    before = None
+    moving = _kept(now.where("(tx <> x OR ty <> y)"))
+    found = now.where(home).select("x", "y")
     for _ in range(rounds):
-        now = _kept(now)
-        mark = tuple(now.agg(F.sum(F.xxhash64("x", "y", "tx", "ty").cast("decimal(38,0)"))).first())
-        if mark == before:
-            break
-        before = mark
-        ahead = now.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tx").alias("nx"), F.col("ty").alias("ny"))
-        now = now.join(ahead, ["tx", "ty"], "left").select("x", "y", F.coalesce("nx", "tx").alias("tx"), F.coalesce("ny", "ty").alias("ty"))
-    return now.where((F.col("tx") == px) & (F.col("ty") == py)).select("x", "y")
+        reached = (F.col("tx") == px) & (F.col("ty") == py)
+        found = _kept(found.union(moving.where(reached).select("x", "y")))
+        if moving.where(~reached).isEmpty():
+            return found
+        # cells found answer with the pour point for those that point at them
+        ahead = moving.where(~reached).select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tx").alias("nx"), F.col("ty").alias("ny"))
+        ahead = ahead.union(found.select("x", "y", F.lit(px).cast("bigint"), F.lit(py).cast("bigint")))
+        moving = _kept(moving.where(~reached).join(ahead, ["tx", "ty"]).select("x", "y", F.col("nx").alias("tx"), F.col("ny").alias("ty")))
+    raise ValueError(f"streams are longer than 2**{rounds} steps, or run in circles")
+
+
+#: Lets Spark delete a query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut by a reliable checkpoint in the folder that the session names; a folder of our own only where it names none."""
+    """Cut by a table in the folder that spark.checkpoint.dir names; a folder of our own only on a local master that names none.
+
+    A table has its true size, where a checkpoint would hand on guesses that joins multiply each round.
+    """
     import os
     import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "skyquarry-checkpoints"))
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "skyquarry-checkpoints")
+    path, before = f"{folder.rstrip('/')}/skyquarry-{uuid.uuid4()}", spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def snap_radius(distance: float, pixel: float) -> int:

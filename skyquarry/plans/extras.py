@@ -54,19 +54,28 @@ def _(t):
     return files.memory_stats(lines).select("total", "free")
 
 
-@query("k02_exported_points", "SELECT CAST(l_quantity AS VARCHAR) || ' ' || CAST(l_linenumber AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1")
-def _(t):
-    return t.lineitem.groupBy(F.concat_ws(" ", "l_quantity", "l_linenumber").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+_POINTS_SQL = "SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y, CAST(l_tax AS DOUBLE) AS z, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"
 
 
-@query("k04_no_work_needed", "SELECT fmt, formula, fmt = 'gtiff' AND formula IS NULL AS as_it_is FROM (VALUES ('gtiff'), ('png')) a(fmt), (VALUES (NULL), ('NDVI')) b(formula)")
-def _(t):
-    cases = [(f, x, raster_as_is(f, x)) for f in ("gtiff", "png") for x in (None, "NDVI")]
-    return t.spark.createDataFrame(cases, "fmt string, formula string, as_it_is boolean")
+def _points(t):
+    return t.lineitem.select(*(F.col(c).cast("double").alias(n) for c, n in (("l_quantity", "x"), ("l_linenumber", "y"), ("l_tax", "z"))))
+
 
+for _fmt in ("csv", "ply", "parquet"):
 
-def raster_as_is(fmt, formula):
-    return formulas.needs_no_work("orthophoto", fmt, formula=formula)
+    @query(f"k02_exported_{_fmt}", _POINTS_SQL)
+    def _(t, fmt=_fmt):
+        path = sinks.scratch(t.spark, f"points-{fmt}")
+        sinks.export_points(_points(t), path, fmt)
+        return sinks.read_points(t.spark, path, fmt).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k04_no_work_needed", "SELECT p_partkey, p_size % 2 = 0 AND p_brand <> 'Brand#1' AND p_size % 5 <> 0 AS as_it_is FROM (SELECT p_partkey, p_size, 'Brand#' || (p_partkey % 4) AS p_brand FROM part)")
+def _(t):
+    fmt = F.when(F.col("p_size") % 2 == 0, F.lit("gtiff")).otherwise(F.lit("png"))
+    formula = F.when(F.col("p_partkey") % 4 == 1, F.lit("NDVI"))
+    epsg = F.when(F.col("p_size") % 5 == 0, F.lit(4326))
+    return t.part.select("p_partkey", formulas.no_work_needed(F.lit("orthophoto"), fmt, formula, F.lit(None).cast("int"), epsg).alias("as_it_is"))
 
 
 @query("k05_tile_formats", "SELECT raster, CASE WHEN bool_and(alpha = 255) THEN 'jpg' ELSE 'webp' END AS fmt FROM ortho GROUP BY raster")
@@ -74,10 +83,13 @@ def _(t):
     return t.ortho.groupBy("raster").agg(raster.all_opaque(F.col("alpha")).alias("o")).select("raster", sinks.tile_format(F.col("o"), F.lit(True)).alias("fmt"))
 
 
-@query("k12_block_layout", "SELECT CAST(floor(y / 32) AS BIGINT) AS by_, CAST(floor(x / 32) AS BIGINT) AS bx, count(*) AS n FROM dem GROUP BY 1, 2")
+@query("k12_block_layout", "SELECT CAST(floor(y / 32) AS BIGINT) AS by_, CAST(floor(x / 32) AS BIGINT) AS bx, count(*) AS n, round(sum(z), 4) AS total FROM dem GROUP BY 1, 2")
 def _(t):
+    """The raster written block by block and read back; overviews are previews of it."""
+    path = sinks.scratch(t.spark, "blocks")
+    sinks.export_raster(t.dem, path, 32)
     bx, by = raster.block_key(F.col("x"), F.col("y"), 32)
-    return t.dem.groupBy(by.alias("by_"), bx.alias("bx")).agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.read.parquet(path).groupBy(by.alias("by_"), bx.alias("bx")).agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("z"), 4).alias("total"))
 
 
 @query("j14_options_of_online_nodes", "SELECT id, len(list(DISTINCT p_type)) AS n FROM (SELECT n.id, p_type FROM node n JOIN lineitem ON l_suppkey = n.id JOIN part ON p_partkey = l_partkey WHERE coalesce(minutes_ago <= 5, false)) GROUP BY id")
@@ -95,22 +107,34 @@ def _(t):
     return t.dem.select("x", "y", (F.col("z") - left).alias("dx"), (F.col("z") - up).alias("dy"))
 
 
-@query("x35_auto_bands", "SELECT name, bands, matched FROM (VALUES ('NDVI', 'RGBN', true), ('Celsius', 'L', false), ('VARI', 'RGBN', true)) t(name, bands, matched)")
+@query(
+    "x35_auto_bands",
+    """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'RGBN' WHEN 3 THEN NULL ELSE 'RGN' END AS bands, s_suppkey % 4 = 0 AS matched FROM supplier""",
+)
 def _(t):
-    bands = [(d, d) for d in ("red", "green", "blue", "nir", "alpha")]
-    return t.spark.createDataFrame([(n, *formulas.auto_order(bands, n)) for n in ("NDVI", "Celsius", "VARI")], "name string, bands string, matched boolean")
+    kinds = [["red", "green", "blue", "nir", "alpha"], ["red", "green", "blue", "alpha"], [None, None, None, "alpha"], ["lwir", "alpha"]]
+    band = lambda names: F.array(*(F.lit(n).cast("string") for n in names))
+    k = F.col("s_suppkey") % 4
+    descriptions = F.when(k == 0, band(kinds[0])).when(k == 1, band(kinds[1])).when(k == 2, band(kinds[2])).otherwise(band(kinds[3]))
+    found = formulas.auto_order_of(descriptions, "NDVI")
+    return t.supplier.select(F.col("s_suppkey").alias("id"), found["bands"].alias("bands"), found["matched"].alias("matched"))
 
 
-@query("x38_export_defaults", "SELECT kind, fmt, CASE WHEN kind = 'dsm' AND fmt <> 'gtiff' THEN 'viridis' END AS color_map, CASE WHEN kind = 'dsm' AND fmt <> 'gtiff' THEN 6 END AS hillshade FROM (VALUES ('dsm'), ('orthophoto')) a(kind), (VALUES ('gtiff'), ('jpg')) b(fmt)")
+@query(
+    "x38_export_defaults",
+    """SELECT id, CASE WHEN kind = 'dsm' AND fmt <> 'gtiff' THEN 'viridis' END AS color_map, CASE WHEN kind = 'dsm' AND fmt <> 'gtiff' THEN 6 END AS hillshade
+    FROM (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'dsm' ELSE 'orthophoto' END AS kind, CASE WHEN p_size % 3 = 0 THEN 'gtiff' ELSE 'jpg' END AS fmt FROM part)""",
+)
 def _(t):
-    rows = [(k, f, e["color_map"], e["hillshade"]) for k in ("dsm", "orthophoto") for f in ("gtiff", "jpg") for e in [formulas.export_settings(k, f)]]
-    return t.spark.createDataFrame(rows, "kind string, fmt string, color_map string, hillshade int")
+    kind, fmt = F.when(F.col("p_size") % 2 == 0, F.lit("dsm")).otherwise(F.lit("orthophoto")), F.when(F.col("p_size") % 3 == 0, F.lit("gtiff")).otherwise(F.lit("jpg"))
+    color_map, shade = formulas.export_colours(kind, fmt)
+    return t.part.select(F.col("p_partkey").alias("id"), color_map.alias("color_map"), shade.alias("hillshade"))
 
 
-@query("m15_light_vectors", "SELECT a::INT AS azimuth, round(cos(radians(90 - a)) * cos(radians(45)), 6) + 0.0::DOUBLE AS x, round(sin(radians(90 - a)) * cos(radians(45)), 6) + 0.0::DOUBLE AS y, round(sin(radians(45)), 6) AS z FROM range(0, 360, 45) t(a)")
+@query("m15_light_vectors", "SELECT event_id, round(cos(radians(90 - event_id % 360)) * cos(radians(event_id % 90)), 6) + 0.0::DOUBLE AS x, round(sin(radians(90 - event_id % 360)) * cos(radians(event_id % 90)), 6) + 0.0::DOUBLE AS y, round(sin(radians(event_id % 90)), 6) + 0.0::DOUBLE AS z FROM events")
 def _(t):
-    rows = [(a, *(round(v, 6) + 0.0 for v in s.light(a, 45.0))) for a in range(0, 360, 45)]
-    return t.spark.createDataFrame(rows, "azimuth int, x double, y double, z double")
+    x, y, z = s.light_of(F.col("event_id") % 360, F.col("event_id") % 90)
+    return t.events.select("event_id", rounded(x).alias("x"), rounded(y).alias("y"), rounded(z).alias("z"))
 
 
 @query("r03_blank_corners", "SELECT count(z) AS n, round(sum(z), 4) AS total FROM dem WHERE x BETWEEN 0 AND 95 AND y BETWEEN 0 AND 95 AND NOT ((x < 16 OR x > 79) AND (y < 16 OR y > 79))")
@@ -127,9 +151,10 @@ def _(t):
     return t.spark.range(10, 25).select(F.col("id").cast("int").alias("z"), F.col("id").between(lo, hi).alias("served"))
 
 
-@query("r20_large_tiles", "SELECT z::INT AS z, (z - 1)::INT AS large FROM range(1, 20) t(z)")
+@query("r20_large_tiles", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size - 1 END AS z FROM part")
 def _(t):
-    return t.spark.createDataFrame([(z, raster.tile_zoom(z, 512)) for z in range(1, 20)], "z int, large int")
+    size = F.element_at(F.array(F.lit(256), F.lit(512), F.lit(300)), (F.col("p_size") % 3 + 1).cast("int"))
+    return t.part.select("p_partkey", raster.tile_zoom_of(F.col("p_size"), size).alias("z"))
 
 
 @query("g01_boxes_meet", "SELECT c_custkey AS id FROM customer WHERE c_acctbal / 100 <= 30 AND c_acctbal / 100 + 7 >= 10 AND c_nationkey <= 9 AND c_nationkey + 5 >= 2")
@@ -148,10 +173,12 @@ def _(t):
     return t.customer.select(F.col("c_custkey").alias("id"), rounded((x1 - x0) * 100, 2).alias("width"))
 
 
-@query("g06_epsg_codes", "SELECT code FROM (VALUES (32615), (4326)) t(code)")
+@query("g06_epsg_codes", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 32600 + p_size WHEN 1 THEN 4326 END AS code FROM part")
 def _(t):
-    texts = ['PROJCS["a",GEOGCS["b",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","32615"]]', 'GEOGCS["b",AUTHORITY["EPSG","4326"]]']
-    return t.spark.createDataFrame([(g.epsg_of(x),) for x in texts], "code int")
+    projected = F.concat(F.lit('PROJCS["a",GEOGCS["b",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","'), (F.col("p_size") + 32600).cast("string"), F.lit('"]]'))
+    compound = F.concat(F.lit('COMPD_CS["c",'), projected, F.lit(',VERT_CS["v",AUTHORITY["EPSG","5773"]]]'))
+    text = F.when(F.col("p_size") % 3 == 0, compound).when(F.col("p_size") % 3 == 1, F.lit('GEOGCS["b",AUTHORITY["EPSG","4326"]]')).otherwise(F.lit("LOCAL_CS[]"))
+    return t.part.select("p_partkey", g.epsg_code(text).alias("code"))
 
 
 @query("g07_units_of_systems", "SELECT unit, round(k, 9) AS metres FROM (VALUES ('m', 1::DOUBLE), ('ft', 0.3048::DOUBLE), ('US survey foot', 1200::DOUBLE / 3937), ('degree', 1::DOUBLE)) t(unit, k)")
@@ -167,7 +194,7 @@ def _(t):
     return formulas.catalog(t.spark).agg(F.count(F.lit(1)).alias("n"), F.count_if("hidden").alias("hidden"))
 
 
-@query("r16_detections", None)
+@query("r16_detections", "SELECT y, count(*) FILTER (z > 400) AS n FROM dem GROUP BY 1")
 def _(t):
     def count_high(batch):
         import pandas as pd

@@ -82,7 +82,13 @@ def _(t):
     return li.stale_files(rows, _now()).select("event_id")
 
 
-@query("t11_throttled")
+@query(
+    "t11_throttled",
+    """WITH RECURSIVE o AS (SELECT task_id, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS k FROM life WHERE ts IS NOT NULL),
+    j AS (SELECT a.task_id, a.k, min(b.k) AS next FROM o a JOIN o b ON a.task_id = b.task_id AND b.k > a.k AND b.at - a.at >= 21600000000 GROUP BY ALL),
+    r AS (SELECT task_id, k FROM o WHERE k = 1 UNION ALL SELECT j.task_id, j.next FROM r JOIN j ON r.task_id = j.task_id AND r.k = j.k)
+    SELECT o.task_id, event_id FROM r JOIN o ON r.task_id = o.task_id AND r.k = o.k""",
+)
 def _(t):
     return li.throttled(t.life, 6 * 3600.0).select("task_id", "event_id")
 
@@ -143,16 +149,29 @@ def _(t):
     return t.supplier.select("s_suppkey", files.georeferenced(srs, F.col("s_suppkey") % 4 == 0).alias("ok"))
 
 
-@query("k01_exported_pixels", "SELECT y, x, CAST(floor(greatest(least(z, 400), 0) * 255 / 400) AS INT) AS v FROM dem WHERE z IS NOT NULL")
+_BYTES = "CAST(floor(greatest(least(z, 400), 0) * 255 / 400) AS INT)"
+
+
+@query("k01_exported_pixels", f"SELECT y, x, {_BYTES} AS v FROM dem WHERE z IS NOT NULL")
+def _(t):
+    """Written in blocks and read back."""
+    path = sinks.scratch(t.spark, "raster")
+    sinks.export_raster(t.dem.where("z IS NOT NULL").select("y", "x", raster.to_byte(raster.rescale(F.col("z"), 0.0, 400.0)).alias("v")), path, 64)
+    return t.spark.read.parquet(path).select("y", "x", "v")
+
+
+@query("k01_exported_image", f"SELECT x, y, {_BYTES} AS r, 255 - {_BYTES} AS g, CAST(x % 256 AS INT) AS b FROM dem WHERE z IS NOT NULL")
 def _(t):
-    v = F.floor(raster.rescale(F.col("z"), 0.0, 400.0)).cast("int")
-    return t.dem.where("z IS NOT NULL").select("y", "x", v.alias("v"))
+    """RGB images with a transparent gap, drawn and decoded."""
+    v = raster.to_byte(raster.rescale(F.col("z"), 0.0, 400.0))
+    rows = t.dem.select("x", "y", v.alias("r"), (255 - v).alias("g"), (F.col("x") % 256).cast("int").alias("b"))
+    return sinks.read_tiles(sinks.render_tiles(rows, 64, ("r", "g", "b")), ("r", "g", "b"))
 
 
-@query("k05_rendered_tiles")
+@query("k05_rendered_tiles", f"SELECT x, y, {_BYTES} AS v FROM dem WHERE z IS NOT NULL")
 def _(t):
     rows = t.dem.select("x", "y", raster.to_byte(raster.rescale(F.col("z"), 0.0, 400.0)).alias("v"))
-    return sinks.render_tiles(rows, 64).select("tile_y", "tile_x", F.length("image").alias("n_bytes"), F.crc32("image").alias("crc"))
+    return sinks.read_tiles(sinks.render_tiles(rows, 64))
 
 
 @query("k03_contour_features")

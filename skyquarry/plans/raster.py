@@ -100,8 +100,7 @@ def _(t):
 
 @query("a09_percentiles", "SELECT raster, round(quantile_cont(b, 0.02), 6) AS p2, round(quantile_cont(b, 0.98), 6) AS p98 FROM ortho WHERE alpha <> 0 GROUP BY raster")
 def _(t):
-    p = F.percentile("b", F.array(F.lit(0.02), F.lit(0.98)))
-    return t.ortho.where("alpha <> 0").groupBy("raster").agg(p.alias("p")).select("raster", rounded(F.col("p")[0]).alias("p2"), rounded(F.col("p")[1]).alias("p98"))
+    return raster.percentiles(t.ortho.where("alpha <> 0"), "b", ["raster"], [0.02, 0.98]).select("raster", rounded(F.col("p")[0]).alias("p2"), rounded(F.col("p")[1]).alias("p98"))
 
 
 @query(
@@ -179,8 +178,8 @@ def _(t):
     SELECT raster, round(least(r[1], g[1], b[1]), 6) AS lo, round(greatest(r[2], g[2], b[2]), 6) AS hi FROM p""",
 )
 def _(t):
-    ends = F.array(F.lit(0.02), F.lit(0.98))
-    p = t.ortho.where("alpha <> 0").groupBy("raster").agg(*(F.percentile(c, ends).alias(c) for c in "rgb"))
+    bands = t.ortho.where("alpha <> 0").select("raster", F.explode(F.create_map(*(x for c in "rgb" for x in (F.lit(c), F.col(c).cast("double"))))).alias("band", "v"))
+    p = raster.percentiles(bands, "v", ["raster", "band"], [0.02, 0.98]).groupBy("raster").pivot("band", list("rgb")).agg(F.first("p"))
     return p.select("raster", rounded(F.least(*(F.col(c)[0] for c in "rgb"))).alias("lo"), rounded(F.greatest(*(F.col(c)[1] for c in "rgb"))).alias("hi"))
 
 

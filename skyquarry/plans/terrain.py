@@ -176,7 +176,11 @@ def _basin(t):
     return te.watershed(te.d8_pointer(t.dem), at["x"], at["y"]) if at else t.dem.where("false").select("x", "y")
 
 
-@query("r10_watershed")
+@query(
+    "r10_watershed",
+    f"WITH RECURSIVE {_FLOW}, w AS (SELECT x AS sx, y AS sy, x, y FROM f UNION ALL SELECT w.sx, w.sy, f.tx, f.ty FROM w JOIN f ON f.x = w.x AND f.y = w.y WHERE f.tx <> f.x OR f.ty <> f.y), a AS (SELECT x, y, count(*) AS cells FROM w GROUP BY 1, 2), "
+    "p AS (SELECT x AS px, y AS py FROM a WHERE x BETWEEN 40 AND 60 AND y BETWEEN 40 AND 60 AND cells > 1 ORDER BY cells DESC, y, x LIMIT 1) SELECT sx AS x, sy AS y FROM w JOIN p ON x = px AND y = py",
+)
 def _(t):
     return _basin(t)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import tempfile
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,16 +21,41 @@ def export_raster(pixels: DataFrame, path: str, block: int = 512) -> None:
     rows.repartitionByRange("block_y", "block_x").sortWithinPartitions("block_y", "block_x", "y", "x").drop("block_y", "block_x").write.mode("overwrite").parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one that spark.checkpoint.dir names; under a temporary one on a local master that names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = os.path.join(tempfile.gettempdir(), "skyquarry")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
 def export_points(points: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Points as CSV with a header, Parquet, or PLY: the parts of the latter, one after the other, are one ASCII file, its header the first."""
     if fmt not in ("csv", "parquet", "ply"):
         raise ValueError(f"unknown point cloud format {fmt!r}")
-    if fmt == "ply":
-        rows = points.select(F.concat_ws(" ", *points.columns).alias("value"))
-        rows.write.mode("overwrite").text(path)
-    elif fmt == "csv":
+    if fmt == "csv":
         points.write.mode("overwrite").csv(path, header=True)
-    else:
+    elif fmt == "parquet":
         points.write.mode("overwrite").parquet(path)
+    else:
+        kinds = {"double": "double", "float": "float", "int": "int", "smallint": "short", "tinyint": "char"}
+        own = points.select(*(F.col(c) if t in kinds else F.col(c).cast("double").alias(c) for c, t in points.dtypes))
+        lines = ["ply", "format ascii 1.0", f"element vertex {points.count()}", *(f"property {kinds[t]} {c}" for c, t in own.dtypes), "end_header"]
+        head = points.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1)
+        head.union(own.select(F.concat_ws(" ", *own.columns).alias("value"))).write.mode("overwrite").text(path)
+
+
+def read_points(spark: SparkSession, path: str, fmt: str = "csv", columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Points that export_points wrote, as doubles."""
+    if fmt == "parquet":
+        return spark.read.parquet(path).select(*(F.col(c).cast("double").alias(c) for c in columns))
+    if fmt == "csv":
+        return spark.read.csv(path, header=True, schema=", ".join(f"{c} double" for c in columns))
+    parts = F.split("value", " ")
+    rows = spark.read.text(path).where(F.col("value").rlike(r"^[-+0-9.]"))  # no line of the header begins so
+    return rows.select(*(parts[i].cast("double").alias(c) for i, c in enumerate(columns)))
 
 
 def geojson_features(lines: DataFrame) -> DataFrame:
@@ -47,21 +75,49 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
-def render_tiles(pixels: DataFrame, size: int = 256) -> DataFrame:
-    """(tile_y, tile_x, image): byte pixels (x, y, v) as PNG tiles with transparent gaps. One tile is in memory at a time."""
+def render_tiles(pixels: DataFrame, size: int = 256, bands: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(tile_y, tile_x, image): byte pixels (x, y and one band or three) as PNG tiles with transparent gaps. One tile is in memory at a time."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((size, size, 2), np.uint8)
-        ok = pdf["v"].notna()
+        out = np.zeros((size, size, len(bands) + 1), np.uint8)
+        ok = pdf[list(bands)].notna().all(axis=1)
         at = (pdf.loc[ok, "y"].to_numpy() % size, pdf.loc[ok, "x"].to_numpy() % size)
-        out[(*at, 0)] = pdf.loc[ok, "v"].to_numpy()
-        out[(*at, 1)] = 255
+        for i, b in enumerate(bands):
+            out[(*at, i)] = pdf.loc[ok, b].to_numpy()
+        out[(*at, len(bands))] = 255
         return pd.DataFrame({"tile_y": pdf["tile_y"].iloc[:1], "tile_x": pdf["tile_x"].iloc[:1], "image": [png(out)]})
 
-    rows = pixels.select(F.floor(F.col("y") / size).alias("tile_y"), F.floor(F.col("x") / size).alias("tile_x"), "y", "x", "v")
+    rows = pixels.select(F.floor(F.col("y") / size).alias("tile_y"), F.floor(F.col("x") / size).alias("tile_x"), "y", "x", *bands)
     return rows.groupBy("tile_y", "tile_x").applyInPandas(draw, "tile_y bigint, tile_x bigint, image binary")
 
 
+def unpng(raw: bytes) -> np.ndarray:
+    """The pixels (h, w, channels) of a PNG that png wrote."""
+    w, h, _, kind = struct.unpack(">IIBB", raw[16:26])
+    channels, data, at = {0: 1, 4: 2, 2: 3, 6: 4}[kind], b"", 8
+    while at < len(raw):
+        n, name = struct.unpack(">I4s", raw[at : at + 8])
+        data += raw[at + 8 : at + 8 + n] if name == b"IDAT" else b""
+        at += n + 12
+    rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * channels)
+    if rows[:, 0].any():
+        raise ValueError("filtered rows")
+    return rows[:, 1:].reshape(h, w, channels)
+
+
+def read_tiles(tiles: DataFrame, bands: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(x, y and bands) of the opaque pixels of tiles that render_tiles drew."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ty, tx, raw in zip(batch["tile_y"], batch["tile_x"], batch["image"], strict=True):
+                image = unpng(raw)
+                y, x = np.nonzero(image[:, :, -1])
+                yield pd.DataFrame({"x": x + tx * image.shape[1], "y": y + ty * image.shape[0], **{b: image[y, x, i].astype(np.int32) for i, b in enumerate(bands)}})
+
+    return tiles.select("tile_y", "tile_x", "image").mapInPandas(run, "x bigint, y bigint, " + ", ".join(f"{b} int" for b in bands))
+
+
 def tile_format(opaque: Column, accepts_webp: Column) -> Column:
     return F.when(opaque, F.lit("jpg")).when(accepts_webp, F.lit("webp")).otherwise(F.lit("png"))
 
