@@ -232,3 +232,10 @@ def paginator(current: int, total: int, size: int = 10, width: int = 7) -> list[
     pages = max(1, -(-total // size))
     first = max(1, min(current - width // 2, pages - width + 1))
     return list(range(first, min(pages, first + width - 1) + 1))
+
+
+def page_buttons(page: Column, total: Column, size: int = 10, window: int = 7) -> Column:
+    """The page numbers to offer around a page: ``window`` of them, fewer only if there are no more."""
+    pages = F.greatest(F.ceil(total / size), F.lit(1)).cast("int")
+    first = F.greatest(F.lit(1), F.least(page.cast("int") - window // 2, pages - (window - 1)))
+    return F.sequence(first, F.least(pages, first + (window - 1)))

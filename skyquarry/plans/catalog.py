@@ -371,9 +371,14 @@ def _(t):
     return t.life.groupBy("task_id").agg(F.array_join(F.transform(points, lambda p: p["event_id"].cast("string")), ">").alias("path"))
 
 
-@query("o12_page_buttons", "SELECT p::INT AS current, list_transform(range(greatest(1, least(p - 3, 15 - 6)), least(15, greatest(1, least(p - 3, 15 - 6)) + 6) + 1), lambda x: x::INT) AS buttons FROM range(1, 16) t(p)")
-def _(t):
-    return t.spark.createDataFrame([(p, c.paginator(p, 150)) for p in range(1, 16)], "current int, buttons array<int>")
+@query(
+    "o12_page_buttons",
+    """SELECT id, list_transform(range(lo, least(pages, lo + 6) + 1), lambda x: x::INT) AS buttons FROM (
+    SELECT p_partkey AS id, p_retailprice, CAST(p_size % 20 + 1 AS BIGINT) AS pages, greatest(1, least(p_partkey % (p_size % 20 + 1) + 1 - 3, p_size % 20 + 1 - 6)) AS lo FROM part)""",
+)
+def _(t):
+    pages = F.col("p_size") % 20 + 1
+    return t.part.select(F.col("p_partkey").alias("id"), c.page_buttons(F.col("p_partkey") % pages + 1, pages * 10).alias("buttons"))
 
 
 @query("o13_layers", "SELECT event_type, n, row_number() OVER (ORDER BY n DESC, event_type) AS k FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")

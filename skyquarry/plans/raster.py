@@ -325,9 +325,14 @@ def _(t):
     return formulas.catalog(t.spark).join(have, F.size(F.array_except("bands", "fb")) == 0).select("name", "filter")
 
 
-@query("x34_band_aliases", "SELECT band, alias FROM (VALUES " + ", ".join(f"('{b}', '{a}')" for a, b in formulas.BY_ALIAS.items()) + ") t(band, alias)")
+_ALIAS_NAMES = "['red', 'R', 'Green', 'g', 'blue', 'b', 'NIR', 'n', 'RedEdge', 're', 'panchro', 'p', 'LWIR', 'l', 'thermal']"
+
+
+@query("x34_band_aliases", f"SELECT s_suppkey AS id, {_ALIAS_NAMES}[s_suppkey % 15 + 1] AS alias, ['R', 'R', 'G', 'G', 'B', 'B', 'N', 'N', 'Re', 'Re', 'P', 'P', 'L', 'L', NULL][s_suppkey % 15 + 1] AS band FROM supplier")
 def _(t):
-    return t.spark.createDataFrame([(b, a) for a, b in formulas.BY_ALIAS.items()], "band string, alias string")
+    names = F.array(*(F.lit(x) for x in _ALIAS_NAMES.strip("[]").replace("'", "").split(", ")))
+    alias = F.element_at(names, (F.col("s_suppkey") % 15 + 1).cast("int"))
+    return t.supplier.select(F.col("s_suppkey").alias("id"), alias.alias("alias"), formulas.letter_of(alias).alias("band"))
 
 
 @query("x36_rgb_selection", "SELECT raster, round(avg(r), 6) AS c1, round(avg(g), 6) AS c2, round(avg(b), 6) AS c3 FROM ortho GROUP BY raster")

@@ -183,10 +183,10 @@ def _(t):
     return t.task.select("id", s.bytes_label(F.floor(F.col("size") * 12345.6789)).alias("label"))
 
 
-@query("f34_default_index", "SELECT k, v FROM (VALUES ('red,green,nir', 'NDVI'), ('Red,Green,Blue', 'VARI'), ('lwir,alpha', 'Celsius')) t(k, v)")
+@query("f34_default_index", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'NDVI' WHEN 1 THEN 'VARI' ELSE 'Celsius' END AS v FROM part")
 def _(t):
-    cases = ["red,green,nir", "Red,Green,Blue", "lwir,alpha"]
-    return t.spark.createDataFrame([(k, formulas.default_index(k.split(","))) for k in cases], "k string, v string")
+    text = F.expr("CASE p_size % 3 WHEN 0 THEN 'Red,green,blue,NIR' WHEN 1 THEN 'Red,Green,Blue' ELSE 'lwir,alpha' END")
+    return t.part.select("p_partkey", formulas.default_index_of(F.split(text, ",")).alias("v"))
 
 
 @query("f36_input_names", r"SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' #1', '\s+', '', 'g'), '[^0-9a-zA-Z_-]', '', 'g') || '.json' AS file FROM part")

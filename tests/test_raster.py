@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import colorsys
+import itertools
+import json
 import math
 import zlib
 
@@ -184,3 +187,109 @@ def test_thinning_and_thumbnail(spark):
     pts = spark.createDataFrame([(0.1, 0.1, 0.0), (0.2, 0.1, 0.0), (1.5, 0.0, 0.0)], "x double, y double, z double")
     assert sorted(tuple(r) for r in terrain.thinned(pts, 1.0).collect()) == [(0.1, 0.1, 0.0), (1.5, 0.0, 0.0)]
     assert terrain.thumbnail(grid(spark, np.zeros((8, 12))), 12, 8, 4).count() == 16
+
+
+def noise(seed: int, h: int, w: int) -> np.ndarray:
+    return np.round(np.random.default_rng(seed).uniform(0, 400, (h, w)), 2)
+
+
+def whole_lines(segments) -> list[tuple]:
+    """(segments, length) of each line, by union of shared ends: a brute-force version for lines without crossings."""
+    parent: dict = {}
+
+    def find(p):
+        while parent.setdefault(p, p) != p:
+            p = parent[p]
+        return p
+
+    parts = [((round(r.x0, 9), round(r.y0, 9)), (round(r.x1, 9), round(r.y1, 9)), r.level) for r in segments]
+    for a, b, level in parts:
+        parent[find((level, a))] = find((level, b))
+    found: dict = {}
+    for a, b, level in parts:
+        k = find((level, a))
+        n, length, _ = found.get(k, (0, 0.0, level))
+        found[k] = (n + 1, length + math.dist(a, b), level)
+    return sorted((level, n + 1, round(length, 6)) for n, length, level in found.values())
+
+
+def test_contour_lines_against_one_stitch(spark):
+    segments = terrain.contour_segments(grid(spark, noise(3, 14, 17)), 100.0)
+    lines = terrain.contour_lines(segments).collect()
+    assert sorted((r.level, len(r.points), round(r.length, 6)) for r in lines) == whole_lines(segments.collect())
+    assert all(r.length == pytest.approx(sum(math.dist(p, q) for p, q in zip(r.points, r.points[1:], strict=False))) for r in lines)
+    short = terrain.contour_lines(segments, shortest=3.0, tolerance=0.5).collect()
+    assert sorted(round(r.length, 6) for r in short) == sorted(round(r.length, 6) for r in lines if r.length >= 3.0)
+    assert sum(len(r.points) for r in short) < sum(len(r.points) for r in lines)
+
+
+def test_contour_features_are_the_lines(spark):
+    lines = terrain.contour_lines(terrain.contour_segments(grid(spark, noise(4, 9, 9)), 200.0))
+    want = sorted((r.level, r.points) for r in lines.collect())
+    rows = [json.loads(r.value) for r in sinks.geojson_features(lines).collect()]
+    assert all(f["type"] == "Feature" and f["geometry"]["type"] == "LineString" for f in rows)
+    assert sorted((f["properties"]["level"], f["geometry"]["coordinates"]) for f in rows) == want
+
+
+def test_several_rasters_at_once(spark):
+    one, two = noise(5, 8, 9), noise(6, 8, 9)
+    both = grid(spark, one).withColumn("raster", F.lit("a")).union(grid(spark, two).withColumn("raster", F.lit("b")))
+    for k, z in (("a", one), ("b", two)):
+        own = lambda df, k=k: sorted(tuple(r) for r in df.where(F.col("raster") == k).drop("raster").collect())
+        plain = lambda df: sorted(tuple(r) for r in df.collect())
+        dem = grid(spark, z)
+        assert own(terrain.hillshade(both, key=("raster",))) == plain(terrain.hillshade(dem))
+        assert own(terrain.contour_segments(both, 100.0, ("raster",))) == plain(terrain.contour_segments(dem, 100.0))
+        acc = terrain.accumulation(terrain.d8_pointer(both, ("raster",)), key=("raster",))
+        assert own(acc) == plain(terrain.accumulation(terrain.d8_pointer(dem)))
+
+
+def test_triangles_have_empty_circles():
+    rng = np.random.default_rng(2)
+    for n in (3, 4, 9, 25):
+        points = [tuple(p) for p in rng.uniform(0, 50, (n, 2)).tolist()]
+        want = []
+        for t in itertools.combinations(range(n), 3):
+            a, b, c = (np.array(points[i]) for i in t)
+            m = 2 * np.array([b - a, c - a])
+            centre = np.linalg.solve(m, [b @ b - a @ a, c @ c - a @ a])
+            r = np.linalg.norm(centre - a)
+            if all(np.linalg.norm(centre - points[i]) >= r - 1e-9 for i in range(n) if i not in t):
+                want.append(t)
+        assert terrain.triangulate(points) == want
+    big = [tuple(p) for p in rng.uniform(0, 50, (200, 2)).tolist()]
+    assert len(terrain.triangulate(big)) > 300
+
+
+def test_triangulated_volume_pixel_by_pixel(spark):
+    z = noise(7, 10, 10)
+    corners = [(math.floor(a), math.floor(b)) for a, b in RING]
+    inside = {(r.x, r.y) for r in grid(spark, z).where(terrain.touched(F.col("x"), F.col("y"), RING)).collect()}
+    total = 0.0
+    for x, y in inside:
+        for t in terrain.triangulate(corners):
+            m = np.array([[corners[i][0], corners[i][1], 1.0] for i in t]).T
+            w = np.linalg.solve(m, [x, y, 1.0])
+            if (w >= -1e-9).all():
+                total += z[y, x] - sum(w[k] * z[corners[i][1], corners[i][0]] for k, i in enumerate(t))
+                break
+    assert terrain.volume(grid(spark, z), RING, "triangulate").first().volume == pytest.approx(abs(total), abs=1e-3)
+
+
+def test_hsv_blend_against_colorsys(spark):
+    rows = spark.createDataFrame([(r / 5, g / 5, b / 5, v / 3) for r in range(6) for g in range(6) for b in range(6) for v in range(4)], "r double, g double, b double, v double")
+    out = color.hsv_blend(*(F.col(c) for c in "rgbv"))
+    for x in rows.select("r", "g", "b", "v", *(c.alias(f"{n}2") for c, n in zip(out, "rgb", strict=True))).collect():
+        h, s, _ = colorsys.rgb_to_hsv(x.r, x.g, x.b)
+        want = [math.floor(c * 255 + 1e-9) for c in colorsys.hsv_to_rgb(h, s, x.v)]
+        assert (x.r2, x.g2, x.b2) == pytest.approx(want, abs=1)
+
+
+def test_exact_percentiles_of_odd_values(spark):
+    rng = np.random.default_rng(9)
+    data = {1: rng.normal(size=30_001), 2: np.repeat([1.0, 2.0], 5000), 3: np.array([4.0]), 4: rng.exponential(size=25_000) ** 8}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [(1, None), (5, None)], "k int, v double")
+    got = {r.k: r.p for r in raster.percentiles(rows, "v", ["k"], [0.02, 0.5, 0.98]).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for k, x in data.items():
+        assert got[k] == pytest.approx(np.percentile(x, [2, 50, 98]).tolist(), rel=1e-12)
