@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,34 +50,27 @@ def ring_box(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
-def clip(ring: list[tuple[float, float]], x0: float, y0: float, x1: float, y1: float) -> list[tuple[float, float]]:
-    """A ring cut to a box, side after side."""
-    out = ring
-    for axis, limit, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
-        points, out = out, []
-        for p, q in zip(points, [*points[1:], *points[:1]], strict=True):
-            a, b = sign * (p[axis] - limit), sign * (q[axis] - limit)
-            if a >= 0:
-                out.append(p)
-            if (a > 0 > b) or (a < 0 < b):
-                k = a / (a - b)
-                out.append((p[0] + (q[0] - p[0]) * k, p[1] + (q[1] - p[1]) * k))
-    return out
-
-
-def _clip_batches(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
-    for rings, boxes in parts:
-        out = []
-        for ring, box in zip(rings, boxes[["x0", "y0", "x1", "y1"]].itertuples(index=False), strict=True):
-            left = [] if ring is None or any(pd.isna(v) for v in box) else clip([(p["x"], p["y"]) for p in ring], *box)
-            twice = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(left, [*left[1:], *left[:1]], strict=True))
-            out.append([{"x": a, "y": b} for a, b in left] if abs(twice) > 0 else None)
-        yield pd.Series(out)
-
-
 def clipped(ring: Column, box: Column) -> Column:
-    """The ring inside a box struct (x0, y0, x1, y1); null if nothing of any area is left."""
-    return F.pandas_udf(_clip_batches, "array<struct<x:double,y:double>>")(ring, box)
+    """The ring inside a box struct (x0, y0, x1, y1), cut side after side; null if nothing of any area is left, or an input is null."""
+    side = lambda axis, name, sign: F.struct(F.lit(axis).alias("axis"), box[name].cast("double").alias("limit"), F.lit(float(sign)).alias("sign"))
+    sides = F.array(side(0, "x0", 1), side(0, "x1", -1), side(1, "y0", 1), side(1, "y1", -1))
+
+    def cut(points: Column, s: Column) -> Column:
+        inside = lambda p: s["sign"] * (F.when(s["axis"] == 0, p["x"]).otherwise(p["y"]) - s["limit"])
+        following = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+
+        def kept(p: Column, q: Column) -> Column:
+            a, b = inside(p), inside(q)
+            k = F.try_divide(a, a - b)
+            meet = F.struct((p["x"] + (q["x"] - p["x"]) * k).alias("x"), (p["y"] + (q["y"] - p["y"]) * k).alias("y"))
+            return F.array_compact(F.array(F.when(a >= 0, F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.when(((a > 0) & (b < 0)) | ((a < 0) & (b > 0)), meet)))
+
+        return F.flatten(F.zip_with(points, following, kept))
+
+    start = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    left = F.aggregate(sides, start, cut)
+    complete = box["x0"].isNotNull() & box["y0"].isNotNull() & box["x1"].isNotNull() & box["y1"].isNotNull()
+    return F.when(complete, F.aggregate(F.array(left), F.lit(None).cast("array<struct<x:double,y:double>>"), lambda _, r: F.when((F.size(r) > 2) & (ring_area(r) > 0), r)))
 
 
 def snapped(x0: Column, y0: Column, x1: Column, y1: Column, degrees: float = 30.0) -> tuple[Column, Column]:

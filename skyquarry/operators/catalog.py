@@ -206,6 +206,7 @@ def largest_overlap(boxes: DataFrame, cell: float = 4.0) -> DataFrame:
     cells = boxes.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
     other = cells.select(*(F.col(c).alias(f"o_{c}") for c in cells.columns))
     pairs = cells.join(other, (F.col("cx") == F.col("o_cx")) & (F.col("cy") == F.col("o_cy")) & (F.col("id") > F.col("o_id")))
+    pairs = pairs.where((F.col("cx") == F.greatest(at("x0"), at("o_x0"))) & (F.col("cy") == F.greatest(at("y0"), at("o_y0"))))
     names = ("x0", "y0", "x1", "y1")
     best = pairs.groupBy("id").agg(F.max(iou([F.col(c) for c in names], [F.col(f"o_{c}") for c in names])).alias("best"))
     return boxes.select("id").join(best, "id", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("overlap"))

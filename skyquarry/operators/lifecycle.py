@@ -105,3 +105,19 @@ def assembled(chunks: DataFrame) -> DataFrame:
 
 def retries_left(failures: Column, most: int = 5) -> Column:
     return failures < most
+
+
+#: Actions that a task waits for, and statuses.
+REMOVE, RESIZE, FAILED, COMPLETED = 2, 4, 30, 40
+
+
+def task_signals(before: Column, after: Column, action: Column, copied: Column, node_gone: Column) -> Column:
+    """The signals that a change of a task sends, in order, as an array of names."""
+    turned = lambda status: F.coalesce((after == status) & ~before.eqNullSafe(F.lit(status)), F.lit(False))
+    name = lambda when, text: F.when(when, F.lit(text))
+    return F.array_compact(
+        F.array(
+            name(copied, "task_duplicated"), name(action == RESIZE, "task_resizing_images"), name(turned(COMPLETED), "task_completed"), name(turned(FAILED), "task_failed"),
+            name(action == REMOVE, "task_removing"), name(action == REMOVE, "task_removed"), name(node_gone, "processing_node_removed"),
+        )
+    )

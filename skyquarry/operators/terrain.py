@@ -421,9 +421,10 @@ def thinned(points: DataFrame, radius: float) -> DataFrame:
     return points.groupBy(*cube).agg(F.min(F.struct("x", "y", "z")).alias("p")).select("p.x", "p.y", "p.z")
 
 
-def thumbnail(pixels: DataFrame, width: int, height: int, size: int) -> DataFrame:
-    """(tx, ty, z): a square of ``size`` pixels, the raster's centre square, nearest pixel."""
-    side = min(width, height)
+def thumbnail(pixels: DataFrame, width: int, height: int, size: int, pad: bool = False) -> DataFrame:
+    """(tx, ty, z): a square of ``size`` pixels, nearest pixel: the raster's centre square, or with ``pad`` all of it between empty margins."""
+    side = max(width, height) if pad else min(width, height)
     left, top = (width - side) // 2, (height - side) // 2
     axis = lambda name, off: pixels.sparkSession.range(size).select(F.col("id").alias(f"t{name}"), (F.floor((F.col("id") + 0.5) * side / size) + off).cast("bigint").alias(name))
-    return axis("x", left).crossJoin(axis("y", top)).join(pixels, ["x", "y"]).select("tx", "ty", "z")
+    near = pixels.where(F.col("x").between(left, left + side - 1) & F.col("y").between(top, top + side - 1))
+    return axis("x", left).crossJoin(axis("y", top)).join(near, ["x", "y"], "left").select("tx", "ty", "z")  # the grid is the result

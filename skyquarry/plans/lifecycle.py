@@ -9,7 +9,7 @@ from skyquarry.operators import catalog, raster
 from skyquarry.operators import lifecycle as li
 from skyquarry.plans.catalog import GRANTS_SQL, grants
 from skyquarry.plans.registry import query
-from skyquarry.sources import files, sinks
+from skyquarry.sources import files, sinks, store
 
 NOW = "TIMESTAMP '2001-01-01'"
 
@@ -93,9 +93,15 @@ def _(t):
     return li.throttled(t.life, 6 * 3600.0).select("task_id", "event_id")
 
 
-@query("t12_signals", "SELECT kind, count(*) AS n, count(DISTINCT task_id) AS tasks FROM life GROUP BY 1")
+@query(
+    "t12_signals",
+    """SELECT signal, count(*) AS n FROM (SELECT unnest([CASE WHEN partial THEN 'task_duplicated' END, CASE WHEN pending_action = 4 THEN 'task_resizing_images' END, CASE WHEN status = 40 THEN 'task_completed' END,
+    CASE WHEN status = 30 THEN 'task_failed' END, CASE WHEN pending_action = 2 THEN 'task_removing' END, CASE WHEN pending_action = 2 THEN 'task_removed' END, CASE WHEN node_id IS NULL THEN 'processing_node_removed' END]) AS signal FROM task)
+    WHERE signal IS NOT NULL GROUP BY 1""",
+)
 def _(t):
-    return t.life.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("task_id").alias("tasks"))
+    sent = li.task_signals(F.lit(20), F.col("status"), F.col("pending_action"), F.col("partial"), F.col("node_id").isNull())
+    return t.task.select(F.explode(sent).alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t13_appended_lines", "SELECT task_id, string_agg(kind, chr(10) ORDER BY ts, event_id) AS log FROM life GROUP BY 1")
@@ -117,8 +123,15 @@ def _(t):
 
 @query("t16_cached_usage", "SELECT p.owner_id, round(sum(t.size), 2) AS used FROM task t JOIN project p ON t.project_id = p.id GROUP BY 1")
 def _(t):
-    by_project = t.task.groupBy("project_id").agg(F.sum("size").alias("size"))
-    return t.project.join(by_project, F.col("id") == F.col("project_id")).groupBy("owner_id").agg(rounded(F.sum("size"), 2).alias("used"))
+    """Asked for twice within the half hour: the second answer is the table that the first one left."""
+
+    def used():
+        by_project = t.task.groupBy("project_id").agg(F.sum("size").alias("size"))
+        return t.project.join(by_project, F.col("id") == F.col("project_id")).groupBy("owner_id").agg(rounded(F.sum("size"), 2).alias("used"))
+
+    path = sinks.scratch(t.spark, "usage")
+    store.cached(t.spark, path, used, 1000)
+    return store.cached(t.spark, path, lambda: used().where("false"), 2799)
 
 
 @query("e05_typed_values", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS int_value, json_extract_string(props, '$.none') AS string_value FROM life")

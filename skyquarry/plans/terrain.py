@@ -214,9 +214,19 @@ def _(t):
     return rows.select("id", rounded(lon).alias("lon"), rounded(lat).alias("lat"))
 
 
-@query("r14_thumbnail", "SELECT CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, d.z FROM range(16) a(tx), range(16) b(ty), dem d WHERE d.x = CAST(floor((tx + 0.5) * 64 / 16) + 18 AS BIGINT) AND d.y = CAST(floor((ty + 0.5) * 64 / 16) AS BIGINT)")
-def _(t):
-    return te.thumbnail(t.dem, 100, 64, 16)
+_SIZE = "s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM dem)"
+for _pad, _side in ((False, "least"), (True, "greatest")):
+
+    @query(
+        "r14_thumbnail" + "_padded" * _pad,
+        f"""WITH {_SIZE}, c AS (SELECT {_side}(w, h) AS side, w, h FROM s),
+        g AS (SELECT CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, CAST(floor((tx + 0.5::DOUBLE) * side / 16) + floor((w - side) / 2::DOUBLE) AS BIGINT) AS x, CAST(floor((ty + 0.5::DOUBLE) * side / 16) + floor((h - side) / 2::DOUBLE) AS BIGINT) AS y
+              FROM range(16) a(tx), range(16) b(ty), c)
+        SELECT tx, ty, d.z FROM g LEFT JOIN dem d ON d.x = g.x AND d.y = g.y""",
+    )
+    def _(t, pad=_pad):
+        size = t.dem.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
+        return te.thumbnail(t.dem, size["w"], size["h"], 16, pad)
 
 
 @query("r17_thinned_points", "SELECT x, y, z FROM (SELECT l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z, row_number() OVER (PARTITION BY floor(l_quantity / 3), floor(l_discount * 100 / 3), floor(l_tax * 100 / 3) ORDER BY l_quantity, l_discount, l_tax) AS k FROM lineitem) WHERE k = 1")

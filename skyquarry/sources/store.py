@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = ("int", "float", "bool", "string", "json")
@@ -26,3 +29,20 @@ def set_value(rows: DataFrame, namespace: str, key: str, kind: str, value: Colum
     own = rows.where(mine).unionByName(empty)
     merged = own.agg(*(F.first(c, ignorenulls=True).alias(c) for c in rows.columns))
     return kept.unionByName(merged.withColumn(column, value.cast(rows.schema[column].dataType)).select(*rows.columns))
+
+
+def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame], now: int, ttl: int = 1800) -> DataFrame:
+    """What ``compute`` gave at most ``ttl`` seconds before ``now``, read from a table; computed and kept if there is nothing so new.
+
+    Each computation has a folder of its own (its second), so readers never see half
+    of one.
+    """
+    try:
+        kept = spark.read.option("basePath", path).parquet(f"{path}/made=*")
+        last = kept.agg(F.max("made").alias("made")).first()["made"]
+    except AnalysisException:  # nothing was kept yet
+        last = None
+    if last is None or not now - ttl < last <= now:
+        last = now
+        compute().write.mode("overwrite").parquet(f"{path}/made={now}")
+    return spark.read.parquet(f"{path}/made={last}")

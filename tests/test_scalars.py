@@ -56,9 +56,10 @@ def test_numbers(spark):
 
 
 def test_geometry(spark):
-    ring = g.clip([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], 1, 1, 3, 9)
-    assert {(round(a, 9), round(b, 9)) for a, b in ring} == {(1, 1), (3, 1), (3, 4), (1, 4)}
-    assert g.clip([(0, 0), (1, 0), (0, 1)], 5, 5, 6, 6) == []
+    rings = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], 1.0, 9.0), ([(5.0, 0.0), (6.0, 0.0), (5.0, 1.0)], 1.0, 9.0), (None, 1.0, 9.0), ([(0.0, 0.0), (4.0, 0.0), (2.0, 4.0)], 1.0, None)], "ring array<struct<x:double,y:double>>, a double, b double")
+    box = F.struct(F.lit(1.0).alias("x0"), F.col("a").alias("y0"), F.lit(3.0).alias("x1"), F.col("b").alias("y1"))
+    cut = [r.c for r in rings.select(g.clipped(F.col("ring"), box).alias("c")).collect()]
+    assert {(round(p.x, 9), round(p.y, 9)) for p in cut[0]} == {(1, 1), (3, 1), (3, 4), (1, 4)} and cut[1:] == [None, None, None]
     wkt = 'COMPD_CS["x",PROJCS["u",GEOGCS["g",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","32615"]],VERT_CS["v",AUTHORITY["EPSG","5773"]],AUTHORITY["EPSG","9999"]]'
     assert g.epsg_of(wkt) == 32615 and g.epsg_of('GEOGCS["g",AUTHORITY["EPSG","4326"]]') == 4326 and g.epsg_of("LOCAL") is None
     t = (0.5, 0, 10, 0, -0.5, 20)
