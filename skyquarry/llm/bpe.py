@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skyquarry.llm.packing import byte_characters, unsettled, vocabulary
+from skyquarry.llm.text import widened
 
 
 class Memory(dict):
@@ -212,7 +213,7 @@ def encode(docs: DataFrame, path: str, decode: bool = True, rows: int = 256) ->
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = widened(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     out = encode(docs, vocabulary("word_bpe_49k.json"))
     return out.select(
         "doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")

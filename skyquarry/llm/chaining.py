@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyquarry.llm.graph import spread_join
-from skyquarry.llm.text import Texts, as_texts, checkpointed, fresh, grams, sliding_min
+from skyquarry.llm.text import Texts, as_texts, checkpointed, fresh, grams, sliding_min, widened
 
 
 @dataclass(frozen=True)
@@ -615,4 +615,4 @@ def cut_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return shared_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return shared_passages(widened(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquarry.llm.text import Texts, as_texts, grams, mix
+from skyquarry.llm.text import Texts, as_texts, grams, mix, widened
 
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[97:123] = 97
@@ -150,7 +150,7 @@ def keep(docs: DataFrame, w: np.ndarray, threshold: float, s: Settings = Setting
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = widened(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyquarry.llm.text import widened
+
 
 @dataclass(frozen=True)
 class Costs:
@@ -227,5 +229,5 @@ def vocabulary(name: str) -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = widened(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     return pieces(pack(docs, vocabulary("byte_bpe_50k.json")))

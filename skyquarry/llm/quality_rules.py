@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquarry.llm.text import IS_SEPARATOR, Texts, as_texts, checkpointed, grams, mix
+from skyquarry.llm.text import IS_SEPARATOR, Texts, as_texts, checkpointed, grams, mix, widened
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -256,7 +256,7 @@ def keep(docs: DataFrame, rules: dict[str, dict[str, int]], stratum: str = "lang
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = widened(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     measured = checkpointed(features(docs))  # a few numbers a document
     return judge(measured, calibrate(measured, labels)).select("doc_id", *BASE, "base_failed", "kept")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquarry.llm.graph import components_of_buckets, connected_components, spread_join
-from skyquarry.llm.text import Texts, as_texts, checkpointed, grams, mix
+from skyquarry.llm.text import Texts, as_texts, checkpointed, grams, mix, widened
 
 
 @dataclass(frozen=True)
@@ -319,7 +319,7 @@ def _single(texts: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = widened(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     found = near_duplicates(docs, Settings(words=3, percent=85)).select("doc_id", "n_shingles", "component_id")
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

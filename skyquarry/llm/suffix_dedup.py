@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquarry.llm.graph import spread_join
-from skyquarry.llm.text import _INVERSE, as_texts, checkpointed, mix, powers, sliding_min
+from skyquarry.llm.text import _INVERSE, as_texts, checkpointed, mix, powers, sliding_min, widened
 
 
 @dataclass(frozen=True)
@@ -438,7 +438,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), digest: bool = Fal
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = widened(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return remove_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
 
 

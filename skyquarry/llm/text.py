@@ -76,6 +76,14 @@ def tabled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame, order: str | None = None) -> DataFrame:
+    """df over all cores where its files have fewer splits than there are cores; by ranges of ``order``, if given, so that rows stay in order."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:  # planned, not run
+        return df
+    return df.repartitionByRange(cores, order) if order else df.repartition(cores)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of df has it."""
     taken, out = {c.lower() for c in df.columns}, []
