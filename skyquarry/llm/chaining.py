@@ -33,9 +33,9 @@ from skyquarry.llm.text import Texts, as_texts, checkpointed, fresh, grams, slid
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 5
+    words: int = 4
     #: Of each ``window`` successive k-mers at least one is a seed.
-    window: int = 12
+    window: int = 6
     #: A passage has at least so many words on either side, and at least this share of its aligned words match.
     least: int = 50
     alike: float = 0.8
@@ -43,6 +43,8 @@ class Settings:
     gap: float = 0.05
     #: Words around a chain that are aligned with it.
     margin: int = 100
+    #: From a chain's first match to its last there are so many words at least.
+    reach: int = 16
     hold: int = 1 << 21
 
 
@@ -201,7 +203,6 @@ def chain(x: list[int], y: list[int], s: Settings) -> list[list[int]]:
 def _chains(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """(a, b, matches): chains that may belong to a passage; rows sorted by (a, b, places)."""
     rest = None
-    reach = s.least - 2 * (s.words + s.window)
 
     def settle(a, b, p):
         rows = []
@@ -211,7 +212,7 @@ def _chains(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
         x, y = p >> 32, p & 0xFFFFFFFF
         for i in np.flatnonzero(size >= 2).tolist():
             u, v = cut[i], cut[i + 1]
-            if x[v - 1] - x[u] < reach:
+            if x[v - 1] - x[u] < s.reach:
                 continue
             px, py = x[u:v], y[u:v]
             if (np.diff(px) > 0).all() and (py - px == py[0] - px[0]).all() and (np.diff(px) * 2 * s.gap < s.words).all():
@@ -219,7 +220,7 @@ def _chains(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
             else:
                 found = chain(px.tolist(), py.tolist(), s)
             for c in found:
-                if len(c) > 1 and min(px[c[-1]] - px[c[0]], py[c[-1]] - py[c[0]]) >= reach:
+                if len(c) > 1 and min(px[c[-1]] - px[c[0]], py[c[-1]] - py[c[0]]) >= s.reach:
                     c = np.fromiter(c, np.int64)
                     rows.append((int(a[u]), int(b[u]), np.stack([px[c], py[c]]).astype(np.int32).tobytes(), int(px[c[0]]), int(px[c[-1]]), int(py[c[0]]), int(py[c[-1]])))
         if rows:
@@ -331,7 +332,27 @@ def _parts(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, edits: np
                 out.append((int(a0), int(a1[done]), int(b0), int(b1[done]), int(wrong[done])))
         if out:
             break
-    return out
+    return out or _stretched(a, b, x, y, int(total[-1] - total[0]), s)
+
+
+def _stretched(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, wrong: int, s: Settings) -> list[tuple[int, int, int, int, int]]:
+    """The best passage that reaches further on both sides than the words beyond pay for, as long as the whole is alike enough: it may begin and end near an edit."""
+    u, v = int(x[-1]) + s.words, int(y[-1]) + s.words
+    k, m = min(int(x[0]), int(y[0]), s.least), max(0, min(len(a) - u, len(b) - v, s.least))
+    short, long = min(u - x[0], v - y[0]), max(u - x[0], v - y[0])
+    if short + k + m < s.least or long - wrong < s.alike * long - 0.2 * (k + m):
+        return []
+    sides = []
+    for same in ((a[x[0] - k : x[0]] == b[y[0] - k : y[0]])[::-1], a[u : u + m] == b[v : v + m]):
+        n = np.flatnonzero(np.append(True, same))  # lengths that end with an equal word
+        sides.append((n, np.append(0, np.cumsum(~same))[n]))
+    (i, p), (j, q) = sides
+    size, bad = long + i[:, None] + j[None, :], wrong + p[:, None] + q[None, :]
+    good = (short + i[:, None] + j[None, :] >= s.least) & (size - bad >= s.alike * size)
+    if not good.any():
+        return []
+    r, c = np.unravel_index(np.where(good, size - 5 * bad, -(1 << 40)).argmax(), good.shape)
+    return [(int(x[0] - i[r]), int(u + j[c]), int(y[0] - i[r]), int(v + j[c]), int(bad[r, c]))]
 
 
 def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, s: Settings) -> list[tuple[int, int, int, int, int]]:
@@ -470,20 +491,18 @@ def _gram_rows(batches: Iterable[pa.RecordBatch], s: Settings, whole: bool) -> I
         spans = {x: v for x, v in spans.items() if x == node[-1]} if batch.num_rows and node[-1] != done else {}
 
 
-def _equal_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Spans of equal runs of s.least words: each with the first; rows sorted by (h, node, pos). Runs as in _linked."""
-    now = head = last = None
-    for batch in batches:
-        rows = []
-        for h, node, pos in zip(*(batch.column(c).to_pylist() for c in ("h", "node", "pos")), strict=True):
-            if h != now:
-                now, head = h, (node, pos)
-            elif node != last[0] or pos - last[1] >= s.least:
-                rows.append((node, pos, pos + s.least, head[0], True, None))
-                rows.append((head[0], head[1], head[1] + s.least, node, False, None))
-            last = (node, pos)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SPAN.types, strict=True)], schema=_SPAN)
+def _equal_spans(runs: DataFrame, s: Settings) -> DataFrame:
+    """Spans of equal runs (h, node, pos) of s.least words: each with the first one, which a frequent run's others reach in many tasks.
+
+    Places of one text that follow each other in less than s.least words are one run, as in _linked.
+    """
+    before = F.lag("pos").over(Window.partitionBy("h", "node").orderBy("pos"))
+    runs = checkpointed(runs.withColumn("before", before).where(F.col("before").isNull() | (F.col("pos") - F.col("before") >= s.least)).drop("before"))
+    heads = runs.groupBy("h").agg(F.min(F.struct("node", "pos")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "head")
+    pairs = spread_join(runs, heads, ["h"], ["node", "pos"]).where("node <> head.node or pos <> head.pos")
+    span = lambda node, pos, other, repeat: F.struct(F.col(node).alias("node"), F.col(pos).alias("start"), (F.col(pos) + s.least).alias("stop"), F.col(other).alias("partner"), F.lit(repeat).alias("repeat"))
+    both = pairs.select(F.explode(F.array(span("node", "pos", "head.node", True), span("head.node", "head.pos", "node", False))).alias("x"))
+    return both.select("x.*", F.lit(None).cast("bigint").alias("mark"))
 
 
 def _exact(texts: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
@@ -501,8 +520,7 @@ def _exact(texts: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
     twice = sampled.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     places = checkpointed(sampled.join(twice, "h", "left_semi").select("node", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
     some = texts.join(places.select("node").distinct(), "node", "left_semi")
-    runs = grams_of(some, places, True).repartition("h").sortWithinPartitions("h", "node", "pos")
-    return runs.mapInArrow(lambda b: _equal_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean, mark bigint")
+    return _equal_spans(grams_of(some, places, True), s)
 
 
 def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008

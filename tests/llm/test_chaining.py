@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -165,3 +167,26 @@ def test_edits_in_a_band():
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         for most in (3, 20, 60):
             assert chaining._edits(a, b, most) == min(row[-1], most + 1)
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 60 to 100 words of which one in ten to one in five is changed at random; those planted are known."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    data, planted = [], {}
+    for k in range(80):
+        n = rng.randrange(60, 101)
+        passage = [word() for _ in range(n)]
+        other = list(passage)
+        for i in rng.sample(range(n), int(n * rng.choice([0.1, 0.15, 0.2]))):
+            other[i] = word()
+        for side, p in enumerate((passage, other)):
+            lead = rng.randrange(30, 90)
+            data.append((2 * k + side, " ".join([word() for _ in range(lead)] + p + [word() for _ in range(40)])))
+            planted[2 * k + side] = (lead, lead + n)
+    spans = {}
+    for r in chaining.shared_passages(spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    found = [any(min(b, d) - max(a, c) >= 0.5 * (b - a) for c, d in spans.get(i, [])) for i, (a, b) in planted.items()]
+    assert sum(found) >= 0.9 * len(found)
+    assert all(max(d, b) - min(c, a) <= b - a + 20 for i, (a, b) in planted.items() for c, d in spans.get(i, []))  # and little else
