@@ -150,7 +150,8 @@ def keep(docs: DataFrame, w: np.ndarray, threshold: float, s: Settings = Setting
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """A null doc_id belongs to no fold: it is not held out, and no label is its."""
     docs = widened(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     out = score(docs, fit(docs, labels))
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

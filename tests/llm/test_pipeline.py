@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark, sf_dir):
         out[name] = rows
 
     base = {i for i, r in before.items() if (c := counts(r.text))[0] >= 10 and 100 * c[4] <= 20 * c[0]}
-    assert {r.doc_id for r in out["quality rules"]} <= base
+    assert {r.doc_id for r in out["quality rules"]} == base  # so few labels certify nothing: test_rules_need_evidence
     assert len(out["quality classifier"]) >= 0.8 * len(out["quality rules"])
     kept = components([(r.doc_id, r.text) for r in out["quality classifier"]], 5, 80)
     assert sorted(r.doc_id for r in out["near-duplicates"]) == [i for i, _, c in sorted(kept) if i == c]

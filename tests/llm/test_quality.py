@@ -163,3 +163,28 @@ def test_score_is_the_sparse_dot_product():
     want = [1 / (1 + math.exp(-(float((w[at] * x).sum()) + float(w[-1])))) for _, at, x, _ in classifier._examples([batch], s)]
     got = np.concatenate([classifier.score_texts(t, w, s) for _, _, t in as_texts(batch.column("text"))])
     assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_training_follows_the_updates_written_out():
+    """Follow-the-regularised-leader, one coordinate after the other in plain numbers."""
+    s = classifier.Settings(bits=6, epochs=2)
+    rng = np.random.default_rng(3)
+    rows = [(i, np.sort(rng.choice(64, 5, replace=False)), rng.uniform(0, 2, 5), int(i % 3 == 0)) for i in range(40)]
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(k):
+        if abs(z[k]) <= s.l1:
+            return 0.0
+        return -(z[k] - math.copysign(s.l1, z[k])) / ((s.beta + math.sqrt(n[k])) / s.alpha + s.l2)
+
+    order = sorted(rows, key=lambda x: (int(classifier.mix(np.array([x[0]], np.int64).view(np.uint64))[0]), x[0]))
+    for _ in range(s.epochs):
+        for _, at, x, label in order:
+            features = [*zip(at.tolist(), x.tolist(), strict=True), (64, 1.0)]
+            w = {k: weight(k) for k, _ in features}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in features)))
+            for k, v in features:
+                g = (p - label) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / s.alpha * w[k]
+                n[k] += g * g
+    assert classifier.train(rows, s) == pytest.approx([weight(k) for k in range(65)], rel=1e-5, abs=1e-7)
