@@ -115,3 +115,31 @@ def epsg_code(wkt: Column) -> Column:
     flat = F.regexp_replace(wkt, r"(?is),\s*(VERT_CS|VERTCRS|VERTICALCRS)\s*\[.*$", "")
     codes = F.regexp_extract_all(flat, F.lit(r'(?i)(?:AUTHORITY|ID)\s*\[\s*"EPSG"\s*,\s*"?(\d+)"?'), F.lit(1))
     return F.try_element_at(codes, F.lit(-1)).cast("int")
+
+
+#: The ellipsoid of WGS 84 (fixed values), and what follows from it for the transverse Mercator projection: third flattening,
+#: radius of the rectifying sphere, and the first coefficients of the series in the third flattening.
+SEMI_MAJOR, FLATTENING, UTM_SCALE = 6378137.0, 1 / 298.257223563, 0.9996
+_N = FLATTENING / (2 - FLATTENING)
+RECTIFYING = SEMI_MAJOR / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+KRUGER = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
+
+
+def to_utm(lon: Column, lat: Column, zone: int | Column, south: bool | Column = False) -> tuple[Column, Column]:
+    """Easting and northing in a zone of the universal transverse Mercator system, to a millimetre within a few degrees of its meridian."""
+    zone, south = (x if isinstance(x, Column) else F.lit(x) for x in (zone, south))
+    e = math.sqrt(FLATTENING * (2 - FLATTENING))
+    dl, s = F.radians(lon - (zone * 6 - 183)), F.sin(F.radians(lat))
+    half = lambda x: F.log((1 + x) / (1 - x)) * 0.5
+    tau = F.sinh(half(s) - half(s * e) * e)
+    xi, eta = F.atan2(tau, F.cos(dl)), half(F.sin(dl) / F.sqrt(1 + tau * tau))
+    x, y = eta, xi
+    for j, a in enumerate(KRUGER, 1):
+        x, y = x + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a, y + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
+    k = UTM_SCALE * RECTIFYING
+    return x * k + 500000.0, y * k + F.when(south, 10000000.0).otherwise(0.0)
+
+
+def utm_zone(lon: Column) -> Column:
+    """The zone of a longitude, 1 to 60."""
+    return (F.floor((lon + 180) / 6) % 60 + 1).cast("int")

@@ -421,6 +421,30 @@ def thinned(points: DataFrame, radius: float) -> DataFrame:
     return points.groupBy(*cube).agg(F.min(F.struct("x", "y", "z")).alias("p")).select("p.x", "p.y", "p.z")
 
 
+def resampled(pixels: DataFrame, targets: DataFrame, method: str = "nearest", key: Key = ()) -> DataFrame:
+    """targets with z: the raster's value at (sx, sy), positions in its own pixel coordinates (a pixel's centre lies at a half).
+
+    nearest: the pixel that holds the position.  bilinear: between the four centres
+    around it, null if one is missing.  One equi-join either way: neighbours come
+    from windows by row and column.
+    """
+    if method not in ("nearest", "bilinear"):
+        raise ValueError(f"unknown resampling {method!r}")
+    off = 0.0 if method == "nearest" else 0.5
+    rows = targets.withColumn("_x", F.floor(F.col("sx") - off)).withColumn("_y", F.floor(F.col("sy") - off))
+    source = pixels.select(*key, F.col("x").alias("_x"), F.col("y").alias("_y"), "z")
+    at = [*key, "_x", "_y"]
+    if method == "nearest":
+        return rows.join(source, at, "left").drop("_x", "_y")
+    right, below = Window.partitionBy(*key, "_y").orderBy("_x"), Window.partitionBy(*key, "_x").orderBy("_y")
+    beside = lambda c, w, by: F.when(F.lead(by).over(w) == F.col(by) + 1, F.lead(c).over(w))
+    source = source.withColumn("_b", beside("z", right, "_x"))
+    source = source.withColumn("_c", beside("z", below, "_y")).withColumn("_d", beside("_b", below, "_y"))
+    u, v = F.col("sx") - off - F.col("_x"), F.col("sy") - off - F.col("_y")
+    z = (F.col("z") * (1 - u) + F.col("_b") * u) * (1 - v) + (F.col("_c") * (1 - u) + F.col("_d") * u) * v
+    return rows.join(source, at, "left").withColumn("z", z).drop("_x", "_y", "_b", "_c", "_d")
+
+
 def thumbnail(pixels: DataFrame, width: int, height: int, size: int, pad: bool = False) -> DataFrame:
     """(tx, ty, z): a square of ``size`` pixels, nearest pixel: the raster's centre square, or with ``pad`` all of it between empty margins."""
     side = max(width, height) if pad else min(width, height)

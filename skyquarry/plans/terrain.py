@@ -214,6 +214,45 @@ def _(t):
     return rows.select("id", rounded(lon).alias("lon"), rounded(lat).alias("lat"))
 
 
+_TARGETS = "SELECT event_id AS id, (event_id % 100) * 0.73::DOUBLE + 1.1 AS sx, floor(event_id / 100) * 0.61::DOUBLE + 0.9 AS sy FROM events"
+
+
+def _targets(t):
+    return t.events.selectExpr("event_id AS id", "(event_id % 100) * 0.73D + 1.1D AS sx", "floor(event_id / 100) * 0.61D + 0.9D AS sy")
+
+
+@query("r13_resampled_nearest", f"SELECT id, z FROM ({_TARGETS}) LEFT JOIN dem ON x = CAST(floor(sx) AS BIGINT) AND y = CAST(floor(sy) AS BIGINT)")
+def _(t):
+    return te.resampled(t.dem, _targets(t)).select("id", "z")
+
+
+@query(
+    "r13_resampled_bilinear",
+    f"""WITH p AS (SELECT id, CAST(floor(sx - 0.5) AS BIGINT) AS px, CAST(floor(sy - 0.5) AS BIGINT) AS py, sx - 0.5 - floor(sx - 0.5) AS u, sy - 0.5 - floor(sy - 0.5) AS v FROM ({_TARGETS}))
+    SELECT id, round((a.z * (1 - u) + b.z * u) * (1 - v) + (c.z * (1 - u) + d.z * u) * v, 6) AS z FROM p LEFT JOIN dem a ON a.x = px AND a.y = py LEFT JOIN dem b ON b.x = px + 1 AND b.y = py
+    LEFT JOIN dem c ON c.x = px AND c.y = py + 1 LEFT JOIN dem d ON d.x = px + 1 AND d.y = py + 1""",
+)
+def _(t):
+    return te.resampled(t.dem, _targets(t), "bilinear").select("id", rounded(F.col("z")).alias("z"))
+
+
+@query(
+    "r13_to_utm",
+    """WITH c AS (SELECT id, radians(lon - 9) AS dl, radians(lat) AS phi, sin(radians(lat)) AS s, 0.0818191908426214957::DOUBLE AS e FROM ({lonlat})),
+    t AS (SELECT id, dl, (exp(asinh_s - e * atanh_s) - exp(-(asinh_s - e * atanh_s))) / 2 AS tau FROM (SELECT id, dl, e, 0.5 * ln((1 + s) / (1 - s)) AS asinh_s, 0.5 * ln((1 + e * s) / (1 - e * s)) AS atanh_s FROM c)),
+    x AS (SELECT id, atan2(tau, cos(dl)) AS xi, 0.5 * ln((1 + sin(dl) / sqrt(1 + tau * tau)) / (1 - sin(dl) / sqrt(1 + tau * tau))) AS eta FROM t)
+    SELECT id, round(500000 + 0.9996 * 6367449.145823415::DOUBLE * (eta + {eta}), 2) AS easting, round(0.9996 * 6367449.145823415::DOUBLE * (xi + {xi}), 2) + 0.0::DOUBLE AS northing FROM x""".format(
+        lonlat="SELECT c_custkey AS id, 9 + c_acctbal / 5000 AS lon, CAST(c_nationkey * 6 - 72 AS DOUBLE) AS lat FROM customer",
+        eta=" + ".join(f"{a!r}::DOUBLE * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(g.KRUGER, 1)),
+        xi=" + ".join(f"{a!r}::DOUBLE * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(g.KRUGER, 1)),
+    ),
+)
+def _(t):
+    rows = t.customer.selectExpr("c_custkey AS id", "9 + c_acctbal / 5000 AS lon", "CAST(c_nationkey * 6 - 72 AS DOUBLE) AS lat")
+    east, north = g.to_utm(F.col("lon"), F.col("lat"), 32, south=False)
+    return rows.select("id", rounded(east, 2).alias("easting"), rounded(north, 2).alias("northing"))
+
+
 _SIZE = "s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM dem)"
 for _pad, _side in ((False, "least"), (True, "greatest")):
 

@@ -65,3 +65,11 @@ def test_geometry(spark):
     t = (0.5, 0, 10, 0, -0.5, 20)
     a, b, c, d, e, f = g.inverse_affine(t)
     assert (a * 12 + b * 15 + c, d * 12 + e * 15 + f) == pytest.approx((4, 10))
+
+
+def test_utm(spark):
+    rows = spark.createDataFrame([(9.0, 45.0), (9.0, 0.0), (10.5, 45.0), (7.5, -45.0)], "lon double, lat double")
+    east, north = g.to_utm(F.col("lon"), F.col("lat"), g.utm_zone(F.col("lon")), F.col("lat") < 0)
+    (e1, n1), (e2, n2), (e3, n3), (e4, n4) = (tuple(r) for r in rows.select(east, north).collect())
+    assert (e1, n1) == pytest.approx((500000, 4982950.400), abs=1e-3) and (e2, n2) == pytest.approx((500000, 0), abs=1e-6)  # the arc of the meridian to 45 degrees
+    assert (e3 - 500000, n3) == pytest.approx((500000 - e4, 10000000 - n4), abs=1e-6) and 118000 < e3 - 500000 < 118300
