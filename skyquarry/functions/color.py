@@ -21,8 +21,8 @@ def palettes(spark: SparkSession) -> DataFrame:
 
 def discrete(value: Column, colours: list[str]) -> Column:
     """The colour of a byte value: as many equal steps over 0..255 as there are colours."""
-    at = F.least(F.floor(value / 256 * len(colours)), F.lit(len(colours) - 1)).cast("int")
-    return F.element_at(F.array(*(F.lit(c) for c in colours)), at + 1)
+    at = F.when(value.isNotNull(), F.least(F.floor(value / 256 * len(colours)), F.lit(len(colours) - 1)).cast("int"))  # least skips nulls
+    return F.get(F.array(*(F.lit(c) for c in colours)), at)
 
 
 def colormap(spark: SparkSession, name: str) -> DataFrame:
@@ -86,3 +86,16 @@ def hsv_blend(r: Column, g: Column, b: Column, intensity: Column) -> tuple[Colum
     """The colour with its value replaced by the intensity."""
     h, s = rgb_to_hs(r, g, b)
     return hsv_to_rgb(h, s, intensity)
+
+
+def rendered(value: Column, colours: list[str], shade: Column | None = None) -> tuple[Column, Column, Column]:
+    """Red, green and blue of a byte value: its colour, with its brightness replaced by a shade of 0 to 1 if there is one; null where the value or the shade is.
+
+    At the hue and saturation of a colour, brightness v gives v times its channels over the largest one.
+    """
+    at = F.when(value.isNotNull(), F.least(F.floor(value / 256 * len(colours)), F.lit(len(colours) - 1)).cast("int"))  # least skips nulls
+    channels = [[int(c[i : i + 2], 16) for i in (1, 3, 5)] for c in colours]
+    if shade is None:
+        return tuple(F.get(F.array(*(F.lit(c[k]) for c in channels)), at) for k in range(3))
+    share = lambda k: F.get(F.array(*(F.lit(c[k] / max(c) if max(c) else 1.0) for c in channels)), at)
+    return tuple(F.floor(share(k) * shade * 255 + 1e-9).cast("int") for k in range(3))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyquarry.functions import color
 from skyquarry.functions.ieee import rounded
 from skyquarry.operators import catalog, raster
 from skyquarry.operators import lifecycle as li
@@ -181,6 +182,24 @@ def _(t):
     return sinks.read_tiles(sinks.render_tiles(rows, 64, ("r", "g", "b")), ("r", "g", "b"))
 
 
+_PALETTE = color.PALETTES["discrete_ndvi"]
+_CHANNEL = lambda k: "[" + ", ".join(str(int(c[1 + 2 * k : 3 + 2 * k], 16)) for c in _PALETTE) + f"][CAST(least(floor(CAST({_BYTES} AS DOUBLE) / 256 * {len(_PALETTE)}), {len(_PALETTE) - 1}) AS INT) + 1]"
+
+
+@query("k05_coloured_tiles", f"SELECT x, y, {_CHANNEL(0)} AS r, {_CHANNEL(1)} AS g, {_CHANNEL(2)} AS b FROM dem WHERE z IS NOT NULL")
+def _(t):
+    tiles = sinks.map_tiles(t.dem, F.col("z"), 0.0, 400.0, _PALETTE, size=64)
+    return sinks.read_tiles(tiles, ("r", "g", "b"))
+
+
+@query("k05_shaded_tiles")
+def _(t):
+    from skyquarry.operators import terrain
+
+    tiles = sinks.map_tiles(terrain.hillshade(t.dem), F.col("z"), 0.0, 400.0, _PALETTE, F.col("shade"), 64)
+    return sinks.read_tiles(tiles, ("r", "g", "b"))
+
+
 @query("k05_rendered_tiles", f"SELECT x, y, {_BYTES} AS v FROM dem WHERE z IS NOT NULL")
 def _(t):
     rows = t.dem.select("x", "y", raster.to_byte(raster.rescale(F.col("z"), 0.0, 400.0)).alias("v"))

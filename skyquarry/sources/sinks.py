@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyquarry.functions.color import rendered
+from skyquarry.operators.raster import rescale, to_byte
+
 
 def export_raster(pixels: DataFrame, path: str, block: int = 512) -> None:
     """Parquet laid out like a tiled raster: rows of a block together and sorted, so window reads skip the rest."""
@@ -91,6 +94,12 @@ def render_tiles(pixels: DataFrame, size: int = 256, bands: tuple[str, ...] = ("
     return rows.groupBy("tile_y", "tile_x").applyInPandas(draw, "tile_y bigint, tile_x bigint, image binary")
 
 
+def map_tiles(pixels: DataFrame, value: Column, low: float, high: float, colours: list[str], shade: Column | None = None, size: int = 256) -> DataFrame:
+    """(tile_y, tile_x, image) of one request: an index or band (an expression of the pixels' columns) stretched from low..high, coloured, shaded and drawn."""
+    r, g, b = rendered(to_byte(rescale(value, low, high)), colours, shade)
+    return render_tiles(pixels.select("x", "y", r.alias("r"), g.alias("g"), b.alias("b")), size, ("r", "g", "b"))
+
+
 def unpng(raw: bytes) -> np.ndarray:
     """The pixels (h, w, channels) of a PNG that png wrote."""
     w, h, _, kind = struct.unpack(">IIBB", raw[16:26])

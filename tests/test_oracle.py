@@ -12,6 +12,7 @@ from skyquarry import plans
 #: Queries that SQL can't express, and the test that holds each against a brute-force version.
 BRUTE_FORCE = {
     "k03_contour_features": "test_raster.test_contour_features_are_the_lines",
+    "k05_shaded_tiles": "test_raster.test_shaded_tiles_pixel_by_pixel",
     "m14_hsv_blend": "test_raster.test_hsv_blend_against_colorsys",
     "r06_triangles": "test_raster.test_triangles_have_empty_circles",
     "r06_volume_triangulated": "test_raster.test_triangulated_volume_pixel_by_pixel",

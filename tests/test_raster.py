@@ -293,3 +293,21 @@ def test_exact_percentiles_of_odd_values(spark):
     assert set(got) == {1, 2, 3, 4}
     for k, x in data.items():
         assert got[k] == pytest.approx(np.percentile(x, [2, 50, 98]).tolist(), rel=1e-12)
+
+
+def test_shaded_tiles_pixel_by_pixel(spark):
+    z = noise(8, 11, 13)
+    z[4, 5] = math.nan
+    colours = color.PALETTES["discrete_ndvi"]
+    dem = terrain.hillshade(grid(spark, z))
+    shade = {(r.x, r.y): r.shade for r in dem.collect()}
+    got = {(r.x, r.y): (r.r, r.g, r.b) for r in sinks.read_tiles(sinks.map_tiles(dem, F.col("z"), 0.0, 400.0, colours, F.col("shade"), 8), ("r", "g", "b")).collect()}
+    want = {}
+    for (x, y), s in shade.items():
+        if s is not None and not math.isnan(z[y, x]):
+            v = int(min(max(z[y, x], 0), 400) * 255 / 400)
+            c = colours[min(v * len(colours) // 256, len(colours) - 1)]
+            h, sat, _ = colorsys.rgb_to_hsv(*(int(c[i : i + 2], 16) / 255 for i in (1, 3, 5)))
+            want[(x, y)] = tuple(k * 255 for k in colorsys.hsv_to_rgb(h, sat, s))
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1.001) for k in want)
