@@ -38,7 +38,7 @@ class Settings:
     rate: float = 20.0
     #: Shingles, and pairs with a common band, of the clusters that one task resolves in memory; larger ones go through rounds of joins.
     most: int = 1 << 24
-    most_pairs: int = 1 << 26
+    most_pairs: int = 1 << 28
 
     def rows(self) -> int:
         """Registers a band: as many as keep the chance of missing a pair at the threshold below ``miss``."""
