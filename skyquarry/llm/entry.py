@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyquarry.llm import bpe, chaining, chat, classifier, packing, quality_rules, setsketch, spotsigs, suffix_dedup, url_filter
+from skyquarry.llm import bpe, chaining, chat, classifier, line_runs, packing, quality_rules, repair, setsketch, spotsigs, suffix_dedup, url_filter
 
 
 def _urls(spark, sf_dir):
@@ -22,6 +22,8 @@ def queries():
         "op8_quality_classifier": classifier.query,
         "op9_setsketch": setsketch.query,
         "op10_url_filters": _urls,
+        "op11_repair": repair.query,
+        "op13_line_dedup": line_runs.query,
         "spotsigs_classes": spotsigs.similar,
     }
 
@@ -32,4 +34,6 @@ def oracle_sql():
         "op3_suffix_dedup": suffix_dedup.ORACLE,
         "op9_setsketch": setsketch.ORACLE,
         "op10_url_filters": url_filter.ORACLE,
+        "op11_repair": repair.ORACLE,
+        "op13_line_dedup": line_runs.ORACLE,
     }
