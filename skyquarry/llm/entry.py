@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyquarry.llm import bpe, chaining, chat, classifier, line_runs, packing, quality_rules, repair, setsketch, spotsigs, suffix_dedup, url_filter
+from skyquarry.llm import bpe, chaining, chat, classifier, line_runs, negatives, packing, quality_rules, repair, setsketch, spotsigs, suffix_dedup, url_filter
 
 
 def _urls(spark, sf_dir):
@@ -23,6 +23,7 @@ def queries():
         "op9_setsketch": setsketch.query,
         "op10_url_filters": _urls,
         "op11_repair": repair.query,
+        "op12_hard_negatives": negatives.query,
         "op13_line_dedup": line_runs.query,
         "spotsigs_classes": spotsigs.similar,
     }
@@ -35,5 +36,6 @@ def oracle_sql():
         "op9_setsketch": setsketch.ORACLE,
         "op10_url_filters": url_filter.ORACLE,
         "op11_repair": repair.ORACLE,
+        "op12_hard_negatives": negatives.ORACLE,
         "op13_line_dedup": line_runs.ORACLE,
     }
