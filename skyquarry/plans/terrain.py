@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from skyquarry.functions import geometry as g
 from skyquarry.functions.ieee import rounded
 from skyquarry.functions.scalars import light
+from skyquarry.operators import depressions as dp
 from skyquarry.operators import terrain as te
+from skyquarry.operators import views
 from skyquarry.plans.raster import IN_RING_SQL, RING
 from skyquarry.plans.registry import query
 
@@ -142,6 +144,39 @@ def _(t):
     return te.viewshed(t.dem, 50, 50)
 
 
+@query(
+    "r09_viewshed_rings",
+    """WITH RECURSIVE e AS (SELECT z + 1.7::DOUBLE AS eye FROM dem WHERE x = 50 AND y = 50),
+    c AS (SELECT x, y, z - eye AS rise, greatest(abs(x - 50), abs(y - 50)) AS r, least(abs(x - 50), abs(y - 50)) AS t, sign(x - 50) AS sx, sign(y - 50) AS sy, abs(x - 50) >= abs(y - 50) AS wide FROM dem, e),
+    p AS MATERIALIZED (
+      SELECT x, y, r, rise, x - sx AS px, y - sy AS py, CASE WHEN t = r THEN r ELSE t END / (r - 1)::DOUBLE AS share FROM c WHERE r > 1 AND t > 0
+      UNION ALL SELECT x, y, r, rise, CASE WHEN wide THEN x - sx ELSE x END, CASE WHEN wide THEN y ELSE y - sy END, CASE WHEN t = 0 THEN r ELSE r - t END / (r - 1)::DOUBLE FROM c WHERE r > 1 AND t < r),
+    w AS (SELECT x, y, r, rise, -1e300::DOUBLE AS line, coalesce(rise, -1e300::DOUBLE) AS hides FROM c WHERE r = 1
+      UNION ALL SELECT x, y, r, rise, line, greatest(rise, line) FROM (SELECT p.x, p.y, p.r, any_value(p.rise) AS rise, greatest(sum(share * w.hides), -1e300) AS line FROM w JOIN p ON p.px = w.x AND p.py = w.y AND p.r = w.r + 1 GROUP BY p.x, p.y, p.r))
+    SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CASE WHEN rise >= line - 1e-9 THEN 255 ELSE 0 END AS visible FROM w WHERE rise IS NOT NULL UNION ALL SELECT 50, 50, 255 FROM e WHERE eye IS NOT NULL""",
+)
+def _(t):
+    return views.viewshed(t.dem, 50, 50)
+
+
+_RASTER = "SELECT CAST(event_id % 100 AS BIGINT) AS x, CAST(floor(event_id / 100) AS BIGINT) AS y, value AS z FROM events"
+
+
+def _raster(t):
+    """All readings as heights, those of errors included: a grid without holes."""
+    return t.events.selectExpr("CAST(event_id % 100 AS BIGINT) AS x", "CAST(floor(event_id / 100) AS BIGINT) AS y", "value AS z")
+
+
+@query("r10_breached")
+def _(t):
+    return dp.breached(_raster(t), 128).select("x", "y", "z", "level", "direction")
+
+
+@query("r10_breached_accumulation")
+def _(t):
+    return te.accumulation(te.d8_pointer(dp.breached(_raster(t), 128).select("x", "y", "z")))
+
+
 _N8 = "(VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(te.NEIGHBOURS)) + ") n(i, sx, sy)"
 POINTER_SQL = f"""d8 AS (SELECT x, y, z, CASE WHEN coalesce(max(drop_), -1) > 0 THEN CAST(arg_min(i, (-drop_, i)) AS INT) ELSE -1 END AS direction
   FROM (SELECT d.x, d.y, d.z, i, (d.z - o.z) / sqrt(sx * sx + sy * sy) AS drop_ FROM dem d, {_N8} LEFT JOIN dem o ON o.x = d.x + sx AND o.y = d.y + sy WHERE d.z IS NOT NULL) GROUP BY x, y, z)"""
