@@ -367,7 +367,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     chunked = anchors.join(dealt, "pivot").withColumn("chunk", F.col("pivot").cast("bigint") * F.lit(1 << 32) + F.pmod(F.xxhash64("anchor"), "parts")).drop("parts")
     whole = _chunks(chunked.withColumns({"lo": F.array(F.lit(-FAR)), "hi": F.array(F.lit(FAR))}))
     own = searched(blocks, whole, space, positives, same=True)
-    band = {"lo": (f"(score * {low} + 99) div 100", 1), "hi": (f"(score * {high}) div 100", 0)}  # no band: from 1 to 0
+    part = lambda percent, more: f"score div 100 * {percent} + (score % 100 * {percent} + {more}) div 100"  # noqa: E731  no overflow
+    band = {"lo": (part(low, 99), 1), "hi": (part(high, 0), 0)}  # no band: from 1 to 0
     of_rank = lambda i, of, none: F.coalesce(F.max(F.when(F.col("rank") == i, F.expr(of))), F.lit(none).cast("bigint"))
     bands = own.where("score >= 0").groupBy("anchor").agg(*(F.array(*(of_rank(i + 1, of, none) for i in range(positives))).alias(n) for n, (of, none) in band.items()))
     other = searched(blocks, _chunks(chunked.join(bands, "anchor")), space, negatives, same=False)
