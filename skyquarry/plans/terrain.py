@@ -10,6 +10,7 @@ from skyquarry.functions import geometry as g
 from skyquarry.functions.ieee import rounded
 from skyquarry.functions.scalars import light
 from skyquarry.operators import depressions as dp
+from skyquarry.operators import polygons as pg
 from skyquarry.operators import terrain as te
 from skyquarry.operators import views
 from skyquarry.plans.raster import IN_RING_SQL, RING
@@ -370,3 +371,45 @@ def _(t):
 def _(t):
     x, y = g.snapped(F.lit(0.0), F.lit(0.0), F.col("c_nationkey") + 1, F.col("c_acctbal"))
     return t.customer.select(F.col("c_custkey").alias("id"), rounded(x, 5).alias("x"), rounded(y, 5).alias("y"))
+
+
+_IN_RECT = "x + 0.5 >= x0 AND x + 0.5 < x1 AND y + 0.5 >= y0 AND y + 0.5 < y1"
+_ON_RECT = "x + 1 >= x0 AND x <= x1 AND y + 1 >= y0 AND y <= y1"
+
+
+@query("j12_pixels_in_polygons", f"SELECT id, count(*) AS n, count(z) AS valid, round(sum(z), 4) AS total FROM ({_RECT}) JOIN dem ON {_IN_RECT} GROUP BY id")
+def _(t):
+    found = pg.in_polygons(t.dem, _rectangles(t).select("id", "ring"))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("z").alias("valid"), rounded(F.sum("z"), 4).alias("total"))
+
+
+@query("r12_crops", f"SELECT id, x, y, z FROM ({_RECT}) JOIN dem ON {_IN_RECT}")
+def _(t):
+    return pg.in_polygons(t.dem, _rectangles(t).select("id", "ring"))
+
+
+_RECT_CORNERS = "SELECT id, cx, cy, z, d.x IS NOT NULL AS there FROM (SELECT id, unnest([floor(x0), floor(x1), floor(x1), floor(x0)]) AS cx, unnest([floor(y0), floor(y0), floor(y1), floor(y1)]) AS cy FROM ({rect})) LEFT JOIN dem d ON d.x = cx AND d.y = cy"
+_ON_ALL = f"SELECT id, x, y, z FROM ({_RECT}) JOIN dem ON {_ON_RECT}"
+
+
+@query(
+    "r05_volumes_of_polygons",
+    f"""WITH v AS ({_RECT_CORNERS.format(rect=_RECT)}), b AS (SELECT id, CASE WHEN bool_and(there) THEN avg(z) END AS base FROM v GROUP BY id),
+    s AS (SELECT p.id, count(z) AS n, abs(round(sum(z - base), 4)) AS volume FROM ({_ON_ALL}) p JOIN b ON b.id = p.id GROUP BY p.id)
+    SELECT r.id, coalesce(n, 0) AS n, volume FROM ({_RECT}) r LEFT JOIN s ON s.id = r.id""",
+)
+def _(t):
+    return pg.volumes(t.dem, _rectangles(t).select("id", "ring"), "average")
+
+
+@query(
+    "r05_volumes_over_planes",
+    f"""WITH v AS ({_RECT_CORNERS.format(rect=_RECT)}),
+    c AS (SELECT id, bool_and(there) AS there, avg(cx) FILTER (z IS NOT NULL) AS mx, avg(cy) FILTER (z IS NOT NULL) AS my, avg(z) AS mz, covar_pop(cx, cx) FILTER (z IS NOT NULL) AS xx, covar_pop(cy, cy) FILTER (z IS NOT NULL) AS yy,
+          covar_pop(cx, cy) FILTER (z IS NOT NULL) AS xy, covar_pop(cx, z) AS xz, covar_pop(cy, z) AS yz FROM v GROUP BY id),
+    m AS (SELECT *, (xz * yy - yz * xy) / d AS m1, (yz * xx - xz * xy) / d AS m2 FROM (SELECT *, CASE WHEN there AND xx * yy - xy * xy > 1e-12 THEN xx * yy - xy * xy END AS d FROM c)),
+    s AS (SELECT p.id, count(z) AS n, abs(round(sum(z - (m1 * x + m2 * y + mz - m1 * mx - m2 * my)), 4)) AS volume FROM ({_ON_ALL}) p JOIN m ON m.id = p.id GROUP BY p.id)
+    SELECT r.id, coalesce(n, 0) AS n, volume FROM ({_RECT}) r LEFT JOIN s ON s.id = r.id""",
+)
+def _(t):
+    return pg.volumes(t.dem, _rectangles(t).select("id", "ring"), "plane")
