@@ -140,6 +140,24 @@ def to_utm(lon: Column, lat: Column, zone: int | Column, south: bool | Column =
     return x * k + 500000.0, y * k + F.when(south, 10000000.0).otherwise(0.0)
 
 
+#: The inverse series to the third order, for the projection and from conformal to geographic latitude.
+KRUGER_BACK = [_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480]
+TO_LATITUDE = [2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15]
+
+
+def from_utm(x: Column, y: Column, zone: int | Column, south: bool | Column = False) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in a zone of the universal transverse Mercator system."""
+    zone, south = (v if isinstance(v, Column) else F.lit(v) for v in (zone, south))
+    k = UTM_SCALE * RECTIFYING
+    xi, eta = (y - F.when(south, 10000000.0).otherwise(0.0)) / k, (x - 500000.0) / k
+    u, v = xi, eta
+    for j, b in enumerate(KRUGER_BACK, 1):
+        u, v = u - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b, v - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    phi = sum((F.sin(chi * (2 * j)) * d for j, d in enumerate(TO_LATITUDE, 1)), chi)
+    return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (zone * 6 - 183), F.degrees(phi)
+
+
 def utm_zone(lon: Column) -> Column:
     """The zone of a longitude, 1 to 60."""
     return (F.floor((lon + 180) / 6) % 60 + 1).cast("int")

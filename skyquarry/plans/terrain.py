@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from skyquarry.functions import geometry as g
 from skyquarry.functions.ieee import rounded
 from skyquarry.functions.scalars import light
+from skyquarry.operators import clouds, reproject, views
 from skyquarry.operators import depressions as dp
 from skyquarry.operators import polygons as pg
 from skyquarry.operators import terrain as te
-from skyquarry.operators import views
 from skyquarry.plans.raster import IN_RING_SQL, RING
 from skyquarry.plans.registry import query
 
@@ -413,3 +413,20 @@ def _(t):
 )
 def _(t):
     return pg.volumes(t.dem, _rectangles(t).select("id", "ring"), "plane")
+
+
+@query("r17_sampled_points")
+def _(t):
+    return clouds.sampled(t.lineitem.selectExpr("l_quantity AS x", "l_discount * 100 AS y", "l_tax * 100 AS z"), 3.0)
+
+
+for _method in ("nearest", "bilinear"):
+
+    @query(f"r13_reprojected_{_method}")
+    def _(t, method=_method):
+        """The elevation grid, laid over degrees, in zone 32."""
+        size = t.dem.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
+        source = reproject.Grid(8.5, 47.0, 0.0004, 0.0003, size["w"], size["h"])
+        target = reproject.target_grid(t.spark, source, lambda lon, lat: g.to_utm(lon, lat, 32))
+        out = reproject.reprojected(t.dem, source, target, lambda x, y: g.from_utm(x, y, 32), method)
+        return out.select("x", "y", rounded(F.col("z")).alias("z"))

@@ -14,6 +14,9 @@ BRUTE_FORCE = {
     "k03_contour_features": "test_raster.test_contour_features_are_the_lines",
     "k05_shaded_tiles": "test_raster.test_shaded_tiles_pixel_by_pixel",
     "m14_hsv_blend": "test_raster.test_hsv_blend_against_colorsys",
+    "r13_reprojected_bilinear": "test_clouds.test_values_of_the_target",
+    "r13_reprojected_nearest": "test_clouds.test_values_of_the_target",
+    "r17_sampled_points": "test_clouds.test_sample_as_one_by_one",
     "r10_breached": "test_depressions.test_as_one_queue_does",
     "r10_breached_accumulation": "test_depressions.test_no_inner_pits_are_left",
     "r06_triangles": "test_raster.test_triangles_have_empty_circles",
