@@ -1,4 +1,4 @@
-"""Queries through files that other programs read: written to the shared folder and read back."""
+"""Queries through files and tables of our own making: written to the shared folder and read back."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from skyquarry.engine.tables import fresh_path
 from skyquarry.functions.ieee import rounded
+from skyquarry.operators import fulltext
 from skyquarry.plans.registry import query
 from skyquarry.sources import geotiff
+from skyquarry.streaming import timers
+from skyquarry.streaming.merge import MergedTable, mirror
 
 
 def _elevations(t, **options):
@@ -39,3 +42,45 @@ def _(t):
     shades = t.dem.where("z IS NOT NULL").selectExpr("x", "y", f"{_GREY} AS r", f"255 - {_GREY} AS g", "CAST((x * 7 + y) % 256 AS INT) AS b", "255 AS mask")
     geotiff.write_geotiff(shades, path, ["r", "g", "b", "mask"], file=512, tile=64, dtype="uint8")
     return geotiff.read_geotiff(t.spark, path).where("b4 = 255").selectExpr("x", "y", "CAST(b1 AS INT) AS r", "CAST(b2 AS INT) AS g", "CAST(b3 AS INT) AS b")
+
+
+@query("f02_index_search", "SELECT p.id FROM project p LEFT JOIN (SELECT project_id, string_agg(lower(name), ' ') AS names FROM task GROUP BY 1) t ON t.project_id = p.id WHERE list_has_all(regexp_extract_all(lower(p.name) || ' ' || coalesce(names, ''), '[a-z0-9]+'), ['customer', 'urgent'])")
+def _(t):
+    """As f02_search_names, through an inverted index of all names; other forms of the words find the same."""
+    names = t.task.where("name IS NOT NULL").groupBy("project_id").agg(F.array_join(F.array_distinct(F.collect_list("name")), " ").alias("names"))
+    docs = t.project.join(names, F.col("id") == F.col("project_id"), "left").select("id", F.concat_ws(" ", "name", "names").alias("text"))
+    index = fulltext.Index(t.spark, fresh_path(t.spark))
+    index.apply(docs, 0)
+    return index.search("urgently, the customers")
+
+
+@query("k09_merged_batches", "SELECT id, name FROM project WHERE id NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0")
+def _(t):
+    """A table kept by batches: rows, then changes of which a third deletes; the second is run twice."""
+    table = MergedTable(t.spark, fresh_path(t.spark), "id bigint, name string", ["id"])
+    table.apply(t.project.select("id", "name"), 0)
+    for _ in range(2):
+        table.apply(t.supplier.selectExpr("CAST(s_suppkey AS BIGINT) AS id", "s_name AS name"), 1, F.col("id") % 3 == 0)
+    return table.read()
+
+
+@query("j16_mirrored_listings", "SELECT project_id, id FROM task WHERE project_id % 2 = 1 AND id % 5 <> 0 UNION ALL SELECT project_id, id FROM task WHERE project_id % 2 = 0 AND id % 7 <> 0 AND project_id IN (SELECT project_id FROM task WHERE id % 7 <> 0) UNION ALL SELECT project_id, id FROM task WHERE project_id % 2 = 0 AND id % 5 <> 0 AND project_id NOT IN (SELECT project_id FROM task WHERE id % 7 <> 0)")
+def _(t):
+    """Files of projects by their listings: at first those of all, then of every other project again."""
+    table = MergedTable(t.spark, fresh_path(t.spark), "project_id bigint, id bigint", ["project_id", "id"])
+    tasks = t.task.selectExpr("CAST(project_id AS BIGINT) AS project_id", "CAST(id AS BIGINT) AS id")
+    mirror(table, tasks.where("id % 5 <> 0"), 0, ["project_id"])
+    mirror(table, tasks.where("project_id % 2 = 0 AND id % 7 <> 0"), 1, ["project_id"])
+    return table.read()
+
+
+@query(
+    "t14_uploads_by_deadline",
+    """WITH c AS (SELECT 'u' || user_id AS upload, 2 + user_id % 3 AS total, event_id % 4 AS idx, event_type AS data, CAST(floor(epoch_ms(CAST(ts AS TIMESTAMP))) AS BIGINT) AS ms FROM events),
+    e AS (SELECT upload, min(ms) + 36000000 AS last, max(total) AS total FROM c GROUP BY 1),
+    p AS (SELECT e.upload, e.total, idx, min(data) AS data FROM c JOIN e ON c.upload = e.upload AND ms <= last GROUP BY ALL)
+    SELECT upload, CASE WHEN count(*) = total THEN string_agg(data, '' ORDER BY idx) END AS data, count(*) = total AS complete FROM p GROUP BY upload, total""",
+)
+def _(t):
+    chunks = t.events.selectExpr("'u' || user_id AS upload", "2 + user_id % 3 AS total", "event_id % 4 AS idx", "event_type AS data", "ts")
+    return timers.assembled_by(chunks, "10 hours")
