@@ -23,9 +23,11 @@ def valid(v: Column, alpha: Column | None = None, nodata: float | None = None) -
 SKETCH = 1e-4
 
 
-def percentiles(pixels: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
+def percentiles(pixels: DataFrame, value: str, by: list[str], shares: list[float], more: dict[str, Column] | None = None) -> DataFrame:
     """by and ``p``: the exact, interpolated percentiles of each group's non-null values, in memory that doesn't grow with it.
 
+    more: further aggregates of the value ``_v``, taken in the sketch's scan.
+
     A mergeable sketch brackets each percentile; a second scan counts what lies
     below the bracket and the values inside, a few in ten thousand, by value; these
     are ranked in order.
@@ -33,20 +35,22 @@ def percentiles(pixels: DataFrame, value: str, by: list[str], shares: list[float
     v = F.col(value)
     rows = pixels.where(v.isNotNull()).select(*by, v.cast("double").alias("_v"))
     near = [F.lit(min(1.0, max(0.0, p + e))) for p in shares for e in (-5 * SKETCH, 5 * SKETCH)]
-    ends = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", F.array(*near), int(1 / SKETCH)).alias("_q"))
+    ends = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", F.array(*near), int(1 / SKETCH)).alias("_q"), *(c.alias(n) for n, c in (more or {}).items()))
+    also = ["_n", *(more or {})]  # one value a group, carried along
+    first = [F.first(n).alias(n) for n in more or {}]
     joined = rows.join(ends, by) if by else rows.crossJoin(ends)  # one row
     one = lambda i: F.when(F.col("_v") <= F.col("_q")[2 * i + 1], F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= F.col("_q")[2 * i], F.col("_v")).alias("v")))
-    seen = joined.select(*by, "_n", F.explode(F.array_compact(F.array(*(one(i) for i in range(len(shares)))))).alias("_x"))
-    seen = seen.groupBy(*by, "_n", F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    seen = joined.select(*by, *also, F.explode(F.array_compact(F.array(*(one(i) for i in range(len(shares)))))).alias("_x"))
+    seen = seen.groupBy(*by, *also, F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     order = Window.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = seen.withColumn("_upto", F.sum("_c").over(order))
     place = F.element_at(F.array(*(F.lit(float(p)) for p in shares)), F.col("_i") + 1) * (F.col("_n") - 1)
     at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
-    ranked = seen.withColumn("_k", place).groupBy(*by, "_i").agg(F.first("_k").alias("_k"), at(F.floor("_k")).alias("_lo"), at(F.ceil("_k")).alias("_hi"))
+    ranked = seen.withColumn("_k", place).groupBy(*by, "_i").agg(*first, F.first("_k").alias("_k"), at(F.floor("_k")).alias("_lo"), at(F.ceil("_k")).alias("_hi"))
     lo, hi, k = F.col("_lo"), F.col("_hi"), F.col("_k")
     exact = F.when(lo == hi, lo).otherwise((F.ceil(k) - k) * lo + (k - F.floor(k)) * hi)
-    found = ranked.select(*by, "_i", exact.alias("_p")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_p"))).alias("_l"))
-    return found.select(*by, F.transform("_l", lambda x: x["_p"]).alias("p"))
+    found = ranked.select(*by, *(more or {}), "_i", exact.alias("_p")).groupBy(*by).agg(*first, F.sort_array(F.collect_list(F.struct("_i", "_p"))).alias("_l"))
+    return found.select(*by, *(more or {}), F.transform("_l", lambda x: x["_p"]).alias("p"))
 
 
 def statistics(pixels: DataFrame, value: str, by: list[str], limits: tuple[float, float] | None = None, factor: float = 1.0) -> DataFrame:
@@ -56,10 +60,9 @@ def statistics(pixels: DataFrame, value: str, by: list[str], limits: tuple[float
     percentiles to it; ``factor`` scales every result (units).  Percentiles are
     exact (interpolated), over all pixels.
     """
-    v = F.col(value)
-    out = pixels.where(v.isNotNull()).groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
-    ranked = percentiles(pixels, value, by, [0.02, 0.98])
-    out = out.join(ranked, by, "left") if by else out.crossJoin(ranked)  # one row each; none without pixels
+    v = F.col("_v")
+    out = percentiles(pixels, value, by, [0.02, 0.98], {"n": F.count(v), "min": F.min(v), "max": F.max(v), "std": F.stddev_pop(v)})
+    out = out if by else out.withColumn("n", F.coalesce("n", F.lit(0)))
     lo, hi, p2, p98 = F.col("min"), F.col("max"), F.col("p")[0], F.col("p")[1]
     if limits is not None:
         lo, hi = F.lit(limits[0]), F.lit(limits[1])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyquarry.engine.tables import kept as _kept
 from skyquarry.functions.scalars import light
 from skyquarry.operators.raster import inside_polygon
 
@@ -196,43 +199,70 @@ def contour_lines(segments: DataFrame, shortest: float = 0.0, factor: float = 1.
     """(key, level, length, points): segments joined end to end; lines shorter than ``shortest`` go, points off by ``tolerance`` at most too.
 
     Segments of a level that share an end are one line; connected components of the
-    ends, found in rounds of joins, name the lines, so a task stitches one line at a
-    time, however many a level has.
+    ends, found in rounds of joins, name the lines; a task has its lines sorted and stitches
+    one after the other, however many a level has.
     """
-    import pandas as pd
-
     own = [*key, "level"]
     end = lambda x, y: F.xxhash64(*own, F.round(x, 9), F.round(y, 9))
     rows = _kept(segments.withColumn("_a", end("x0", "y0")).withColumn("_b", end("x1", "y1")))
-    named = rows.join(_components(rows.select("_a", "_b")), F.col("_a") == F.col("_node")).drop("_a", "_b", "_node")
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: dict[tuple, list[int]] = {}
-        parts = [((round(a, 9), round(b, 9)), (round(c, 9), round(d, 9))) for a, b, c, d in pdf[["x0", "y0", "x1", "y1"]].to_numpy().tolist()]
-        for i, s in enumerate(parts):
-            for p in s:
-                ends.setdefault(p, []).append(i)
-        used, lines = set(), []
-        order = sorted(range(len(parts)), key=lambda i: (min(len(ends[p]) for p in parts[i]) > 1, parts[i]))  # open lines begin at an end
-        for i in order:
-            if i in used:
-                continue
-            used.add(i)
-            a, b = parts[i] if len(ends[parts[i][0]]) == 1 else parts[i][::-1] if len(ends[parts[i][1]]) == 1 else parts[i]
-            line = [a, b]
-            while nxt := [j for j in ends[line[-1]] if j not in used]:
-                used.add(nxt[0])
-                p, q = parts[nxt[0]]
-                line.append(q if p == line[-1] else p)
-            length = sum(math.dist(p, q) for p, q in zip(line, line[1:], strict=False))
-            if length >= shortest:
-                first = pdf.iloc[0]
-                lines.append((*(first[k] for k in key), round(float(first["level"]) * factor, 5), length, [[float(u), float(v)] for u, v in simplified(line, tolerance)]))
-        return pd.DataFrame(lines, columns=[*own, "length", "points"])
-
+    named = rows.join(_components(rows.select("_a", "_b")), F.col("_a") == F.col("_node")).select(*own, "_line", "x0", "y0", "x1", "y1")
     types = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
     schema = "".join(f"{k} {types[k]}, " for k in key) + "level double, length double, points array<array<double>>"
-    return named.groupBy(*own, "_line").applyInPandas(stitch, schema)
+    names = [*own, "length", "points"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come line by line; a batch of finished lines goes out at a time."""
+        now, parts, done = None, [], []
+
+        def finish() -> None:
+            for line in stitched(parts):
+                length = sum(math.dist(p, q) for p, q in zip(line, line[1:], strict=False))
+                if length >= shortest:
+                    done.append((*now[:-2], round(float(now[-2]) * factor, 5), length, [[float(u), float(v)] for u, v in simplified(line, tolerance)]))
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True))
+            kinds = [None] * len(key) + [pa.float64(), pa.float64(), pa.list_(pa.list_(pa.float64()))]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k or batch.schema.field(n).type) for c, k, n in zip(columns, kinds, names, strict=True)], names)
+
+        for batch in batches:
+            for *line, x0, y0, x1, y1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if line != now:
+                    if parts:
+                        finish()
+                    now, parts = line, []
+                parts.append(((round(x0, 9), round(y0, 9)), (round(x1, 9), round(y1, 9))))
+            if len(done) >= 256:
+                yield out()
+        if parts:
+            finish()
+        if done:
+            yield out()
+
+    return named.repartition(*own, "_line").sortWithinPartitions(*own, "_line").mapInArrow(run, schema)
+
+
+def stitched(parts: list[tuple[tuple[float, float], tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Segments joined end to end: open lines from one of their ends, then closed ones."""
+    ends: dict[tuple, list[int]] = {}
+    for i, s in enumerate(parts):
+        for p in s:
+            ends.setdefault(p, []).append(i)
+    used, lines = set(), []
+    order = sorted(range(len(parts)), key=lambda i: (min(len(ends[p]) for p in parts[i]) > 1, parts[i]))  # open lines begin at an end
+    for i in order:
+        if i in used:
+            continue
+        used.add(i)
+        a, b = parts[i] if len(ends[parts[i][0]]) == 1 else parts[i][::-1] if len(ends[parts[i][1]]) == 1 else parts[i]
+        line = [a, b]
+        while nxt := [j for j in ends[line[-1]] if j not in used]:
+            used.add(nxt[0])
+            p, q = parts[nxt[0]]
+            line.append(q if p == line[-1] else p)
+        lines.append(line)
+    return lines
 
 
 def simplified(line: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
@@ -352,34 +382,6 @@ def watershed(pointer: DataFrame, px: int, py: int, rounds: int = 64) -> DataFra
     raise ValueError(f"streams are longer than 2**{rounds} steps, or run in circles")
 
 
-#: Lets Spark delete a query's shuffle files as soon as it has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut by a table in the folder that spark.checkpoint.dir names; a folder of our own only on a local master that names none.
-
-    A table has its true size, where a checkpoint would hand on guesses that joins multiply each round.
-    """
-    import os
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "skyquarry-checkpoints")
-    path, before = f"{folder.rstrip('/')}/skyquarry-{uuid.uuid4()}", spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.select("*").write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def snap_radius(distance: float, pixel: float) -> int:
     return max(1, int(distance / pixel))
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from skyquarry.engine.tables import fresh_path
 from skyquarry.functions.ieee import rounded
 from skyquarry.operators import fulltext
+from skyquarry.operators import terrain as te
 from skyquarry.plans.registry import query
-from skyquarry.sources import geotiff
+from skyquarry.sources import geotiff, las, shapes
 from skyquarry.streaming import timers
 from skyquarry.streaming.merge import MergedTable, mirror
 
@@ -84,3 +85,33 @@ def _(t):
 def _(t):
     chunks = t.events.selectExpr("'u' || user_id AS upload", "2 + user_id % 3 AS total", "event_id % 4 AS idx", "event_type AS data", "ts")
     return timers.assembled_by(chunks, "10 hours")
+
+
+@query("s18_shapefile_overlay", "SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS nation, c_name AS name, c_acctbal / 100 AS x0, CAST(c_nationkey AS DOUBLE) AS y0, 5 AS n FROM customer")
+def _(t):
+    """Rectangles of all customers as a layer of polygons, read back record by record."""
+    corner = lambda i, j: F.struct((F.col("c_acctbal") / 100 + 7.0 * i).alias("x"), (F.col("c_nationkey") + 5.0 * j).alias("y"))
+    ring = F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0), corner(0, 0))
+    path = fresh_path(t.spark)
+    shapes.write_shapefile(t.customer.select(F.array(ring).alias("parts"), F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("bigint").alias("nation"), F.col("c_name").alias("name")), path, shapes.POLYGON)
+    first = F.col("parts")[0][0]
+    return shapes.read_shapefile(t.spark, path).select("id", "nation", "name", first["x"].alias("x0"), first["y"].alias("y0"), F.size(F.col("parts")[0]).alias("n"))
+
+
+@query("k03_contour_shapefile")
+def _(t):
+    """Contour lines as a layer of lines with their level."""
+    lines = te.contour_lines(te.contour_segments(t.dem, 100.0), shortest=1.0)
+    path = fresh_path(t.spark)
+    shapes.write_shapefile(lines.select(F.array(F.transform("points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("parts"), "level", "length"), path)
+    return shapes.read_shapefile(t.spark, path).select("level", F.round("length", 4).alias("length"), F.size(F.col("parts")[0]).alias("n"))
+
+
+@query("k02_las_cloud", "SELECT x, y, z, count(*) AS n FROM (SELECT round(CAST(l_quantity AS DOUBLE), 3) AS x, round(CAST(l_discount * 100 AS DOUBLE), 3) AS y, CAST(floor(l_extendedprice) AS DOUBLE) AS z FROM lineitem) GROUP BY x, y, z")
+def _(t):
+    """All lines as points, written as scaled integers and read back."""
+    points = t.lineitem.selectExpr("CAST(l_quantity AS DOUBLE) AS x", "CAST(l_discount * 100 AS DOUBLE) AS y", "CAST(floor(l_extendedprice) AS DOUBLE) AS z")
+    path = fresh_path(t.spark)
+    las.write_las(points, path)
+    back = las.read_las(t.spark, path).select(F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("z", 3).alias("z"))
+    return back.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))

@@ -16,6 +16,7 @@ BRUTE_FORCE = {
     "m14_hsv_blend": "test_raster.test_hsv_blend_against_colorsys",
     "r13_reprojected_bilinear": "test_clouds.test_values_of_the_target",
     "r13_reprojected_nearest": "test_clouds.test_values_of_the_target",
+    "k03_contour_shapefile": "test_shapes.test_lines_round_trip_in_ranges",
     "r17_sampled_points": "test_clouds.test_sample_as_one_by_one",
     "r10_breached": "test_depressions.test_as_one_queue_does",
     "r10_breached_accumulation": "test_depressions.test_no_inner_pits_are_left",
