@@ -169,20 +169,46 @@ def common_options(nodes: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(total)).where("k = _n").select("name")
 
 
-def running_total(df: DataFrame, by: str, value: str, order: list[Column]) -> DataFrame:
-    spec = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running", F.sum(value).over(spec))
+def running_total(df: DataFrame, by: str, value: str, order: list[Column], step: Column | None = None) -> DataFrame:
+    """df with running: the sum of a group's values in an order, up to each row.
+
+    step: a coarser expression of the order's first column (a day of its time), which
+    must be descending.  Then only a group's steps meet in one window, as sums, and a
+    row only those of its step; null steps come last.
+    """
+    upto = lambda spec: F.sum(value).over(spec.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if step is None:
+        return df.withColumn("running", upto(Window.partitionBy(by).orderBy(*order)))
+    rows = df.withColumn("_step", step)
+    return _within(rows, _before(rows, by, value), by, value, order).drop("_step", "_before")
+
+
+def _before(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, _at, _before): what comes before each step of a group."""
+    steps = rows.groupBy(by, "_step").agg(F.sum(value).alias("_sum"))
+    spec = Window.partitionBy(by).orderBy(F.col("_step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return steps.select(F.col(by).alias("_by"), F.col("_step").alias("_at"), F.coalesce(F.sum("_sum").over(spec), F.lit(0.0)).alias("_before"))
+
+
+def _within(rows: DataFrame, before: DataFrame, by: str, value: str, order: list[Column]) -> DataFrame:
+    met = rows.join(before, F.col(by).eqNullSafe(F.col("_by")) & F.col("_step").eqNullSafe(F.col("_at"))).drop("_by", "_at")
+    spec = Window.partitionBy(by, "_step").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return met.withColumn("running", F.col("_before") + F.sum(value).over(spec))
 
 
 def over_quota_tasks(tasks: DataFrame, quotas: DataFrame) -> DataFrame:
     """The newest tasks of owners beyond their quota, as many as must go to meet it; negative quotas are unlimited.
 
-    tasks(id, owner_id, created_at, size), quotas(owner_id, quota).
+    tasks(id, owner_id, created_at, size), quotas(owner_id, quota).  An owner's days
+    are summed first; only tasks of days that are reached before the excess is met
+    are ranked, each within its day.
     """
     limited = quotas.where("quota >= 0")
     used = tasks.groupBy("owner_id").agg(F.sum("size").alias("used"))
     over = used.join(limited, "owner_id").where("used > quota").select("owner_id", (F.col("used") - F.col("quota")).alias("excess"))
-    rows = running_total(tasks.join(over, "owner_id"), "owner_id", "size", [F.col("created_at").desc(), F.col("id").desc()])
+    rows = tasks.join(over, "owner_id").withColumn("_step", F.date_trunc("day", F.col("created_at").cast("timestamp")))
+    reached = _before(rows, "owner_id", "size").join(over.withColumnsRenamed({"owner_id": "_by", "excess": "_excess"}), "_by").where("_before < _excess").drop("_excess")
+    rows = _within(rows, reached, "owner_id", "size", [F.col("created_at").desc(), F.col("id").desc()])
     return rows.where(F.col("running") - F.col("size") < F.col("excess")).select("id", "owner_id", "size", "excess")
 
 

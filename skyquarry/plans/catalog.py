@@ -283,7 +283,7 @@ def _(t):
 
 @query("w02_running_size", "SELECT id, round(sum(size) OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC ROWS UNBOUNDED PRECEDING), 2) AS running FROM task")
 def _(t):
-    rows = c.running_total(t.task, "project_id", "size", [F.col("created_at").desc(), F.col("id").desc()])
+    rows = c.running_total(t.task, "project_id", "size", [F.col("created_at").desc(), F.col("id").desc()], F.date_trunc("day", F.col("created_at").cast("timestamp")))
     return rows.select("id", rounded(F.col("running"), 2).alias("running"))
 
 
