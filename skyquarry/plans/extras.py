@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyquarry.functions import geometry as g
 from skyquarry.functions import scalars as s
 from skyquarry.functions.ieee import rounded
-from skyquarry.operators import formulas, raster, terrain
+from skyquarry.operators import formulas, polygons, raster
 from skyquarry.plans.registry import query
 from skyquarry.sources import files, sinks
 
@@ -163,10 +163,12 @@ def _(t):
     return kept.agg(F.count("z").alias("n"), rounded(F.sum("z"), 4).alias("total"))
 
 
-@query("r19_tile_window", "SELECT z::INT AS z, z BETWEEN 15 AND 21 AS served FROM range(10, 25) t(z)")
+@query("r19_tile_window", "SELECT p_partkey AS id, CAST(p_size % 30 AS INT) AS z, p_size % 30 BETWEEN 15 AND 21 AS served FROM part")
 def _(t):
+    """Which of the tiles that are asked for are served."""
     lo, hi = raster.zoom_window(18, 18)
-    return t.spark.range(10, 25).select(F.col("id").cast("int").alias("z"), F.col("id").between(lo, hi).alias("served"))
+    z = (F.col("p_size") % 30).cast("int")
+    return t.part.select(F.col("p_partkey").alias("id"), z.alias("z"), z.between(lo, hi).alias("served"))
 
 
 @query("r20_large_tiles", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size - 1 END AS z FROM part")
@@ -199,17 +201,24 @@ def _(t):
     return t.part.select("p_partkey", g.epsg_code(text).alias("code"))
 
 
-@query("g07_units_of_systems", "SELECT unit, round(k, 9) AS metres FROM (VALUES ('m', 1::DOUBLE), ('ft', 0.3048::DOUBLE), ('US survey foot', 1200::DOUBLE / 3937), ('degree', 1::DOUBLE)) t(unit, k)")
+@query("g07_units_of_systems", "SELECT p_partkey AS id, unit, round(p_size * k, 9) AS metres FROM part JOIN (VALUES (0, 'm', 1::DOUBLE), (1, 'ft', 0.3048::DOUBLE), (2, 'US survey foot', 1200::DOUBLE / 3937), (3, 'degree', 1::DOUBLE)) t(i, unit, k) ON p_partkey % 4 = i")
 def _(t):
     from skyquarry.functions.units import metres
 
-    rows = t.spark.createDataFrame([(u,) for u in ("m", "ft", "US survey foot", "degree")], "unit string")
-    return rows.select("unit", F.round(metres(F.col("unit")), 9).alias("metres"))
+    unit = F.element_at(F.array(*(F.lit(u) for u in ("m", "ft", "US survey foot", "degree"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = t.part.select(F.col("p_partkey").alias("id"), "p_size", unit.alias("unit"))
+    return rows.select("id", "unit", rounded(F.col("p_size") * metres(F.col("unit")), 9).alias("metres"))
 
 
-@query("e06_formula_registry", f"SELECT {len(formulas.FORMULAS)}::BIGINT AS n, {sum(f.hidden for f in formulas.FORMULAS.values())}::BIGINT AS hidden")
+_REGISTERED = ", ".join(f"({i}, '{k}', {f.hidden})" for i, (k, f) in enumerate(sorted(formulas.FORMULAS.items())))
+
+
+@query("e06_formula_registry", f"SELECT name, hidden, count(*) AS n FROM part JOIN (VALUES {_REGISTERED}) f(i, name, hidden) ON p_partkey % {len(formulas.FORMULAS)} = i GROUP BY name, hidden")
 def _(t):
-    return formulas.catalog(t.spark).agg(F.count(F.lit(1)).alias("n"), F.count_if("hidden").alias("hidden"))
+    """How often each registered formula is asked for."""
+    names = sorted(formulas.FORMULAS)
+    asked = t.part.select(F.element_at(F.array(*(F.lit(k) for k in names)), (F.col("p_partkey") % len(names) + 1).cast("int")).alias("name"))
+    return asked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(formulas.catalog(t.spark).select("name", "hidden"), "name").select("name", "hidden", "n")
 
 
 @query("r16_detections", "SELECT y, count(*) FILTER (z > 400) AS n FROM dem GROUP BY 1")
@@ -223,8 +232,14 @@ def _(t):
     return found.groupBy("y").agg(F.sum("n").alias("n"))
 
 
-@query("r06_triangles", None)
+@query(
+    "r06_triangles",
+    """WITH r AS (SELECT c_custkey AS id, c_acctbal / 100 AS x0, CAST(c_nationkey AS DOUBLE) AS y0, c_acctbal / 100 + 7 AS x1, CAST(c_nationkey + 5 AS DOUBLE) AS y1 FROM customer),
+    v AS (SELECT id, z, d.x IS NOT NULL AS there FROM (SELECT id, unnest([floor(x0), floor(x1), floor(x1), floor(x0)]) AS cx, unnest([floor(y0), floor(y0), floor(y1), floor(y1)]) AS cy FROM r) LEFT JOIN dem d ON d.x = cx AND d.y = cy)
+    SELECT id, CAST(greatest(count(z) - 2, 0) AS INT) AS triangles FROM v GROUP BY id HAVING bool_and(there)""",
+)
 def _(t):
-    from skyquarry.plans.raster import RING
+    """Triangles between the known corners of each rectangle."""
+    from skyquarry.plans.terrain import _rectangles
 
-    return t.spark.createDataFrame(terrain.triangulate(RING), "i int, j int, k int")
+    return polygons.bases(t.dem, _rectangles(t).select("id", "ring"), "triangulate").select("id", F.size("base").alias("triangles"))
\ No newline at end of file

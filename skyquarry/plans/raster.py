@@ -225,11 +225,21 @@ def _(t):
 
 @query(
     "s07_subwindows",
-    """WITH a AS (SELECT DISTINCT greatest(least(s * 28, 100 - 32), 0) AS x FROM range(0, 4) t(s)), b AS (SELECT DISTINCT greatest(least(s * 28, 70 - 32), 0) AS y FROM range(0, 3) t(s))
-    SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, 32::BIGINT AS w, 32::BIGINT AS h FROM a, b""",
+    """WITH n AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM dem),
+    a AS (SELECT DISTINCT greatest(least(s * 28, w - 32), 0) AS x FROM (SELECT w, unnest(range(0, greatest(1, CAST(ceil(greatest(w - 4, 1) / 28) AS BIGINT)))) AS s FROM n)),
+    b AS (SELECT DISTINCT greatest(least(s * 28, h - 32), 0) AS y FROM (SELECT h, unnest(range(0, greatest(1, CAST(ceil(greatest(h - 4, 1) / 28) AS BIGINT)))) AS s FROM n))
+    SELECT a.x, b.y, count(d.x) AS pixels, count(d.z) AS valid FROM a, b LEFT JOIN dem d ON d.x >= a.x AND d.x < a.x + 32 AND d.y >= b.y AND d.y < b.y + 32 GROUP BY a.x, b.y""",
 )
 def _(t):
-    return raster.subwindows(t.spark, 100, 70, 32, overlap=4)
+    """The elevation grid by windows of 32 pixels that overlap by 4: what each holds. A pixel meets its windows through blocks of 32."""
+    size = t.dem.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
+    cut = raster.subwindows(t.spark, size["w"], size["h"], 32, overlap=4).select(F.col("x").alias("wx"), F.col("y").alias("wy"))
+    blocks = lambda c: F.explode(F.array_distinct(F.array(F.floor(F.col(c) / 32), F.floor((F.col(c) + 31) / 32))))
+    cut = cut.withColumn("bx", blocks("wx")).withColumn("by", blocks("wy"))
+    rows = t.dem.select("x", "y", "z", F.floor(F.col("x") / 32).alias("bx"), F.floor(F.col("y") / 32).alias("by"))
+    inside = F.col("x").between(F.col("wx"), F.col("wx") + 31) & F.col("y").between(F.col("wy"), F.col("wy") + 31)
+    met = cut.join(rows, ["bx", "by"], "left").groupBy(F.col("wx").alias("x"), F.col("wy").alias("y"))
+    return met.agg(F.count_if(inside).alias("pixels"), F.count_if(inside & F.col("z").isNotNull()).alias("valid"))
 
 
 @query("s08_blocks", "SELECT CAST(floor(x / 16) AS BIGINT) AS bx, CAST(floor(y / 16) AS BIGINT) AS by_, count(*) AS n, round(max(z), 6) AS top FROM dem GROUP BY 1, 2")
@@ -312,17 +322,29 @@ _VALUES = ", ".join(
 _FILTERS = ", ".join(f"('{f}', [{', '.join(repr(b) for b in formulas.bands_of(f))}])" for f in formulas.FILTERS)
 
 
-@query("x32_available_indices", f"SELECT DISTINCT a.name FROM (VALUES {_VALUES}) a(name, bands, hidden), (VALUES {_FILTERS}) f(filter, fb) WHERE NOT hidden AND len(fb) <= 4 AND list_has_all(fb, bands)")
+_BAND_COUNT = "3 + p_size % 4"
+
+
+@query("x32_available_indices", f"SELECT p.p_partkey AS id, count(DISTINCT a.name) AS n FROM part p JOIN (VALUES {_FILTERS}) f(filter, fb) ON len(fb) <= {_BAND_COUNT} JOIN (VALUES {_VALUES}) a(name, bands, hidden) ON NOT hidden AND list_has_all(fb, bands) GROUP BY 1")
 def _(t):
-    have = formulas.filter_catalog(t.spark).where(F.size("bands") <= 4).withColumnRenamed("bands", "fb")
-    own = formulas.catalog(t.spark).where("not hidden")
-    return own.join(have, F.size(F.array_except("bands", "fb")) == 0).select("name").distinct()
+    """How many indices a raster of so many bands can have: worked out once for each number of bands."""
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.expr(_BAND_COUNT).alias("bands_"))
+    have = formulas.filter_catalog(t.spark).withColumnRenamed("bands", "fb")
+    own = formulas.catalog(t.spark).where("not hidden").select("name", "bands")
+    numbers = parts.select("bands_").distinct().join(have, F.size("fb") <= F.col("bands_")).join(own, F.size(F.array_except("bands", "fb")) == 0)
+    return parts.join(numbers.groupBy("bands_").agg(F.count_distinct("name").alias("n")), "bands_").select("id", "n")
+
+
+_NAMES = sorted(formulas.FORMULAS)
 
 
-@query("x33_filters_for_index", f"SELECT a.name, f.filter FROM (VALUES {_VALUES}) a(name, bands, hidden), (VALUES {_FILTERS}) f(filter, fb) WHERE list_has_all(fb, bands)")
+@query("x33_filters_for_index", f"SELECT p.p_partkey AS id, a.name, f.filter FROM part p JOIN (VALUES {_VALUES}) a(name, bands, hidden) ON a.name = ({_NAMES!r})[p_partkey % {len(_NAMES)} + 1] JOIN (VALUES {_FILTERS}) f(filter, fb) ON list_has_all(fb, bands)")
 def _(t):
+    """The camera filters with which each raster's index can be had."""
     have = formulas.filter_catalog(t.spark).withColumnRenamed("bands", "fb")
-    return formulas.catalog(t.spark).join(have, F.size(F.array_except("bands", "fb")) == 0).select("name", "filter")
+    pairs = formulas.catalog(t.spark).join(have, F.size(F.array_except("bands", "fb")) == 0).select("name", "filter")
+    asked = t.part.select(F.col("p_partkey").alias("id"), F.element_at(F.array(*(F.lit(n) for n in _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int")).alias("name"))
+    return asked.join(pairs, "name").select("id", "name", "filter")
 
 
 _ALIAS_NAMES = "['red', 'R', 'Green', 'g', 'blue', 'b', 'NIR', 'n', 'RedEdge', 're', 'panchro', 'p', 'LWIR', 'l', 'thermal']"
@@ -395,9 +417,14 @@ def _(t):
     return t.ortho.groupBy(at.alias("colour")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m17_palettes", "SELECT name, i::INT AS i, c AS colour FROM (VALUES " + ", ".join(f"('{k}', [{', '.join(repr(c) for c in v)}])" for k, v in color.PALETTES.items()) + ") p(name, cs), LATERAL (SELECT unnest(cs) AS c, unnest(range(len(cs))) AS i)")
+_PALETTE_NAMES = sorted(color.PALETTES)
+
+
+@query("m17_palettes", f"SELECT p_partkey AS id, name, cs[p_size % len(cs) + 1] AS colour FROM part JOIN (VALUES " + ", ".join(f"('{k}', [{', '.join(repr(c) for c in v)}])" for k, v in color.PALETTES.items()) + f") p(name, cs) ON name = ({_PALETTE_NAMES!r})[p_partkey % {len(_PALETTE_NAMES)} + 1]")
 def _(t):
-    return color.palettes(t.spark).select("name", F.posexplode("colours").alias("i", "colour"))
+    """Classes of parts in the colours of their palette."""
+    asked = t.part.select(F.col("p_partkey").alias("id"), "p_size", F.element_at(F.array(*(F.lit(n) for n in _PALETTE_NAMES)), (F.col("p_partkey") % len(_PALETTE_NAMES) + 1).cast("int")).alias("name"))
+    return asked.join(color.palettes(t.spark), "name").select("id", "name", F.element_at("colours", (F.col("p_size") % F.size("colours") + 1).cast("int")).alias("colour"))
 
 
 @query("j15_colormap_lookup", "SELECT substr(c, 2, 6) AS hex, count(*) AS n FROM (SELECT ['" + "','".join(color.PALETTES["discrete_ndvi"]) + "'][CAST(least(floor(CAST(floor(g * 255) AS DOUBLE) / 256 * 5), 4) AS INT) + 1] AS c FROM ortho) GROUP BY 1")
@@ -407,9 +434,15 @@ def _(t):
     return rows.groupBy(F.substring("colour", 2, 6).alias("hex")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m07_units", "SELECT unit, kind, abbreviation, round(factor, 12) AS factor, digits FROM (VALUES " + ", ".join(f"('{u.name}', '{u.kind}', '{u.abbreviation}', {u.factor!r}::DOUBLE, {u.digits})" for u in units.UNITS) + ") t(unit, kind, abbreviation, factor, digits)")
+_UNIT_NAMES = [u.name for u in units.UNITS]
+
+
+@query("m07_units", "SELECT p_partkey AS id, unit, kind, abbreviation, round(p_size * factor, 6) AS value, digits FROM part JOIN (VALUES " + ", ".join(f"('{u.name}', '{u.kind}', '{u.abbreviation}', {u.factor!r}::DOUBLE, {u.digits})" for u in units.UNITS) + f") t(unit, kind, abbreviation, factor, digits) ON unit = ({_UNIT_NAMES!r})[p_partkey % {len(_UNIT_NAMES)} + 1] WHERE factor IS NOT NULL")
 def _(t):
-    return units.table(t.spark).select("unit", "kind", "abbreviation", F.round("factor", 12).alias("factor"), "digits")
+    """Measures in the unit that each asks for, through the unit table."""
+    asked = t.part.select(F.col("p_partkey").alias("id"), "p_size", F.element_at(F.array(*(F.lit(n) for n in _UNIT_NAMES)), (F.col("p_partkey") % len(_UNIT_NAMES) + 1).cast("int")).alias("unit"))
+    rows = asked.join(units.table(t.spark), "unit").where("factor IS NOT NULL")
+    return rows.select("id", "unit", "kind", "abbreviation", rounded(F.col("p_size") * F.col("factor")).alias("value"), "digits")
 
 
 @query(

@@ -20,7 +20,6 @@ BRUTE_FORCE = {
     "r17_sampled_points": "test_clouds.test_sample_as_one_by_one",
     "r10_breached": "test_depressions.test_as_one_queue_does",
     "r10_breached_accumulation": "test_depressions.test_no_inner_pits_are_left",
-    "r06_triangles": "test_raster.test_triangles_have_empty_circles",
     "r06_volume_triangulated": "test_raster.test_triangulated_volume_pixel_by_pixel",
     "r08_contour_lines": "test_raster.test_contour_lines_against_one_stitch",
 }
