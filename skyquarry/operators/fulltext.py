@@ -134,7 +134,7 @@ class Index:
         now = last.select("id", F.when(~F.col("_l._gone"), F.col("_l._text")).alias("text"), F.col("_l._gone").alias("gone"))
         # each distinct word is stemmed once
         words = now.select("id", F.posexplode(words_of(F.col("text"))).alias("at", "word")).where(~F.col("word").isin(STOP))
-        known = words.select("word").distinct().select("word", stems(F.array("word"))[0].alias("term"))
+        known = kept(words.select("word").distinct().select("word", stems(F.array("word"))[0].alias("term")))  # a table, so Spark can split a frequent word's rows
         placed = kept(words.join(known, "word").select("id", "term", F.col("at") + 1))
         placed = placed.toDF("id", "term", "position")
         new = placed.groupBy("term", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
