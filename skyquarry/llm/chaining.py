@@ -11,9 +11,12 @@ before.  The words around a chain are aligned between its matches and beyond its
 ends, and passages that are long and alike enough remain.
 
 A partner that holds only a piece of a passage may hide the others.  So what is not
-yet a repeat is searched again for runs of equal words as long as a passage: long
-k-mers, sampled so that each such run has one, tell which places occur again; the
-whole runs there are compared by hash, and all but the first of equal ones are repeats.
+yet a repeat is searched again, in two ways.  Two seeds that stand far apart in a text
+are a seed together, which a text with a shorter piece doesn't have; such pairs are
+matched, chained and aligned like single seeds, in rounds until nothing is found.
+And for runs of equal words as long as a passage long k-mers, sampled so that each such
+run has one, tell which places occur again; the whole runs there are compared by hash,
+and all but the first of equal ones are repeats.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyquarry.llm.graph import spread_join
-from skyquarry.llm.text import Texts, as_texts, checkpointed, fresh, grams, sliding_min, widened
+from skyquarry.llm.text import Texts, as_texts, checkpointed, fresh, grams, mix, sliding_min, tabled, widened
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,9 @@ class Settings:
     margin: int = 100
     #: From a chain's first match to its last there are so many words at least.
     reach: int = 16
+    #: Two seeds so many words apart, from and to, are a seed together in the second search.
+    near: int = 24
+    far: int = 72
     hold: int = 1 << 21
 
 
@@ -76,7 +82,7 @@ def _linked(h: np.ndarray, node: np.ndarray, pos: np.ndarray, least: int) -> tup
     same text.
     """
     if not len(h):
-        return (h, node, pos), (node, node, pos, pos)
+        return (h, node, pos), (node, node, pos, pos, h)
     at = np.arange(len(h))
     new = np.append(True, h[1:] != h[:-1])
     text = new | np.append(True, node[1:] != node[:-1])
@@ -92,17 +98,26 @@ def _linked(h: np.ndarray, node: np.ndarray, pos: np.ndarray, least: int) -> tup
     a, b = np.concatenate([later, second[far], again]), np.concatenate([head[later], other[far], again - 1])
     apart = run[a] != run[b]
     a, b = a[apart], b[apart]
-    return (h[new], node[new], pos[new]), (node[a], node[b], pos[a], pos[b])
+    return (h[new], node[new], pos[new]), (node[a], node[b], pos[a], pos[b], h[a])
 
 
 _LINK = pa.schema([("route", pa.int64()), ("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("places", pa.int64())])
 
 
-def _links(a, b, pa_, pb) -> Iterator[pa.RecordBatch]:
+def _links(a, b, pa_, pb, h) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(a), 1 << 18):
         j = slice(i, i + (1 << 18))
-        n = len(a[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a[j] ^ b[j]), pa.nulls(n, pa.int64()), pa.array(a[j]), pa.array(b[j]), pa.array((pa_[j] << 32) | pb[j])], schema=_LINK)
+        yield pa.RecordBatch.from_arrays([pa.array(a[j] ^ b[j]), pa.array(h[j]), pa.array(a[j]), pa.array(b[j]), pa.array((pa_[j] << 32) | pb[j])], schema=_LINK)
+
+
+def _settled(h: np.ndarray, node: np.ndarray, pos: np.ndarray, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Of a task's occurrences: the matches among them, and each seed's first one, without b, for the other tasks."""
+    order = np.lexsort((pos, node, h))
+    (h, node, pos), found = _linked(h[order], node[order], pos[order], s.least)
+    yield from _links(*found)
+    for i in range(0, len(h), 1 << 18):
+        j = slice(i, i + (1 << 18))
+        yield pa.RecordBatch.from_arrays([pa.array(h[j]), pa.array(h[j]), pa.array(node[j]), pa.nulls(len(h[j]), pa.int64()), pa.array(pos[j])], schema=_LINK)
 
 
 def _seed_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -110,16 +125,6 @@ def _seed_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
     seen: set[int] = set()
     kept, held = [], 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        h, node, pos = (np.concatenate(x) for x in zip(*kept, strict=True))
-        order = np.lexsort((pos, node, h))
-        (h, node, pos), found = _linked(h.view(np.int64)[order], node[order], pos[order], s.least)
-        yield from _links(*found)
-        for i in range(0, len(h), 1 << 18):
-            j = slice(i, i + (1 << 18))
-            n = len(h[j])
-            yield pa.RecordBatch.from_arrays([pa.array(h[j]), pa.array(h[j]), pa.array(node[j]), pa.nulls(n, pa.int64()), pa.array(pos[j])], schema=_LINK)
-
     for batch in batches:
         nodes = batch.column("node").to_numpy(False)
         for i, _, texts in as_texts(batch.column("text")):
@@ -130,23 +135,23 @@ def _seed_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
                 fresh[k] = x not in seen
                 seen.add(x)
             ok = fresh[own]
-            kept.append((h[ok], nodes[i + own[ok]], pos[ok]))
+            kept.append((h[ok].view(np.int64), nodes[i + own[ok]], pos[ok]))
             held += int(ok.sum())
         if held >= s.hold:
-            yield from flush()
+            yield from _settled(*(np.concatenate(x) for x in zip(*kept, strict=True)), s)
             kept, held = [], 0
     if held:
-        yield from flush()
+        yield from _settled(*(np.concatenate(x) for x in zip(*kept, strict=True)), s)
 
 
 def _match_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Matches: those that come as such, and those between tasks' first occurrences; rows sorted by h."""
     rest = None
     for batch in batches:
-        plain = batch.column("h").is_null()
+        plain = batch.column("b").is_valid()
         if plain.true_count:
-            yield batch.filter(plain).select(["a", "b", "places"])
-            batch = batch.filter(batch.column("h").is_valid())
+            yield batch.filter(plain).select(["a", "b", "places", "h"])
+            batch = batch.filter(batch.column("b").is_null())
         if not batch.num_rows:
             continue
         now = [batch.column(c).to_numpy(False) for c in ("h", "a", "places")]
@@ -154,11 +159,58 @@ def _match_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.R
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         cut = int(np.searchsorted(now[0], now[0][-1]))  # at most one row a task for the seed that may go on
         for out in _links(*_linked(*(x[:cut] for x in now), s.least)[1]):
-            yield out.select(["a", "b", "places"])
+            yield out.select(["a", "b", "places", "h"])
         rest = [x[cut:] for x in now]
     if rest is not None:
         for out in _links(*_linked(*rest, s.least)[1]):
-            yield out.select(["a", "b", "places"])
+            yield out.select(["a", "b", "places", "h"])
+
+
+def _pair_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Pairs of seeds that stand s.near to s.far words apart, matched as in _settled; rows (node, kind, pos, x) sorted by (node, kind, pos).
+
+    Kind 0 are spans that are repeats already (x: their end), kind 1 seeds (x: the
+    hash); seeds within a span take no part.  A pair is two seeds, one at either place.
+    """
+    rest, kept, held = None, [], 0
+
+    def pairs(node: np.ndarray, kind: np.ndarray, pos: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rank = np.cumsum(np.append(0, node[1:] != node[:-1])) if len(node) else node
+        place, cut = (rank << 32) | pos, kind == 0
+        if cut.any():
+            of = np.searchsorted(place[cut], place, side="right") - 1
+            inside = (of >= 0) & (rank[cut][of] == rank) & (pos + s.words <= x[cut][of])
+            cut |= inside
+        place, node, h, pos = place[~cut], node[~cut], x[~cut].view(np.uint64), pos[~cut]
+        for k in range(1, s.far + 1):
+            apart = place[k:] - place[:-k]
+            if not (apart <= s.far).any():
+                break
+            i = np.flatnonzero((apart >= s.near) & (apart <= s.far))
+            both = mix(h[i] + (h[i + k] << np.uint64(1)) + np.uint64(1))
+            for end, at in ((0, i), (1, i + k)):
+                yield (both ^ np.uint64(end)).view(np.int64), node[at], pos[at]
+
+    def gathered(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        nonlocal kept, held
+        for found in pairs(*rows):
+            kept.append(found)
+            held += len(found[0])
+            if held >= s.hold:
+                yield from _settled(*(np.concatenate(c) for c in zip(*kept, strict=True)), s)
+                kept, held = [], 0
+
+    for batch in batches:
+        now = [batch.column(c).to_numpy(False).astype(np.int64) for c in ("node", "kind", "pos", "x")]
+        if rest is not None:
+            now = [np.concatenate(c) for c in zip(rest, now, strict=True)]
+        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last text may go on
+        yield from gathered([c[:cut] for c in now])
+        rest = [c[cut:] for c in now]
+    if rest is not None:
+        yield from gathered(rest)
+    if held:
+        yield from _settled(*(np.concatenate(c) for c in zip(*kept, strict=True)), s)
 
 
 def chain(x: list[int], y: list[int], s: Settings) -> list[list[int]]:
@@ -424,11 +476,19 @@ def _noded(docs: DataFrame) -> DataFrame:
     return own.withColumn("node", F.xxhash64("text")).withColumn("mark", F.xxhash64("text", F.lit(1)))
 
 
-def _spans(texts: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
-    """Spans of the passages along chains of matches, and the texts' numbers of words; see passages."""
+def _matches(rows: DataFrame, s: Settings) -> DataFrame:
+    """Matches (a, b, places, h) from what _settled yields in tasks."""
+    return rows.repartition("route").sortWithinPartitions("h", "a", "places").mapInArrow(lambda b: _match_rows(b, s), "a bigint, b bigint, places bigint, h bigint")
+
+
+def _chained(matches: DataFrame, s: Settings) -> DataFrame:
     schema = "a bigint, b bigint, matches binary, a0 bigint, a1 bigint, b0 bigint, b1 bigint"
-    found = matches.repartition("a", "b").sortWithinPartitions("a", "b", "places").mapInArrow(lambda b: _chains(b, s), schema)
-    found = checkpointed(found.withColumn("id", F.monotonically_increasing_id()))  # numbers are fixed by the checkpoint
+    found = matches.select("a", "b", "places").repartition("a", "b").sortWithinPartitions("a", "b", "places").mapInArrow(lambda b: _chains(b, s), schema)
+    return tabled(found.withColumn("id", F.monotonically_increasing_id()))  # numbers are fixed by the table
+
+
+def _spans(texts: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """Spans of the passages along the chains found, and the texts' numbers of words; see passages."""
     none = F.lit(None)
     wanted = texts.mapInArrow(_distinct, texts.schema).select("node", F.lit(0).alias("kind"), F.col("mark").alias("id"), none.cast("bigint").alias("lo"), none.cast("bigint").alias("hi"), none.cast("binary").alias("matches"), "text")
     for side, node, lo, hi in ((1, "a", "a0", "a1"), (2, "b", "b0", "b1")):
@@ -441,6 +501,19 @@ def _spans(texts: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
     return spans.mapInArrow(lambda b: _span_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean, mark bigint")
 
 
+def _hidden(texts: DataFrame, places: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
+    """Spans of the passages that pairs of distant seeds find in what the repeats among spans leave.
+
+    places(node, pos, x): the seeds that occur twice or more.
+    """
+    cuts = merged(spans).where("repeat").select("node", F.lit(0).alias("kind"), F.col("start").alias("pos"), F.col("stop").alias("x"))
+    rows = places.select("node", F.lit(1).alias("kind"), "pos", "x").unionAll(cuts).repartition("node").sortWithinPartitions("node", "kind", "pos")
+    links = rows.mapInArrow(lambda b: _pair_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
+    found = _chained(_matches(links, s).dropDuplicates(["a", "b", "places"]), s)
+    some = tabled(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return _spans(texts.join(some, "node", "left_semi"), found, s).where("partner is not null")
+
+
 def _gram_rows(batches: Iterable[pa.RecordBatch], s: Settings, whole: bool) -> Iterator[pa.RecordBatch]:
     """Hash, node and place of word k-mers; rows sorted by (node, kind), a text (kind 1) after its spans.
 
@@ -530,12 +603,20 @@ def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B
     row without partner has a text's number of words as ``stop``.
 
     Runs of s.least equal words are all found; passages that are only alike are
-    missed where too few seeds are left in them or partners hide them.
+    missed where too few seeds are left in them.
     """
     texts = _noded(docs).select("node", "mark", "text")
     rows = texts.select("node", "text").mapInArrow(lambda b: _seed_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
-    matches = rows.repartition("route").sortWithinPartitions("h", "a", "places").mapInArrow(lambda b: _match_rows(b, s), "a bigint, b bigint, places bigint")
-    spans = checkpointed(_spans(texts, matches, s))
+    matches = tabled(_matches(rows, s))
+    place = lambda node, pos: F.struct(F.col(node).alias("node"), pos.alias("pos"), F.col("h").alias("x"))
+    ends = F.array(place("a", F.shiftrightunsigned("places", 32)), place("b", F.col("places").bitwiseAND(0xFFFFFFFF)))
+    places = tabled(matches.select(F.explode(ends).alias("p")).select("p.*").groupBy("node", "pos").agg(F.min("x").alias("x")))
+    spans = checkpointed(_spans(texts, _chained(matches, s), s))
+    while True:
+        more = checkpointed(_hidden(texts, places, spans, s))
+        if more.where("repeat").isEmpty():
+            break
+        spans = checkpointed(spans.unionAll(more))
     return spans.unionAll(_exact(texts, spans, s))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skyquarry.llm import chaining
@@ -190,3 +191,32 @@ def test_recall_of_fuzzy_passages(spark):
     found = [any(min(b, d) - max(a, c) >= 0.5 * (b - a) for c, d in spans.get(i, [])) for i, (a, b) in planted.items()]
     assert sum(found) >= 0.9 * len(found)
     assert all(max(d, b) - min(c, a) <= b - a + 20 for i, (a, b) in planted.items() for c, d in spans.get(i, []))  # and little else
+
+
+def test_fragments_hide_no_fuzzy_passage(spark):
+    """Groups of a text with a passage, one with 10 or 15 % of its words changed, and n texts that quote 40 words of it, which is no passage."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for size, quotes, changed in ((60, 0, 0.1), (60, 2, 0.1), (60, 4, 0.1), (60, 12, 0.1), (80, 12, 0.15), (100, 12, 0.15)):
+        data = []
+        for g in range(40):
+            passage = [word() for _ in range(size)]
+            other = list(passage)
+            for i in rng.sample(range(size), int(size * changed)):
+                other[i] = word()
+            pieces = [passage[a : a + 40] for a in (rng.randrange(size - 39) for _ in range(quotes))]
+            for k, part in enumerate([passage, other, *pieces]):
+                data.append((100 * g + k, " ".join([word() for _ in range(rng.randrange(30, 60))] + part + [word() for _ in range(40)])))
+        spans = chaining.shared_passages(spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)).collect()
+        assert all(r.doc_id % 100 < 2 and r.other_doc_id // 100 == r.doc_id // 100 for r in spans)  # no quote is a passage
+        found = {r.doc_id // 100 for r in spans if r.repeat and r.end_word - r.start_word >= 40}
+        assert len(found) >= 0.9 * 40, (size, quotes, changed, len(found))
+
+
+def test_pairs_of_seeds_leave_out_repeats():
+    s = chaining.Settings(near=10, far=20)
+    rows = [(1, 0, 30, 60), *((1, 1, p, 1000 + p) for p in (0, 12, 25, 31, 45, 70)), *((2, 1, p, 1000 + p) for p in (0, 12, 25, 45))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["node", "kind", "pos", "x"])
+    got = {(r["a"], r["b"], r["places"]) for out in chaining._pair_rows([batch.slice(0, 3), batch.slice(3)], s) for r in out.to_pylist() if r["b"] is not None}
+    # seeds at 31 and 45 of text 1 lie in its span; 0-12 and 12-25 are pairs of both texts, 25-45 of the second alone
+    assert got == {(2, 1, (p << 32) | p) for p in (0, 12, 25)}
