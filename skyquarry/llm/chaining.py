@@ -166,49 +166,60 @@ def _match_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.R
             yield out.select(["a", "b", "places", "h"])
 
 
-def _pair_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Pairs of seeds that stand s.near to s.far words apart, matched as in _settled; rows (node, kind, pos, x) sorted by (node, kind, pos).
+def _by_text(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[list[np.ndarray]]:
+    """Columns, the first of which is the node, of whole texts at a time; rows sorted by node."""
+    rest = None
+    for batch in batches:
+        now = [batch.column(c).to_numpy(False).astype(np.int64) for c in columns]
+        if rest is not None:
+            now = [np.concatenate(c) for c in zip(rest, now, strict=True)]
+        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last text may go on
+        if cut:
+            yield [c[:cut] for c in now]
+        rest = [c[cut:] for c in now]
+    if rest is not None and len(rest[0]):
+        yield rest
 
-    Kind 0 are spans that are repeats already (x: their end), kind 1 seeds (x: the
-    hash); seeds within a span take no part.  A pair is two seeds, one at either place.
-    """
-    rest, kept, held = None, [], 0
 
-    def pairs(node: np.ndarray, kind: np.ndarray, pos: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        rank = np.cumsum(np.append(0, node[1:] != node[:-1])) if len(node) else node
+def _left_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """The seeds (kind 1, crowded ones 2; x: hash) that lie in no span (kind 0; x: its end); rows (node, kind, pos, x) sorted by (node, kind, pos).
+
+    Of a run of one seed in a text, as in _linked, the first place.
+    """
+    for node, kind, pos, x in _by_text(batches, "node", "kind", "pos", "x"):
+        rank = np.cumsum(np.append(0, node[1:] != node[:-1]))
         place, cut = (rank << 32) | pos, kind == 0
+        ok = ~cut
         if cut.any():
             of = np.searchsorted(place[cut], place, side="right") - 1
-            inside = (of >= 0) & (rank[cut][of] == rank) & (pos + s.words <= x[cut][of])
-            cut |= inside
-        place, node, h, pos = place[~cut], node[~cut], x[~cut].view(np.uint64), pos[~cut]
+            ok &= (of < 0) | (rank[cut][of] != rank) | (pos + s.words > x[cut][of])
+        at = np.flatnonzero(ok)
+        at = at[np.lexsort((place[at], x[at]))]
+        again = (x[at[1:]] == x[at[:-1]]) & (place[at[1:]] - place[at[:-1]] < s.least)  # places of two texts are further apart
+        at = np.sort(at[np.append(True, ~again)]) if len(at) else at
+        yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (node, pos, x, kind - 1)], names=["node", "pos", "x", "crowded"])
+
+
+def _pair_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Pairs of seeds that stand s.near to s.far words apart, one of them crowded, matched as in _settled; rows (node, pos, x, crowded) sorted by (node, pos).
+
+    A pair is two seeds, one at either place.
+    """
+    kept, held = [], 0
+    for node, pos, x, crowded in _by_text(batches, "node", "pos", "x", "crowded"):
+        place, h, crowded = (np.cumsum(np.append(0, node[1:] != node[:-1])) << 32) | pos, x.view(np.uint64), crowded > 0
         for k in range(1, s.far + 1):
             apart = place[k:] - place[:-k]
             if not (apart <= s.far).any():
                 break
-            i = np.flatnonzero((apart >= s.near) & (apart <= s.far))
+            i = np.flatnonzero((apart >= s.near) & (apart <= s.far) & (crowded[k:] | crowded[:-k]))
             both = mix(h[i] + (h[i + k] << np.uint64(1)) + np.uint64(1))
             for end, at in ((0, i), (1, i + k)):
-                yield (both ^ np.uint64(end)).view(np.int64), node[at], pos[at]
-
-    def gathered(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        nonlocal kept, held
-        for found in pairs(*rows):
-            kept.append(found)
-            held += len(found[0])
+                kept.append(((both ^ np.uint64(end)).view(np.int64), node[at], pos[at]))
+            held += 2 * len(i)
             if held >= s.hold:
                 yield from _settled(*(np.concatenate(c) for c in zip(*kept, strict=True)), s)
                 kept, held = [], 0
-
-    for batch in batches:
-        now = [batch.column(c).to_numpy(False).astype(np.int64) for c in ("node", "kind", "pos", "x")]
-        if rest is not None:
-            now = [np.concatenate(c) for c in zip(rest, now, strict=True)]
-        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last text may go on
-        yield from gathered([c[:cut] for c in now])
-        rest = [c[cut:] for c in now]
-    if rest is not None:
-        yield from gathered(rest)
     if held:
         yield from _settled(*(np.concatenate(c) for c in zip(*kept, strict=True)), s)
 
@@ -501,17 +512,22 @@ def _spans(texts: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     return spans.mapInArrow(lambda b: _span_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean, mark bigint")
 
 
-def _hidden(texts: DataFrame, places: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
-    """Spans of the passages that pairs of distant seeds find in what the repeats among spans leave.
+def _hidden(texts: DataFrame, places: DataFrame, spans: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Spans of the passages that pairs of distant seeds find in what the repeats among spans leave, and the places that matter for another search.
 
-    places(node, pos, x): the seeds that occur twice or more.
+    places(node, pos, x, crowded): the seeds that occur twice or more; crowded (1 or
+    0) are those of three places or more.  Only pairs with a crowded seed, and of
+    which several texts are left, may have been hidden.
     """
-    cuts = merged(spans).where("repeat").select("node", F.lit(0).alias("kind"), F.col("start").alias("pos"), F.col("stop").alias("x"))
-    rows = places.select("node", F.lit(1).alias("kind"), "pos", "x").unionAll(cuts).repartition("node").sortWithinPartitions("node", "kind", "pos")
-    links = rows.mapInArrow(lambda b: _pair_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
+    cuts = merged(spans).where("repeat").select("node", F.lit(0).cast("bigint").alias("kind"), F.col("start").alias("pos"), F.col("stop").alias("x"))
+    rows = places.select("node", (F.col("crowded") + 1).alias("kind"), "pos", "x").unionAll(cuts).repartition("node").sortWithinPartitions("node", "kind", "pos")
+    left = tabled(rows.mapInArrow(lambda b: _left_rows(b, s), "node bigint, pos bigint, x bigint, crowded bigint"))
+    several = left.groupBy("x").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("x")
+    left = tabled(spread_join(left, several, ["x"], ["node", "pos"]).select("node", "pos", "x", "crowded"))
+    links = left.repartition("node").sortWithinPartitions("node", "pos").mapInArrow(lambda b: _pair_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
     found = _chained(_matches(links, s).dropDuplicates(["a", "b", "places"]), s)
     some = tabled(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    return _spans(texts.join(some, "node", "left_semi"), found, s).where("partner is not null")
+    return checkpointed(_spans(texts.join(some, "node", "left_semi"), found, s).where("partner is not null")), left
 
 
 def _gram_rows(batches: Iterable[pa.RecordBatch], s: Settings, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -611,9 +627,11 @@ def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B
     place = lambda node, pos: F.struct(F.col(node).alias("node"), pos.alias("pos"), F.col("h").alias("x"))
     ends = F.array(place("a", F.shiftrightunsigned("places", 32)), place("b", F.col("places").bitwiseAND(0xFFFFFFFF)))
     places = tabled(matches.select(F.explode(ends).alias("p")).select("p.*").groupBy("node", "pos").agg(F.min("x").alias("x")))
+    counts = places.groupBy("x").agg((F.count(F.lit(1)) > 2).cast("bigint").alias("crowded"))
+    places = spread_join(places, counts, ["x"], ["node", "pos"])
     spans = checkpointed(_spans(texts, _chained(matches, s), s))
     while True:
-        more = checkpointed(_hidden(texts, places, spans, s))
+        more, places = _hidden(texts, places, spans, s)
         if more.where("repeat").isEmpty():
             break
         spans = checkpointed(spans.unionAll(more))

@@ -215,8 +215,13 @@ def test_fragments_hide_no_fuzzy_passage(spark):
 
 def test_pairs_of_seeds_leave_out_repeats():
     s = chaining.Settings(near=10, far=20)
-    rows = [(1, 0, 30, 60), *((1, 1, p, 1000 + p) for p in (0, 12, 25, 31, 45, 70)), *((2, 1, p, 1000 + p) for p in (0, 12, 25, 45))]
-    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["node", "kind", "pos", "x"])
-    got = {(r["a"], r["b"], r["places"]) for out in chaining._pair_rows([batch.slice(0, 3), batch.slice(3)], s) for r in out.to_pylist() if r["b"] is not None}
-    # seeds at 31 and 45 of text 1 lie in its span; 0-12 and 12-25 are pairs of both texts, 25-45 of the second alone
-    assert got == {(2, 1, (p << 32) | p) for p in (0, 12, 25)}
+    batch = lambda names, rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+    rows = [(1, 0, 30, 60), *((1, 2, p, 1000 + p) for p in (0, 12, 25, 31, 45, 70)), (1, 2, 95, 1070), *((2, 2, p, 1000 + p) for p in (0, 12, 25, 45))]
+    rows = batch(["node", "kind", "pos", "x"], rows)
+    left = [tuple(r.values()) for out in chaining._left_rows([rows.slice(0, 3), rows.slice(3)], s) for r in out.to_pylist()]
+    # seeds at 31 and 45 of text 1 lie in its span, 95 is of one run with 70
+    assert left == [(1, p, 1000 + p, 1) for p in (0, 12, 25, 70)] + [(2, p, 1000 + p, 1) for p in (0, 12, 25, 45)]
+    names = ["node", "pos", "x", "crowded"]
+    both = lambda rows: {(r["a"], r["b"], r["places"]) for out in chaining._pair_rows([batch(names, rows[:2]), batch(names, rows[2:])], s) for r in out.to_pylist() if r["b"] is not None}
+    assert both(left) == {(2, 1, (p << 32) | p) for p in (0, 12, 25)}  # 0-12 and 12-25 are pairs of both texts, 25-45 of the second alone
+    assert both([(*r[:3], int(r[1] == 0)) for r in left]) == {(2, 1, (p << 32) | p) for p in (0, 12)}  # a pair has a crowded seed
