@@ -191,10 +191,48 @@ def certified(wrong: list[int], n: int, risk: float, error: float) -> int:
     return k
 
 
+def shares(good: dict[str, int], risk: float, error: float) -> dict[str, float]:
+    """The error level that each stratum begins with; good: how many good documents certify in it.
+
+    Equal parts for as many strata as possible that could hold a rule which rejects
+    none of their good documents, the largest first.  The others would waste theirs
+    and begin with none.  The numbers say nothing of what rules reject, so levels
+    may depend on them.
+    """
+    order = sorted(good, key=lambda s: (-good[s], s))
+    most = max((k for k, s in enumerate(order, 1) if (1 - risk) ** good[s] <= error / k), default=0)
+    return {s: error / most if k < most else 0.0 for k, s in enumerate(order)}
+
+
+def settle(wrong: dict[str, list[int]], good: dict[str, int], risk: float, error: float) -> dict[str, tuple[int, float]]:
+    """{stratum: (number of its rules that hold, its level)}; wrong as in certified.
+
+    A stratum of which all rules hold hands its level on to the next smaller one, as
+    in the fallback procedure.
+    """
+    level, out, spare = shares(good, risk, error), {}, 0.0
+    for s in sorted(wrong, key=lambda s: (-good[s], s)):
+        own = level[s] + spare
+        k = certified(wrong[s], good[s], risk, own)
+        out[s] = (k, own)
+        spare = own if k == len(wrong[s]) else 0.0
+    return out
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> dict[str, dict[str, int]]:
-    """{stratum: {signal: index of its cutoff}} from all labelled documents that pass the base rules.
+    """{stratum: {signal: index of its cutoff}}: the rules of certificates, where there are any."""
+    return {s: c["rules"] for s, c in certificates(measured, labels, risk, error).items() if c["rules"]}
+
 
-    Labels without doc_id or quality don't count; of several for one document, or
+def certificates(measured: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> dict[str, dict]:
+    """For each stratum that useful cutoffs were chosen for: its rules, and what they rest on.
+
+    rules: {signal: index of its cutoff}; good: the good documents that certify;
+    rejected: how many of them the rules reject; level: the error level; bound:
+    the upper bound of the share of good documents that the rules reject (of the
+    first rule, where none holds); reason: why no further rule holds, if one was left.
+
+    All labelled documents that pass the base rules take part.  Labels without doc_id or quality don't count; of several for one document, or
     for documents of one text, the largest does.  One text in three chooses, the
     others certify.  What reaches the driver are counts by stratum, signal and
     cutoff, whatever the number of labels.
@@ -221,11 +259,19 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.01, error:
     for r in trials.where("good and not chooses").groupBy("stratum", first.alias("first")).agg(F.count(F.lit(1)).alias("n")).collect():
         if r["stratum"] in hits:
             hits[r["stratum"]][r["first"]] += r["n"]
+    good = {s: sum(h) for s, h in hits.items()}
+    wrong = {s: np.cumsum(hits[s])[: len(found)].tolist() for s, found in orders.items()}
     out = {}
-    for s, found in orders.items():
-        wrong = np.cumsum(hits[s])[: len(found)].tolist()
-        if k := certified(wrong, sum(hits[s]), risk, error / len(orders)):
-            out[s] = dict(found[:k])
+    for s, (k, level) in sorted(settle(wrong, good, risk, error).items()):
+        reason = None
+        if k < len(wrong[s]):
+            none = "its good documents are too few even for a rule that rejects none of them"
+            reason = none if (1 - risk) ** good[s] > (level or error) else "the next rule rejects too many good documents"
+            if not level and reason != none:
+                reason = "larger strata have taken the error level"
+        at = max(k, 1) - 1
+        bound = upper_bound(wrong[s][at], good[s], level or error)
+        out[s] = {"rules": dict(orders[s][:k]), "good": good[s], "rejected": wrong[s][at] if k else 0, "level": level, "bound": bound, "reason": reason}
     return out
 
 

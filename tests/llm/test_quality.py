@@ -50,7 +50,7 @@ def test_certification_stops_at_the_first_failure():
     assert quality_rules.certified([], 5000, 0.01, 0.01) == 0
 
 
-def brute_kept(measured, labels, risk=0.01, error=0.05):
+def brute_kept(measured, labels, levels, risk=0.01, error=0.05):
     """doc_id of the rows kept: rules by plain loops over documents, the binomial tail summed term by term."""
     label, signals, cuts = {}, quality_rules.SIGNALS, {k: len(v) for k, v in quality_rules.CUTOFFS.items()}
     for i, q in labels:
@@ -73,13 +73,16 @@ def brute_kept(measured, labels, risk=0.01, error=0.05):
                 found.append((-gain[i], signals.index(k), k, i))
         if found:
             orders[s] = [(k, i) for _, _, k, i in sorted(found)]
+    goods = {s: [r for (t, m), (r, g) in trials.items() if t == s and g and not chooses[m]] for s in orders}
+    able = [s for s in orders if 0.99 ** len(goods[s]) <= error / 2]
+    assert len(able) == 2 == len([s for s in orders if 0.99 ** len(goods[s]) <= error])  # so each of the two begins with half
     rules = {}
-    for s, order in orders.items():
-        good = [r for (t, m), (r, g) in trials.items() if t == s and g and not chooses[m]]
+    for s in able:
+        order, good = orders[s], goods[s]
         for n in range(1, len(order) + 1):
             wrong = sum(any(r[k] > i for k, i in order[:n]) for r in good)
             tail = sum(math.comb(len(good), j) * risk**j * (1 - risk) ** (len(good) - j) for j in range(wrong + 1))
-            if tail > error / len(orders):  # at a rate of ``risk`` so few would not be a surprise
+            if tail > levels[s]:  # at a rate of ``risk`` so few would not be a surprise
                 break
             rules[s] = order[:n]
     return rules, {r.doc_id for r in measured if not r.base_failed and not any(r[k] > i for k, i in rules.get(r.stratum, []))}
@@ -104,12 +107,34 @@ def test_kept_against_brute_force(spark):
             labels.append((doc_id, int(not bad)))
     measured = quality_rules.features(spark.createDataFrame(data, "doc_id bigint, text string, lang string"))
     rows_ = measured.withColumn("pick", F.pmod(F.xxhash64(F.lit(3), "mark"), F.lit(3)) == 0).collect()
-    rules, kept = brute_kept(rows_, labels)
-    got = quality_rules.calibrate(measured, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    named = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got, why = quality_rules.calibrate(measured, named), quality_rules.certificates(measured, named)
+    rules, kept = brute_kept(rows_, labels, {"a": 0.025, "b": 0.05 if why["a"]["reason"] is None else 0.025})  # a hands its level on if all its rules hold
+    assert all(why[s]["bound"] <= 0.01 for s in rules) and all(not why[s]["rules"] and why[s]["reason"] for s in set(why) - set(rules))
     assert {s: list(by.items()) for s, by in got.items()} == rules and set(rules) == {"a", "b"}
     assert {r.doc_id for r in quality_rules.judge(measured, got).where("kept").collect()} == kept
 
 
+def test_levels_go_to_strata_that_can_use_them():
+    assert quality_rules.shares({"a": 5000, "b": 60}, 0.01, 0.05) == {"a": 0.05, "b": 0.0}  # b could certify nothing
+    assert quality_rules.shares({"a": 400, "b": 370, "c": 300}, 0.01, 0.05) == {"a": 0.025, "b": 0.025, "c": 0.0}  # three parts would be too little for c
+    assert quality_rules.shares({}, 0.01, 0.05) == {}
+    wrong, good = {"a": [0, 1], "b": [0, 90], "c": [0]}, {"a": 5000, "b": 370, "c": 300}
+    got = quality_rules.settle(wrong, good, 0.01, 0.05)
+    assert got == {"a": (2, 0.025), "b": (1, 0.05), "c": (0, 0.0)}  # a hands its level on, b keeps it
+    assert quality_rules.settle({"a": [0], "c": [0]}, {"a": 5000, "c": 300}, 0.01, 0.05) == {"a": (1, 0.05), "c": (1, 0.05)}
+
+
+def test_every_stratum_has_rules_or_a_reason(spark):
+    d = "/root/testdata/sf0.1"
+    measured = quality_rules.features(spark.read.parquet(f"{d}/documents.parquet"))
+    found = quality_rules.certificates(measured, spark.read.parquet(f"{d}/labels.parquet"))
+    assert {"en", "de", "fr", "es"} <= set(found)
+    for c in found.values():
+        assert (bool(c["rules"]) and c["bound"] <= 0.01) or c["reason"]
+    assert found["en"]["rules"]
+
+
 def test_rules_reject_junk_and_keep_good(spark, empty):
     good = [(i, prose(i, 60), "en") for i in range(1400)]
     junk = [(5000 + i, re.sub(r"(\w+)", r"\1### ", prose(i, 60)), "en") for i in range(40)]
@@ -147,6 +172,14 @@ def test_labels_of_the_held_out_fold_play_no_part(spark, docs):
     assert (a == b).all() and a.any()
 
 
+def test_repeated_ids_add_nothing_to_the_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    once = [(i, prose(i, 30)) for i in range(40)]
+    more = [(i, t if k else "\U0010ffff" + t) for i, t in once[:10] for k in range(6)]  # copies, and one later in order
+    a, b = (classifier.fit(spark.createDataFrame(x, "doc_id bigint, text string"), labels) for x in (once, once + more))
+    assert (a == b).all() and a.any()
+
+
 def test_classifier_edges(spark, docs, extra, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     w = classifier.fit(docs, none)
