@@ -25,13 +25,15 @@ from skyquarry.llm.text import widened
 
 
 class Memory(dict):
-    """A bounded memo of a function in two generations: the older goes when the younger is full."""
+    """A bounded memo of a function in two generations: the older goes when the younger is full.  Only what ``keeps`` says is kept."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, keeps=lambda key: True):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.most, self.keeps, self.older = make, most, keeps, {}
 
     def __missing__(self, key):
+        if not self.keeps(key):
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
@@ -68,7 +70,7 @@ class WordBpe:
         self.split = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")").split
         self.inner, self.final = self.joined()
         self.fast = self.quick() if consistent else None
-        self.known = Memory(self.encode_word, most)
+        self.known = Memory(self.encode_word, most, lambda word: len(word) <= 64)  # long ones hardly recur, and would fill a worker
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()

@@ -104,8 +104,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
 
     The rows are the first by a hash of doc_id, so the sample doesn't depend on
     order or partitions.  One task trains on it; its size is bounded by the
-    parameter, and what reaches the driver is the weights alone.  Null or
-    repeated labels: rows without doc_id or label don't count, of several labels
+    parameter, and what reaches the driver is the weights alone.  Of several rows
+    with one doc_id the least text counts, so that they can't add to the sample.
+    Null or repeated labels: rows without doc_id or label don't count, of several labels
     for one document the largest does.  No labelled rows: all scores are 0.5.
     """
     usable = (
@@ -117,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     )
     sample = docs.select("doc_id", "text")
     chosen = sample.join(F.broadcast(usable), "doc_id")  # at most max_labelled rows of two numbers
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
     def learn(batches):
         yield pa.RecordBatch.from_arrays([pa.array([train(_examples(batches, s), s).tobytes()], pa.binary())], names=["w"])

@@ -54,3 +54,8 @@ def test_memory_is_bounded():
     own = bpe.Memory(lambda k: k * 2, 10)
     assert [own[i] for i in range(100)] == [2 * i for i in range(100)]
     assert len(own) + len(own.older) <= 20
+    own = bpe.Memory(lambda k: k * 2, 10, lambda k: k < 5)
+    assert [own[i] for i in (3, 7, 3)] == [6, 14, 6] and set(own) == {3}
+    words = ["x" * n for n in (10, 64, 65, 5000)]
+    assert [FAST.known[w] for w in words] == [FAST.encode_word(w) for w in words]
+    assert all(len(w) <= 64 for w in FAST.known)
