@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyquarry.functions import scalars as s
-from skyquarry.functions.ieee import rounded
+from skyquarry.functions.ieee import half_away, rounded
 from skyquarry.operators import formulas
 from skyquarry.plans.registry import query
 
@@ -63,7 +63,7 @@ def _(t):
 @query("f14_disk_sizes", "SELECT id, printf('%.2f', round(v / 1000, 2)) AS gb, ends_with(label, unit) AS ok FROM (SELECT id, size AS v, 'GB' AS unit, 'GB' AS label FROM task)")
 def _(t):
     shown = s.disk_size(F.col("size"))
-    return t.task.select("id", F.format_string("%.2f", F.round(F.col("size") / 1000, 2)).alias("gb"), shown.endswith("GB").alias("ok"))
+    return t.task.select("id", F.format_string("%.2f", half_away(F.col("size") / 1000, 2)).alias("gb"), shown.endswith("GB").alias("ok"))
 
 
 @query("f15_percentages", "SELECT id, CASE WHEN quota = 0 THEN 100 ELSE round(least(greatest(id / quota * 100, 0), 150), 6) + 0.0::DOUBLE END AS perc FROM project")
