@@ -24,3 +24,11 @@ def test_disk_sizes_at_binary_halves(spark, tmp_path):
     got = sorted(map(tuple, plans.runnable()["f14_disk_sizes"](spark, str(tmp_path)).select("id", "gb", "ok").collect()))
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
     assert got == sorted(con.execute(f"SELECT id, gb, ok FROM ({plans.SQL['f14_disk_sizes']})").fetchall())
+
+
+def test_extents_keep_the_sign_of_zero(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql("SELECT i AS c_custkey, 'n' AS c_name, 3 AS c_nationkey, v::DOUBLE AS c_acctbal, 's' AS c_mktsegment FROM (VALUES (1, -0.0::DOUBLE), (2, -0.001), (3, -700.001), (4, 0.0), (5, 12.345), (6, -999.85)) t(i, v)").write_parquet(f"{tmp_path}/customer.parquet")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    got = plans.runnable()["g08_extents"](spark, str(tmp_path)).orderBy("id").collect()
+    assert repr([tuple(r) for r in got]) == repr(con.execute(f"SELECT id, extent FROM ({plans.SQL['g08_extents']}) ORDER BY id").fetchall())
