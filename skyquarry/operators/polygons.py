@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyquarry.functions.ieee import half_away
 from skyquarry.operators.terrain import triangulate
 
 #: Columns of pixels that a join key holds.
@@ -143,5 +144,5 @@ def volumes(dem: DataFrame, polygons: DataFrame, method: str, custom: float | No
     """
     within = in_polygons(dem.select("x", "y", F.col("z").cast("double").alias("z")), polygons, "touched")
     based = within.join(bases(dem, polygons, method, custom).where("base IS NOT NULL").dropDuplicates(["id"]), "id", "left")
-    sums = based.groupBy("id").agg(F.count("z").alias("n"), F.abs(F.round(F.sum(F.col("z") - base_at(method)) * (pixel_area * metres**3), digits)).alias("volume"))
+    sums = based.groupBy("id").agg(F.count("z").alias("n"), F.abs(half_away(F.sum(F.col("z") - base_at(method)) * (pixel_area * metres**3), digits)).alias("volume"))
     return polygons.select("id").distinct().join(sums, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "volume")
