@@ -6,11 +6,13 @@ import io
 import zipfile
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBERS = "archive string, member string, size bigint, content binary, error string"
+#: Members are handed on in batches, cut after the archive that exceeds either.
+OUTPUT_BYTES, OUTPUT_ROWS = 8 << 20, 10_000
 
 
 def archived(files: DataFrame) -> DataFrame:
@@ -20,15 +22,20 @@ def archived(files: DataFrame) -> DataFrame:
     zip holds no clock, so a task run again writes the same bytes.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, data in sorted(zip(pdf["member"], pdf["content"], strict=True)):
-                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"archive": pdf["archive"].iloc[:1], "content": [buffer.getvalue()]})
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zips = []
+            for files in batch["files"]:
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    for f in files.as_py():
+                        z.writestr(zipfile.ZipInfo(f["member"], (1980, 1, 1, 0, 0, 0)), f["content"], zipfile.ZIP_DEFLATED)
+                zips.append(buffer.getvalue())
+            yield pa.RecordBatch.from_pydict({"archive": batch["archive"], "content": pa.array(zips, pa.binary())})
 
     rows = files.where("archive is not null and member is not null").groupBy("archive", "member").agg(F.min(F.coalesce("content", F.lit(b""))).alias("content"))
-    return rows.groupBy("archive").applyInPandas(pack, "archive string, content binary")
+    rows = rows.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("member", "content"))).alias("files"))
+    return rows.mapInArrow(pack, "archive string, content binary")
 
 
 def members(archives: DataFrame) -> DataFrame:
@@ -38,25 +45,32 @@ def members(archives: DataFrame) -> DataFrame:
     with an error and no content, so a caller can fetch it again.
     """
 
-    def unpack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0
             for name, raw in zip(batch["archive"], batch["content"], strict=True):
-                rows = []
+                name = name.as_py()
                 try:
-                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
+                    with zipfile.ZipFile(io.BytesIO(raw.as_py() or b"")) as z:
                         for m in z.infolist():
                             if m.is_dir():
                                 continue
                             try:
                                 rows.append((name, m.filename, m.file_size, z.read(m), None))
+                                size += m.file_size
                             except (zipfile.BadZipFile, OSError, EOFError, RuntimeError) as e:
                                 rows.append((name, m.filename, m.file_size, None, str(e)))
                 except zipfile.BadZipFile as e:
                     rows.append((name, None, None, None, str(e)))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "member", "size", "content", "error"]).astype({"size": "Int64"})
+                if size > OUTPUT_BYTES or len(rows) > OUTPUT_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return archives.select("archive", "content").mapInPandas(unpack, MEMBERS)
+    return archives.select("archive", "content").mapInArrow(unpack, MEMBERS)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
