@@ -6,8 +6,8 @@ index must lie in one place; readers take the folder.
 
 from __future__ import annotations
 
-import io
 import struct
+import tempfile
 import zipfile
 from collections.abc import Iterator
 
@@ -24,6 +24,8 @@ NULL, POINT, LINE, POLYGON = 0, 1, 3, 5
 KINDS = {POINT: "point", LINE: "line", POLYGON: "polygon"}
 #: Records of a partition when reading.
 RANGE = 4096
+#: Rows that are Python objects at a time when writing.
+PIECE = 256
 
 
 def record(kind: int, parts: list[list[tuple[float, float]]]) -> bytes:
@@ -57,21 +59,28 @@ def _header(words: int, kind: int, box: tuple[float, float, float, float]) -> by
     return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, kind, *box, 0, 0, 0, 0)
 
 
+_WIDTH = {"text": 254, "bigint": 20, "double": 24}
+
+
+def _table_head(n: int, columns: list[tuple[str, str]]) -> bytes:
+    head = b"".join(struct.pack("<11sc4xBB14x", c.encode()[:10], b"C" if k == "text" else b"N", _WIDTH[k], 15 if k == "double" else 0) for c, k in columns)
+    size = 1 + sum(_WIDTH[k] for _, k in columns)
+    return struct.pack("<B3BIHH20x", 3, 124, 1, 1, n, 32 + len(head) + 1, size) + head + b"\r"
+
+
+def _table_row(r: dict, columns: list[tuple[str, str]]) -> bytes:
+    cells = [b" "]
+    for n, k in columns:
+        v = r[n]
+        raw = b"" if v is None else str(v).encode() if k == "text" else (b"%d" % v if k == "bigint" else b"%.15e" % v)
+        raw = raw[:254].decode(errors="ignore").encode() if k == "text" else raw
+        cells.append(raw.ljust(_WIDTH[k]) if k == "text" else raw.rjust(_WIDTH[k]))
+    return b"".join(cells)
+
+
 def table(rows: list[dict], columns: list[tuple[str, str]]) -> bytes:
     """The attributes: numbers as text of 24 characters, texts of up to 254 bytes (longer ones are cut by the format)."""
-    width = {"text": 254, "bigint": 20, "double": 24}
-    head = b"".join(struct.pack("<11sc4xBB14x", n.encode()[:10], b"C" if k == "text" else b"N", width[k], 15 if k == "double" else 0) for n, k in columns)
-    body = []
-    for r in rows:
-        cells = [b" "]
-        for n, k in columns:
-            v = r[n]
-            raw = b"" if v is None else str(v).encode() if k == "text" else (b"%d" % v if k == "bigint" else b"%.15e" % v)
-            raw = raw[:254].decode(errors="ignore").encode() if k == "text" else raw
-            cells.append(raw.ljust(width[k]) if k == "text" else raw.rjust(width[k]))
-        body.append(b"".join(cells))
-    size = 1 + sum(width[k] for _, k in columns)
-    return struct.pack("<B3BIHH20x", 3, 124, 1, 1, len(rows), 32 + len(head) + 1, size) + head + b"\r" + b"".join(body) + b"\x1a"
+    return _table_head(len(rows), columns) + b"".join(_table_row(r, columns) for r in rows) + b"\x1a"
 
 
 def fields_of(raw: bytes) -> tuple[int, int, int, list[tuple[str, str, int, int]]]:
@@ -86,34 +95,43 @@ def fields_of(raw: bytes) -> tuple[int, int, int, list[tuple[str, str, int, int]
 
 
 def _saved(path: str, kind: int, columns: list[tuple[str, str]]):
+    """Records go to files of the task's own as they come, as the headers before them hold sizes; so a partition is never whole in memory."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shp, shx, rows, at, box = io.BytesIO(), io.BytesIO(), [], 50, []
-        for b in batches:
-            for r in b.to_pylist():
-                parts = [[(p["x"], p["y"]) for p in part] for part in (r["parts"] or []) if part]
-                content = record(kind, parts)
-                shx.write(struct.pack(">2i", at, len(content) // 2))
-                shp.write(struct.pack(">2i", len(rows) + 1, len(content) // 2) + content)
-                at += 4 + len(content) // 2
-                points = [p for part in parts for p in part]
-                if points:
-                    xs, ys = zip(*points, strict=True)
-                    box.append((min(xs), min(ys), max(xs), max(ys)))
-                rows.append(r)
-        if not rows:
-            return
-        whole = (min(x[0] for x in box), min(x[1] for x in box), max(x[2] for x in box), max(x[3] for x in box)) if box else (0.0,) * 4
-        system, folder = _opened(path)
-        system.create_dir(folder, recursive=True)
-        name = f"{folder}/part-{TaskContext.get().partitionId():05d}"
-        files = {".shp": _header(at, kind, whole) + shp.getvalue(), ".shx": _header(50 + 4 * len(rows), kind, whole) + shx.getvalue(), ".dbf": table(rows, columns)}
-        for end, raw in files.items():
-            with system.open_output_stream(own := f"{name}{end}.{TaskContext.get().taskAttemptId()}.tmp") as out:
-                out.write(raw)
-            system.move(own, f"{name}{end}")
-        yield pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([len(rows)], pa.int64())})
+        with tempfile.TemporaryFile() as shp, tempfile.TemporaryFile() as shx, tempfile.TemporaryFile() as dbf:
+            n, at, box = 0, 50, None
+            for b in batches:
+                for i in range(0, b.num_rows, PIECE):
+                    for r in b.slice(i, PIECE).to_pylist():
+                        parts = [[(p["x"], p["y"]) for p in part] for part in (r["parts"] or []) if part]
+                        content = record(kind, parts)
+                        n += 1
+                        shx.write(struct.pack(">2i", at, len(content) // 2))
+                        shp.write(struct.pack(">2i", n, len(content) // 2) + content)
+                        dbf.write(_table_row(r, columns))
+                        at += 4 + len(content) // 2
+                        points = [p for part in parts for p in part]
+                        if points:
+                            xs, ys = zip(*points, strict=True)
+                            own = (min(xs), min(ys), max(xs), max(ys))
+                            box = own if box is None else (min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3]))
+            if not n:
+                return
+            dbf.write(b"\x1a")
+            system, folder = _opened(path)
+            system.create_dir(folder, recursive=True)
+            name, whole = f"{folder}/part-{TaskContext.get().partitionId():05d}", box or (0.0,) * 4
+            files = {".shp": (_header(at, kind, whole), shp), ".shx": (_header(50 + 4 * n, kind, whole), shx), ".dbf": (_table_head(n, columns), dbf)}
+            for end, (head, body) in files.items():
+                body.seek(0)
+                with system.open_output_stream(own := f"{name}{end}.{TaskContext.get().taskAttemptId()}.tmp") as out:
+                    out.write(head)
+                    while block := body.read(1 << 20):
+                        out.write(block)
+                system.move(own, f"{name}{end}")
+            yield pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([n], pa.int64())})
 
     return run
 
