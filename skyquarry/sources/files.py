@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyquarry.functions.scalars import ground_control
 
@@ -48,6 +49,17 @@ def console_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(task, line_no, line) of logs that sinks.write_logs wrote."""
+    return spark.read.schema("task string, line_no bigint, line string").parquet(path)
+
+
+def last_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The last n lines of each task's log."""
+    order = Window.partitionBy("task").orderBy(F.col("line_no").desc())
+    return lines.withColumn("_back", F.row_number().over(order)).where(F.col("_back") <= n).drop("_back")
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, modified) of the files below a folder; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyquarry.functions.color import rendered
 from skyquarry.operators.raster import rescale, to_byte
@@ -34,6 +35,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
+def write_logs(lines: DataFrame, path: str) -> None:
+    """lines(task, at, line) as a table (task, line_no, line): lines are numbered from 0 by ``at``, those without come last.
+
+    A file holds the logs of many tasks, so files are as many as partitions, whatever
+    the number of tasks; a log is sorted, never held as a whole.
+    """
+    order = Window.partitionBy("task").orderBy(F.col("at").asc_nulls_last())
+    lines.select("task", (F.row_number().over(order) - 1).cast("bigint").alias("line_no"), "line").write.parquet(path)
+
+
 def export_points(points: DataFrame, path: str, fmt: str = "csv") -> None:
     """Points as CSV with a header, Parquet, or PLY: the parts of the latter, one after the other, are one ASCII file, its header the first."""
     if fmt not in ("csv", "parquet", "ply"):

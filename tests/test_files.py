@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,27 @@ def test_detection_hook(spark):
 
     found = sinks.detections(spark.createDataFrame([("a", b"12"), ("b", b"1")], "path string, content binary"), lambda b: pd.DataFrame({"path": b["path"], "n": b["content"].map(len)}), "path string, n long")
     assert sorted(map(tuple, found.collect())) == [("a", 2), ("b", 1)]
+
+
+def test_a_log_is_no_file_of_its_own(spark, tmp_path):
+    """Files are bounded by partitions; logs keep their order, lines without a number come last."""
+    rows = [(str(i % 500), i, f"line {i}") for i in range(3000)] + [("7", None, None)]
+    path = str(tmp_path / "logs")
+    sinks.write_logs(spark.createDataFrame(rows, "task string, at bigint, line string"), path)
+    assert len(list((tmp_path / "logs").rglob("*.parquet"))) <= 64
+    lines = files.log_lines(spark, path)
+    assert lines.count() == 3001
+    found = files.last_lines(lines, 2).where("task in ('7', '8')").orderBy("task", "line_no").collect()
+    assert [(r.task, r.line_no, r.line) for r in found] == [("7", 5, "line 2507"), ("7", 6, None), ("8", 4, "line 2008"), ("8", 5, "line 2508")]
+
+
+def test_console_slice_writes_few_files(spark, tmp_path):
+    from skyquarry import plans
+
+    events = spark.range(1200).select(F.col("id").alias("event_id"), (F.col("id") % 400).alias("user_id"), F.lit("click").alias("event_type"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    files_of = lambda: set(shared.glob("logs-*/**/part-*"))
+    before = files_of()
+    assert plans.runnable()["s19_console_slice"](spark, str(tmp_path)).count() == 1200
+    assert 0 < len(files_of() - before) <= 64
