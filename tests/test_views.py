@@ -58,3 +58,21 @@ def test_no_observer_no_rows(spark):
     assert views.viewshed(spark.createDataFrame([], SCHEMA), 0, 0).collect() == []
     assert views.viewshed(spark.createDataFrame([(0, 0, None), (1, 0, 2.0)], SCHEMA), 0, 0).collect() == []
     assert [tuple(r) for r in views.viewshed(spark.createDataFrame([(0, 0, 1.0)], SCHEMA), 0, 0).collect()] == [(0, 0, 255)]
+
+
+def test_a_narrow_grid_takes_few_bands(spark):
+    """Bands follow the cells, not the rings: 301 rings of 7 cells, the observer's ring aside, in bands of 4 rings at least."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    bands_of = lambda: set(shared.glob("skyquarry-*/seen/band=*"))
+    z = grid(3, 7, 303)
+    z[2, 1] = 3.0
+    rows, before = spark.createDataFrame([(x, y, v) for (x, y), v in z.items()], SCHEMA), bands_of()
+    found = {(r.x, r.y): r.visible for r in views.viewshed(rows, 2, 1, band=4, segment=4, most=500).collect()}
+    assert found == expected(z, 2, 1)
+    assert 3 <= len(bands_of() - before) <= 4
+
+
+def test_bands_hold_a_bounded_number_of_cells():
+    assert views._bands([(0, 9), (1, 9), (2, 9), (3, 99), (5, 9)], 10, 300) == [(0, 2, 9), (3, 3, 99), (5, 5, 9)]
