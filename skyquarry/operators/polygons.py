@@ -18,7 +18,9 @@ from skyquarry.functions.ieee import half_away
 from skyquarry.operators.terrain import triangulate
 
 #: Columns of pixels that a join key holds.
-BLOCK = 256
+BLOCK = 32
+#: Spans of one key that are joined in one task.
+SPANS = 1 << 14
 SPAN = "array<struct<a:bigint,b:bigint>>"
 
 
@@ -71,12 +73,22 @@ def spans(polygons: DataFrame, rule: str = "centre") -> DataFrame:
 
 
 def in_polygons(pixels: DataFrame, polygons: DataFrame, rule: str = "centre") -> DataFrame:
-    """id and the pixel's columns, for every pixel of every polygon: the crop of each.  A pixel in several polygons occurs once for each."""
+    """id and the pixel's columns, for every pixel of every polygon: the crop of each.  A pixel in several polygons occurs once for each.
+
+    Where many polygons lie on one place, its spans are dealt over tasks, SPANS a task, and its pixels go to each.
+    """
     found = spans(polygons, rule).withColumnRenamed("y", "_y")
     found = found.withColumn("_block", F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor(F.col("b") / BLOCK))))
+    many = found.groupBy(F.col("_y").alias("_my"), F.col("_block").alias("_mb")).agg(F.ceil(F.count(F.lit(1)) / SPANS).alias("_tasks")).where("_tasks > 1")
+    many = F.broadcast(many)  # a row for SPANS spans at most
+    found = found.join(many, (F.col("_y") == F.col("_my")) & (F.col("_block") == F.col("_mb")), "left")
+    found = found.select("id", "_y", "a", "b", F.col("_block").alias("_fb"), F.pmod(F.xxhash64("id", "a"), F.coalesce("_tasks", F.lit(1))).alias("_fd"))
     rows = pixels.withColumn("_block", F.floor(F.col("x") / BLOCK))
-    met = rows.join(found, (F.col("y") == F.col("_y")) & (rows["_block"] == found["_block"]) & F.col("x").between(F.col("a"), F.col("b")))
-    return met.select("id", *(pixels[c] for c in pixels.columns))
+    rows = rows.join(many, (F.col("y") == F.col("_my")) & (F.col("_block") == F.col("_mb")), "left")
+    rows = rows.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_tasks", F.lit(1)) - 1)))
+    # by a shuffle: a broadcast would leave a place's matches to the task that reads its pixels
+    met = rows.join(found.hint("merge"), (F.col("y") == F.col("_y")) & (F.col("_block") == F.col("_fb")) & (F.col("_deal") == F.col("_fd")) & F.col("x").between(F.col("a"), F.col("b")))
+    return met.select("id", *(F.col(c) for c in pixels.columns))
 
 
 def _triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -79,3 +79,23 @@ def test_odd_tables(spark):
     assert pg.volumes(dem, spark.createDataFrame([], RINGS), "plane").collect() == []
     with pytest.raises(ValueError):
         pg.volumes(dem, odd, "unknown")
+
+
+def test_many_polygons_on_one_place_are_dealt_over_tasks(spark, monkeypatch):
+    """No task joins the spans of a row of pixels on its own: the matches of 400 equal polygons lie in several tasks."""
+    monkeypatch.setattr(pg, "SPANS", 50, raising=False)
+    z, dem = grid(spark)
+    same = [(k, [(2.0, 3.0), (7.0, 3.0), (7.0, 4.0), (2.0, 4.0)]) for k in range(400)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        from pyspark.sql import functions as F
+
+        found = pg.in_polygons(dem, spark.createDataFrame(same, RINGS)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r.id, r.x, r.y, r.z) for r in found if r.z is not None) == sorted((k, x, 3, z[x, 3]) for k in range(400) for x in range(2, 7) if z[x, 3] is not None)
+    assert len(found) == 2000
+    assert len({r.task for r in found}) > 1
