@@ -311,3 +311,19 @@ def test_shaded_tiles_pixel_by_pixel(spark):
             want[(x, y)] = tuple(k * 255 for k in colorsys.hsv_to_rgb(h, sat, s))
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=1.001) for k in want)
+
+
+def test_contour_lines_join_pieces_not_segments(spark, monkeypatch):
+    """Rounds of joins take the ends that pieces of lines share: hardly any of a grid of one tile."""
+    import math
+
+    from skyquarry.operators import terrain
+
+    seen, rounds = [], terrain._components
+    monkeypatch.setattr(terrain, "_components", lambda edges: seen.append(edges.count()) or rounds(edges))
+    dem = spark.createDataFrame([(x, y, 10 * math.sin(x / 5) * math.cos(y / 7) + x / 3) for x in range(60) for y in range(50)], "x bigint, y bigint, z double")
+    segments = terrain.contour_segments(dem, 2.0)
+    lines = terrain.contour_lines(segments).collect()
+    total = segments.count()
+    assert sum(len(r.points) - 1 for r in lines) == total > 1000
+    assert seen[0] < total / 10
