@@ -11,6 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from skyquarry.engine.tables import removed, tidy
 
 
+#: Tasks that write one partition, each a file of its own.
+WRITERS = 8
+
+
 class MergedTable:
     """Rows by key, in ``parts`` partitions by the key's hash; a batch rewrites the partitions that it touches, as a version of its own.
 
@@ -66,7 +70,7 @@ class MergedTable:
             base = self.read(batch, touched).join(named, same, "left_anti")
             merged = base.unionByName(latest.where(~F.col("_gone")).select(*self.columns)).withColumn("part", self.part_of())
             with tidy(self.spark):
-                merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/v={batch}")
+                merged.repartition(F.col("part"), F.pmod(F.xxhash64(F.lit(3), *self.keys), F.lit(WRITERS))).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/v={batch}")
             for p in touched:  # a partition that has become empty has a folder all the same
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/v={batch}/part={p}")
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(where)

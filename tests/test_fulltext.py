@@ -89,3 +89,18 @@ def test_no_changes_write_nothing(spark, tmp_path):
     table = MergedTable(spark, str(tmp_path / "t"), "id bigint, name string", ["id"])
     table.apply(spark.createDataFrame([], "id bigint, name string"), 0)
     assert table.read().collect() == [] and table.versions() == {}
+
+
+def test_a_partition_is_written_by_several_tasks(spark, tmp_path):
+    """A frequent word's postings lie in one partition, which no single task writes."""
+    from skyquarry.streaming.merge import MergedTable
+
+    table = MergedTable(spark, str(tmp_path / "t"), "id bigint, v bigint", ["id"], parts=1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table.apply(spark.range(500).selectExpr("id", "id * 2 AS v"), 0)
+        table.apply(spark.range(400, 600).selectExpr("id", "id * 3 AS v"), 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "t/data/v=1/part=0").glob("*.parquet"))) > 1
+    assert sorted(map(tuple, table.read().collect())) == [(i, i * 2 if i < 400 else i * 3) for i in range(600)]
