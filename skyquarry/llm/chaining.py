@@ -200,19 +200,30 @@ def _left_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (node, pos, x, kind - 1)], names=["node", "pos", "x", "crowded"])
 
 
-def _pair_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+#: Words of 64 bits that tell, by a hash, which texts hold a seed.
+LANES = 4
+
+
+def _pair_rows(batches: Iterable[pa.RecordBatch], s: Settings, told: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs of seeds that stand s.near to s.far words apart, one of them crowded, matched as in _settled; rows (node, pos, x, crowded) sorted by (node, pos).
 
-    A pair is two seeds, one at either place.
+    A pair is two seeds, one at either place.  told: rows also have ``fresh`` (1
+    where the seed's places are others than in the search before; a pair needs one
+    such seed) and the bits of the other places' texts (a pair without a common bit
+    is nowhere else).
     """
     kept, held = [], 0
-    for node, pos, x, crowded in _by_text(batches, "node", "pos", "x", "crowded"):
+    more = ["fresh", *(f"other{k}" for k in range(LANES))] if told else []
+    for node, pos, x, crowded, *rest in _by_text(batches, "node", "pos", "x", "crowded", *more):
         place, h, crowded = (np.cumsum(np.append(0, node[1:] != node[:-1])) << 32) | pos, x.view(np.uint64), crowded > 0
         for k in range(1, s.far + 1):
             apart = place[k:] - place[:-k]
             if not (apart <= s.far).any():
                 break
             i = np.flatnonzero((apart >= s.near) & (apart <= s.far) & (crowded[k:] | crowded[:-k]))
+            if told:
+                i = i[(rest[0][i] | rest[0][i + k]) > 0]
+                i = i[np.any([bits[i] & bits[i + k] for bits in rest[1:]], axis=0)]
             both = mix(h[i] + (h[i + k] << np.uint64(1)) + np.uint64(1))
             for end, at in ((0, i), (1, i + k)):
                 kept.append(((both ^ np.uint64(end)).view(np.int64), node[at], pos[at]))
@@ -512,22 +523,52 @@ def _spans(texts: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     return spans.mapInArrow(lambda b: _span_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean, mark bigint")
 
 
-def _hidden(texts: DataFrame, places: DataFrame, spans: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Spans of the passages that pairs of distant seeds find in what the repeats among spans leave, and the places that matter for another search.
+def _told(left: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """left's seeds that several texts have, with what _pair_rows wants to be told, and each seed's number of places (x, n).
+
+    A text is a bit by its hash.  A place's own bit counts only if another place of
+    the seed has it too, so a pair that occurs twice has a common bit at both places.
+    before: the numbers in the search before.
+    """
+    slot = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(64 * LANES)).cast("int")
+    marked = left.withColumn("slot", slot)
+    slots = marked.groupBy("x", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    bit = lambda k, ok: F.when(ok & F.col("slot").between(64 * k, 64 * k + 63), F.expr(f"shiftleft(1L, slot - {64 * k})")).otherwise(F.lit(0).cast("bigint"))
+    masks = [F.bit_or(bit(k, ok)).alias(f"{name}{k}") for k in range(LANES) for name, ok in (("all", F.lit(True)), ("twice", F.col("n") > 1))]
+    several = slots.groupBy("x").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *masks).where("lo < hi").drop("lo", "hi")
+    several = tabled(several if before is None else several.join(before.withColumnRenamed("n", "was"), "x", "left"))
+    fresh = F.lit(1) if before is None else F.when(F.col("n") == F.col("was"), 0).otherwise(1)
+    other = [F.col(f"all{k}").bitwiseAND(F.bitwise_not(bit(k, F.lit(True)))).bitwiseOR(F.col(f"twice{k}")).alias(f"other{k}") for k in range(LANES)]
+    joined = spread_join(marked, several, ["x"], ["node", "pos"])
+    return tabled(joined.select("node", "pos", "x", "crowded", fresh.cast("bigint").alias("fresh"), *other)), several.select("x", "n")
+
+
+def _hidden(texts: DataFrame, places: DataFrame, spans: DataFrame, s: Settings, before: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame | None, DataFrame, tuple[DataFrame, DataFrame]]:
+    """Spans of the passages that pairs of distant seeds find in what the repeats among spans leave, and the places and facts that matter for another search.
 
     places(node, pos, x, crowded): the seeds that occur twice or more; crowded (1 or
     0) are those of three places or more.  Only pairs with a crowded seed, and of
-    which several texts are left, may have been hidden.
+    which several texts are left, may have been hidden.  before: each seed's number
+    of places in the search before, and the matches of all earlier ones.  A pair of
+    which no place has gone since matches as it did, so only the others are matched
+    again; where they match, the earlier matches of the two texts are chained with
+    them, and where none does there are no spans (None).
     """
     cuts = merged(spans).where("repeat").select("node", F.lit(0).cast("bigint").alias("kind"), F.col("start").alias("pos"), F.col("stop").alias("x"))
     rows = places.select("node", (F.col("crowded") + 1).alias("kind"), "pos", "x").unionAll(cuts).repartition("node").sortWithinPartitions("node", "kind", "pos")
     left = tabled(rows.mapInArrow(lambda b: _left_rows(b, s), "node bigint, pos bigint, x bigint, crowded bigint"))
-    several = left.groupBy("x").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("x")
-    left = tabled(spread_join(left, several, ["x"], ["node", "pos"]).select("node", "pos", "x", "crowded"))
-    links = left.repartition("node").sortWithinPartitions("node", "pos").mapInArrow(lambda b: _pair_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
-    found = _chained(_matches(links, s).dropDuplicates(["a", "b", "places"]), s)
+    left, counts = _told(left, before and before[0])
+    links = left.repartition("node").sortWithinPartitions("node", "pos").mapInArrow(lambda b: _pair_rows(b, s, True), "route bigint, h bigint, a bigint, b bigint, places bigint")
+    matches = tabled(_matches(links, s).select("a", "b", "places").distinct())
+    if matches.isEmpty():
+        return None, left, (counts, matches)
+    now = matches
+    if before:
+        now = matches.unionAll(before[1].join(matches.select("a", "b").distinct(), ["a", "b"], "left_semi")).distinct()
+        matches = before[1].unionAll(matches)
+    found = _chained(now, s)
     some = tabled(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    return checkpointed(_spans(texts.join(some, "node", "left_semi"), found, s).where("partner is not null")), left
+    return checkpointed(_spans(texts.join(some, "node", "left_semi"), found, s).where("partner is not null")), left, (counts, matches)
 
 
 def _gram_rows(batches: Iterable[pa.RecordBatch], s: Settings, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -630,9 +671,10 @@ def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B
     counts = places.groupBy("x").agg((F.count(F.lit(1)) > 2).cast("bigint").alias("crowded"))
     places = spread_join(places, counts, ["x"], ["node", "pos"])
     spans = checkpointed(_spans(texts, _chained(matches, s), s))
+    before = None
     while True:
-        more, places = _hidden(texts, places, spans, s)
-        if more.where("repeat").isEmpty():
+        more, places, before = _hidden(texts, places, spans, s, before)
+        if more is None or more.where("repeat").isEmpty():
             break
         spans = checkpointed(spans.unionAll(more))
     return spans.unionAll(_exact(texts, spans, s))

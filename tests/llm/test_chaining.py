@@ -225,3 +225,20 @@ def test_pairs_of_seeds_leave_out_repeats():
     both = lambda rows: {(r["a"], r["b"], r["places"]) for out in chaining._pair_rows([batch(names, rows[:2]), batch(names, rows[2:])], s) for r in out.to_pylist() if r["b"] is not None}
     assert both(left) == {(2, 1, (p << 32) | p) for p in (0, 12, 25)}  # 0-12 and 12-25 are pairs of both texts, 25-45 of the second alone
     assert both([(*r[:3], int(r[1] == 0)) for r in left]) == {(2, 1, (p << 32) | p) for p in (0, 12)}  # a pair has a crowded seed
+
+
+def test_pairs_of_one_place_make_no_rows(spark):
+    """Each seed is in two texts, as is one pair only; a search after one that left the same places has nothing to match."""
+    s = chaining.Settings(near=10, far=20)
+    seeds = [(k, p, 1000 + k + (p > 0), 1) for k in range(20) for p in (0, 12)] + [(100 + k, p, 5000 + p, 1) for k in range(2) for p in (0, 12)]
+    left = spark.createDataFrame(seeds, "node bigint, pos bigint, x bigint, crowded bigint")
+
+    def made(before):
+        told, counts = chaining._told(left, before)
+        rows = told.repartition("node").sortWithinPartitions("node", "pos").mapInArrow(lambda b: chaining._pair_rows(b, s, True), "route bigint, h bigint, a bigint, b bigint, places bigint")
+        return {n for r in rows.collect() for n in (r.a, r.b) if n is not None}, counts
+
+    nodes, counts = made(None)
+    assert nodes == {100, 101}
+    assert made(counts)[0] == set()
+    assert made(counts.selectExpr("x", "if(x = 5012, n + 1, n) as n"))[0] == {100, 101}
