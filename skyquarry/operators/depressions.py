@@ -3,8 +3,9 @@
 The fill level of a cell is the least height that a path from it to the outside
 must cross.  It is found without one queue over the raster: each tile is reduced to
 the spill heights between the cells at its border (a spanning tree of the tile that
-keeps these), the spill graph of all tiles is solved by contracting every node along
-its lowest edge, and each tile then floods on its own from the border's levels.
+keeps these), groups of tiles are reduced in the same way to their common border,
+level by level, levels are handed down again from the last group to the tiles, and
+each tile then floods on its own from the border's levels.
 
 Breaching drains each cell along one path, the tree of a flood that prefers, at one
 level, the fewest steps; every cell on the path of a lower one is cut to just below
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ from skyquarry.operators.terrain import NEIGHBOURS
 
 #: The node that stands for all that lies outside.
 OUTSIDE = -(1 << 63)
+#: So many tiles, or groups of tiles, a side are a group of the next level.
+SIDE = 16
 #: What a cell on a breach lies below the one before it.
 STEP = 2.0**-20
 _STEPS = [(sy, sx) for sx, sy in NEIGHBOURS]
@@ -83,7 +87,7 @@ class _Block:
 
 
 def _spills(tile: int):
-    """(a, b, w): the spanning tree of a tile's border cells, and the outside, by the heights between them."""
+    """(tx, ty, a, b, w): the spanning tree of a tile's border cells, and the outside, by the heights between them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block = _Block(pdf, tile)
@@ -120,51 +124,130 @@ def _spills(tile: int):
                     meet(i, j, z[i])
             if open_[i]:
                 meet(side * side, i, z[i])
-        return pd.DataFrame(edges, columns=["a", "b", "w"]).astype({"a": "int64", "b": "int64", "w": "float64"})
+        return _edge_frame(edges, pdf["tx"].iloc[0], pdf["ty"].iloc[0])
 
     return run
 
 
-def spill_levels(edges: DataFrame) -> DataFrame:
-    """(node, level): for each node of edges(a, b, w) the least height that a path to OUTSIDE must cross.
+def _edge_frame(edges: list[tuple[int, int, float]], tx: int, ty: int) -> pd.DataFrame:
+    out = pd.DataFrame(edges, columns=["a", "b", "w"]).astype({"a": "int64", "b": "int64", "w": "float64"})
+    return out.assign(tx=int(tx), ty=int(ty))
 
-    Each round every node goes along its lowest edge (ties by the nodes' numbers);
-    that edge must be crossed whatever way it leaves, so its level is the edge's
-    height or, if larger, the level of the node where such edges end.  Nodes that meet
-    become one, so at least half of them go each round; ends are found by pointer
-    doubling.
+
+class _Groups:
+    """Groups of tiles that lie in a grid of ``size`` groups, ``side`` tiles each way, from tile ``low`` on to tile ``high``."""
+
+    def __init__(self, tile: int, low: tuple[int, int], high: tuple[int, int], side: int):
+        self.tile, self.low, self.high, self.side = tile, low, high, side
+
+    def __len__(self) -> int:
+        return math.prod((h - a) // self.side + 1 for a, h in zip(self.low, self.high, strict=True))
+
+    def of(self, tx: Column, ty: Column) -> list[Column]:
+        group = lambda t, k: F.floor((F.greatest(F.least(t, F.lit(self.high[k])), F.lit(self.low[k])) - self.low[k]) / self.side).cast("bigint")
+        return [group(tx, 0).alias("gx"), group(ty, 1).alias("gy")]
+
+    def around(self, node: Column) -> Column:
+        """The groups of the tiles that a cell lies in or next to."""
+        y = F.shiftright(node, 32)
+        x = F.shiftright(F.shiftleft(node, 32), 32)
+        at = lambda c, i: F.floor((c + i) / self.tile).cast("bigint")
+        return F.array_distinct(F.array(*(F.struct(*self.of(at(x, i), at(y, j))) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+
+    def shared(self, node: np.ndarray) -> np.ndarray:
+        """Whether a cell is known to several groups."""
+        y = node >> 32
+        several = np.zeros(len(node), bool)
+        for k, c in enumerate((((node + (1 << 31)) & 0xFFFFFFFF) - (1 << 31), y)):
+            group = [(np.clip((c + i) // self.tile, self.low[k], self.high[k]) - self.low[k]) // self.side for i in (-1, 1)]
+            several |= group[0] != group[1]
+        return several & (node != OUTSIDE)
+
+
+def _joined(groups: _Groups):
+    """(tx, ty, a, b, w): the spanning tree of the cells that a group shares with others, and the outside; tx, ty is a tile of the group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("w", kind="stable")
+        nodes, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+        stands = [n if keep else None for n, keep in zip(nodes.tolist(), (groups.shared(nodes) | (nodes == OUTSIDE)).tolist(), strict=True)]
+        root, edges = list(range(len(nodes))), []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for (i, j), w in zip(at.reshape(-1, 2).tolist(), pdf["w"].tolist(), strict=True):
+            i, j = find(i), find(j)
+            if i != j:
+                if stands[i] is not None and stands[j] is not None:
+                    edges.append((stands[i], stands[j], w))
+                root[j] = i
+                stands[i] = stands[i] if stands[i] is not None else stands[j]
+        return _edge_frame(edges, pdf["tx"].iloc[0], pdf["ty"].iloc[0])
+
+    return run
+
+
+def _solved(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """(node, level) of a group's cells, from those that are known and the outside."""
+    near: dict[int, list[tuple[int, float]]] = {}
+    for a, b, w in zip(edges["a"].tolist(), edges["b"].tolist(), edges["w"].tolist(), strict=True):
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    level = dict.fromkeys(near, math.inf)
+    level |= {n: v for n, v in zip(known["node"].tolist(), known["level"].tolist(), strict=True) if n in near}
+    if OUTSIDE in near:
+        level[OUTSIDE] = -math.inf
+    todo = [(v, n) for n, v in level.items() if v < math.inf]
+    heapq.heapify(todo)
+    while todo:
+        v, n = heapq.heappop(todo)
+        if v > level[n]:
+            continue
+        for m, w in near[n]:
+            if level[m] > (u := max(v, w)):
+                level[m] = u
+                heapq.heappush(todo, (u, m))
+    level.pop(OUTSIDE, None)
+    return pd.DataFrame({"node": np.fromiter(level, np.int64, len(level)), "level": np.fromiter(level.values(), float, len(level))})
+
+
+def spill_levels(edges: DataFrame, tile: int) -> DataFrame:
+    """(node, level): for each node of edges(tx, ty, a, b, w) the least height that a path to OUTSIDE must cross.
+
+    A group of SIDE by SIDE tiles is reduced to what it shares with others, groups
+    of groups likewise, until one is left, which holds no more than the borders of
+    SIDE * SIDE groups.  Its levels are handed down: a group's cells are solved from
+    those that it shares and the outside.  So the jobs are twice the levels, which
+    grow with the logarithm of the tiles, to the base SIDE.
     """
-    tied = lambda df: kept(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w")))
-    now, steps = tied(edges), []
-    while not now.isEmpty():
-        both = now.select(F.col("a").alias("u"), "w", F.struct("w", "a", "b").alias("e")).union(now.select("b", "w", F.struct("w", "a", "b")))
-        picked = both.where(F.col("u") != OUTSIDE).groupBy("u").agg(F.min("e").alias("e"))
-        picked = picked.select("u", F.col("e.w").alias("w"), F.when(F.col("e.a") == F.col("u"), F.col("e.b")).otherwise(F.col("e.a")).alias("to"))
-        picked = kept(picked)
-        back = picked.select(F.col("u").alias("to"), F.col("to").alias("back"))
-        ends = (F.col("back") == F.col("u")) & (F.col("u") < F.col("to"))  # of two that chose each other the lesser stays
-        goes = kept(picked.join(back, "to", "left").select("u", "w", F.when(ends, F.col("u")).otherwise(F.col("to")).alias("to")), replaces=picked)
-        while True:
-            ahead = goes.select(F.col("u").alias("to"), F.col("to").alias("next"))
-            jumped = kept(goes.join(ahead, "to", "left").select("u", "w", F.coalesce("next", "to").alias("to"), (F.coalesce("next", "to") != F.col("to")).alias("moved")))
-            more = not jumped.where("moved").isEmpty()
-            goes = kept(jumped.drop("moved"), replaces=[goes, jumped]) if not more else jumped.drop("moved")
-            if not more:
-                break
-        steps.append(goes.where("u <> to"))
-        name = lambda c: goes.select(F.col("u").alias(c), F.col("to").alias(f"{c}_to"))
-        moved = now.join(name("a"), "a", "left").join(name("b"), "b", "left")
-        now = tied(moved.select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"), "w"))
-    levels = edges.sparkSession.createDataFrame([(OUTSIDE, -math.inf)], "node bigint, level double")
-    for goes in reversed(steps):
-        found = goes.join(levels.select(F.col("node").alias("to"), "level"), "to").select(F.col("u").alias("node"), F.greatest("w", "level").alias("level"))
-        levels = kept(levels.union(found))
-    return levels.where(F.col("node") != OUTSIDE)
-
-
-def _walk(block: _Block, level: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Steps within cells of one level from those that are known; only the tile's own cells change."""
-    todo = [(steps[r, c], r, c) for r, c in zip(*np.nonzero(np.isfinite(steps)), strict=True)]
+    found = edges.agg(*(f(c) for f in (F.min, F.max) for c in ("tx", "ty"))).first()
+    if found[0] is None:
+        return edges.sparkSession.createDataFrame([], "node bigint, level double")
+    levels, now, side = [], edges, 1
+    while True:
+        side *= SIDE
+        groups = _Groups(tile, tuple(found[:2]), tuple(found[2:]), side)
+        levels.append((groups, now))
+        if len(groups) == 1:
+            break
+        grouped = now.select("*", *groups.of(F.col("tx"), F.col("ty"))).groupBy("gx", "gy")
+        now = kept(grouped.applyInPandas(_joined(groups), "a bigint, b bigint, w double, tx bigint, ty bigint"))
+    known = edges.sparkSession.createDataFrame([], "node bigint, level double")
+    for groups, now in reversed(levels):
+        given = known.select("node", "level", F.explode(groups.around(F.col("node"))).alias("g")).select("node", "level", "g.gx", "g.gy")
+        own = now.select("a", "b", "w", *groups.of(F.col("tx"), F.col("ty")))
+        solved = own.groupBy("gx", "gy").cogroup(given.groupBy("gx", "gy")).applyInPandas(_solved, "node bigint, level double")
+        known = kept(solved.groupBy("node").agg(F.min("level").alias("level")))
+    return known
+
+
+def _walk(block: _Block, level: np.ndarray, steps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Steps within cells of one level from those at ``start``; only the tile's own cells change."""
+    todo = [(steps[r, c], r, c) for r, c in zip(*np.nonzero(start & np.isfinite(steps)), strict=True)]
     heapq.heapify(todo)
     n = steps.shape[0]
     while todo:
@@ -200,20 +283,20 @@ def _flooded(tile: int):
                     heapq.heappush(todo, (v, i, j))
         lowest = np.min([block.shifted(level, s, np.inf) for s in _STEPS], axis=0)
         leaves = block.own & (level == block.z) & (block.open | (lowest < level))
-        steps = _walk(block, level, np.where(leaves, 0.0, np.inf))
+        steps = _walk(block, level, np.where(leaves, 0.0, np.inf), leaves)
         return block.frame(block.own, z=block.z, level=level, steps=steps).assign(tx=pdf["tx"].iloc[0], ty=pdf["ty"].iloc[0])
 
     return run
 
 
 def _further(tile: int):
-    """As before, with the steps that the margin has by now; ``better`` marks what changed."""
+    """The own cells that the margin's steps bring nearer to the way out; those of the tile are settled among themselves."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block = _Block(pdf, tile, "level", "steps")
         before = np.where(np.isnan(block.of["steps"]), np.inf, block.of["steps"])
-        after = _walk(block, block.of["level"], before.copy())
-        return block.frame(block.own, z=block.z, level=block.of["level"], steps=after, better=after < before).assign(tx=pdf["tx"].iloc[0], ty=pdf["ty"].iloc[0])
+        after = _walk(block, block.of["level"], before.copy(), ~block.own)
+        return block.frame(block.own & (after < before), steps=after).assign(tx=pdf["tx"].iloc[0], ty=pdf["ty"].iloc[0])
 
     return run
 
@@ -250,22 +333,29 @@ def drained(dem: DataFrame, tile: int = 256) -> DataFrame:
     """
     cells = dem.where("z IS NOT NULL AND NOT isnan(z)").select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), F.col("z").cast("double").alias("z"))
     inside = lambda df: df.groupBy("tx", "ty")
-    edges = kept(inside(_spread(cells, tile)).applyInPandas(_spills(tile), "a bigint, b bigint, w double"))
-    levels = spill_levels(edges).withColumnRenamed("level", "known")
+    edges = kept(inside(_spread(cells, tile)).applyInPandas(_spills(tile), "a bigint, b bigint, w double, tx bigint, ty bigint"))
+    levels = spill_levels(edges, tile).withColumnRenamed("level", "known")
     named = cells.withColumn("node", node_of(F.col("x"), F.col("y"))).join(levels, "node", "left").drop("node")
     own = "x bigint, y bigint, z double, level double, steps double, tx bigint, ty bigint"
     now = kept(inside(_spread(named, tile)).applyInPandas(_flooded(tile), own))
-    columns = ["tx", "ty", "x", "y", "z", "level", "steps"]
-    spread = lambda df: _spread(df.drop("tx", "ty"), tile).select(*columns)
+    spread = lambda df: _spread(df.select("x", "y", "z", "level", "steps"), tile)
     edge = (F.pmod("x", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("y", F.lit(tile)).isin(0, tile - 1))
-    changed = now.where(edge & (F.col("steps") < float("inf")))
-    while True:  # as often as the way out of one level crosses from tile to tile
-        active = kept(_spread(changed.select("x", "y", F.col("tx").alias("ox"), F.col("ty").alias("oy")), tile).where("tx <> ox OR ty <> oy").select("tx", "ty").distinct())
-        if active.isEmpty():
-            break
-        again = kept(inside(spread(now).join(active, ["tx", "ty"], "left_semi")).applyInPandas(_further(tile), "x bigint, y bigint, z double, level double, steps double, better boolean, tx bigint, ty bigint"))
-        changed = again.where("better").where(edge)
-        now = kept(now.join(active, ["tx", "ty"], "left_anti").select(*columns).union(again.select(*columns)), replaces=[now, active])
+    changed, better = now.where(edge & (F.col("steps") < float("inf"))).select("x", "y", "tx", "ty"), []
+
+    def latest(rows: DataFrame) -> DataFrame:
+        if not better:
+            return rows
+        least = reduce(DataFrame.union, better).groupBy("x", "y").agg(F.min("steps").alias("less"))
+        return rows.join(least, ["x", "y"], "left").withColumn("steps", F.least("steps", "less")).drop("less")
+
+    while not changed.isEmpty():  # as often as the way out of one level crosses from tile to tile; a round reads the tiles that it may change, and what lies next to them
+        active = kept(_spread(changed.withColumnsRenamed({"tx": "ox", "ty": "oy"}), tile).where("tx <> ox OR ty <> oy").select("tx", "ty").distinct())
+        beside = active.select(F.explode(F.array(*(F.struct((F.col("tx") + i).alias("tx"), (F.col("ty") + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("t")).select("t.*").distinct()
+        rows = spread(latest(now.join(beside, ["tx", "ty"], "left_semi"))).join(active, ["tx", "ty"], "left_semi")
+        again = kept(inside(rows).applyInPandas(_further(tile), "x bigint, y bigint, steps double, tx bigint, ty bigint"))
+        better.append(again.select("x", "y", "steps"))
+        changed = again.where(edge).select("x", "y", "tx", "ty")
+    now = latest(now)
     return inside(spread(now)).applyInPandas(_drained(tile), "x bigint, y bigint, z double, level double, direction int")
 
 
@@ -275,20 +365,21 @@ def breached(dem: DataFrame, tile: int = 256, step: float = STEP) -> DataFrame:
     A cell's new height is the least, over itself and all that drain through it, of
     their height less ``step`` for each cell between.  Found by pointer doubling:
     after k rounds all within 2**k cells have been seen; cells that have reached
-    their outlet are set aside.
+    their outlet are set aside.  What a round brings is written once, and all rounds
+    are put together at the end.
     """
     tree = kept(drained(dem, tile))
     go = lambda k: F.element_at(F.array(*(F.lit(n[k]) for n in NEIGHBOURS)), F.col("direction") + 1)
     value = F.struct(F.col("z").alias("v"), F.col("z").alias("z0"), F.lit(0).cast("bigint").alias("far"))
     moving = kept(tree.where("direction >= 0").select("x", "y", (F.col("x") + go(0)).alias("tx"), (F.col("y") + go(1)).alias("ty"), value.alias("low")))
-    least = tree.select("x", "y", value.alias("low"))
-    jump = 1
+    least, jump = [tree.select("x", "y", value.alias("low"))], 1
     while not moving.isEmpty():
         far = F.col("low.far") + jump
         given = kept(moving.select(F.col("tx").alias("x"), F.col("ty").alias("y"), F.struct((F.col("low.z0") - F.lit(step) * far).alias("v"), F.col("low.z0").alias("z0"), far.alias("far")).alias("low")).groupBy("x", "y").agg(F.min("low").alias("low")))
-        seen = least.union(given).groupBy("x", "y").agg(F.min("low").alias("low"))
+        least.append(given)
         ahead = moving.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("tx").alias("nx"), F.col("ty").alias("ny"))
         on = moving.join(ahead, ["tx", "ty"]).select("x", "y", F.col("nx").alias("tx"), F.col("ny").alias("ty"), "low")
         on = on.join(given.withColumnRenamed("low", "more"), ["x", "y"], "left").select("x", "y", "tx", "ty", F.least("low", "more").alias("low"))
-        moving, least, jump = kept(on, replaces=moving), kept(seen, replaces=[least, given]), jump * 2
-    return tree.drop("z").join(least.select("x", "y", F.col("low.v").alias("z")), ["x", "y"]).select("x", "y", "z", "level", "direction")
+        moving, jump = kept(on, replaces=moving), jump * 2
+    lowest = reduce(DataFrame.union, least).groupBy("x", "y").agg(F.min("low").alias("low"))
+    return tree.drop("z").join(lowest.select("x", "y", F.col("low.v").alias("z")), ["x", "y"]).select("x", "y", "z", "level", "direction")

@@ -92,3 +92,14 @@ def test_nothing_and_one_cell(spark):
     assert dp.breached(spark.createDataFrame([], "x bigint, y bigint, z double")).collect() == []
     one = dp.breached(spark.createDataFrame([(5, 5, 2.0)], "x bigint, y bigint, z double")).collect()
     assert [tuple(r) for r in one] == [(5, 5, 2.0, 2.0, -1)]
+
+
+def test_levels_by_groups_of_tiles(spark, monkeypatch):
+    """Four levels of groups, over tiles of three cells: every cell at a tile's border has its level."""
+    monkeypatch.setattr(dp, "SIDE", 2)
+    z = grid(9, 26, 22, "noise")
+    rows = spark.createDataFrame([(x, y, v) for (x, y), v in z.items()], "x bigint, y bigint, z double")
+    edges = dp._spread(rows, 3).groupBy("tx", "ty").applyInPandas(dp._spills(3), "a bigint, b bigint, w double, tx bigint, ty bigint")
+    levels, tree = {r.node: r.level for r in dp.spill_levels(dp.kept(edges), 3).collect()}, flood(z)
+    assert set(levels) == {(y << 32) + x for x, y in z if x % 3 != 1 or y % 3 != 1}
+    assert all(levels[(y << 32) + x] == tree[x, y][0] for x, y in z if (y << 32) + x in levels)
