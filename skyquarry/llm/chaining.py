@@ -110,11 +110,23 @@ def _links(a, b, pa_, pb, h) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[j] ^ b[j]), pa.array(h[j]), pa.array(a[j]), pa.array(b[j]), pa.array((pa_[j] << 32) | pb[j])], schema=_LINK)
 
 
+def _ordered(h: np.ndarray, node: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (h, node, pos), and the places in it of seeds that occur twice or more: only these need more than h."""
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    again = np.flatnonzero(np.append(False, same) | np.append(same, False)) if len(h) else order
+    own = order[again]
+    order[again] = own[np.lexsort((pos[own], node[own], h[own]))]
+    return order, again
+
+
 def _settled(h: np.ndarray, node: np.ndarray, pos: np.ndarray, s: Settings) -> Iterator[pa.RecordBatch]:
     """Of a task's occurrences: the matches among them, and each seed's first one, without b, for the other tasks."""
-    order = np.lexsort((pos, node, h))
-    (h, node, pos), found = _linked(h[order], node[order], pos[order], s.least)
-    yield from _links(*found)
+    order, again = _ordered(h, node, pos)
+    h, node, pos = h[order], node[order], pos[order]
+    yield from _links(*_linked(h[again], node[again], pos[again], s.least)[1])
+    new = np.append(True, h[1:] != h[:-1])
+    h, node, pos = h[new], node[new], pos[new]
     for i in range(0, len(h), 1 << 18):
         j = slice(i, i + (1 << 18))
         yield pa.RecordBatch.from_arrays([pa.array(h[j]), pa.array(h[j]), pa.array(node[j]), pa.nulls(len(h[j]), pa.int64()), pa.array(pos[j])], schema=_LINK)
@@ -144,6 +156,61 @@ def _seed_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.Re
         yield from _settled(*(np.concatenate(x) for x in zip(*kept, strict=True)), s)
 
 
+#: The upper bits of a hash by which first occurrences are packed.
+BUCKET_BITS = 14
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _LINK as arrays of numbers, which Spark neither takes apart nor sorts: first occurrences, which come in the order of their hash, by its upper bits, others as they come."""
+    for batch in batches:
+        plain = batch.column("b").is_valid()
+        route, packs = [], []
+        if plain.true_count:
+            rows = np.stack([batch.filter(plain).column(c).to_numpy() for c in ("a", "b", "places", "h")])
+            for i in range(0, rows.shape[1], 1 << 12):
+                route.append(int(rows[0, i] ^ rows[1, i]))
+                packs.append(rows[:, i : i + (1 << 12)].tobytes())
+        kinds = [1] * len(packs)
+        if plain.false_count:
+            rows = np.stack([batch.filter(batch.column("b").is_null()).column(c).to_numpy() for c in ("h", "a", "places")])
+            bucket = rows[0] >> (64 - BUCKET_BITS)
+            edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                packs.append(rows[:, i:j].tobytes())
+            route += bucket[edge[:-1]].tolist()
+            kinds += [0] * (len(edge) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(route, pa.int64()), pa.array(packs, pa.binary())], names=["kind", "route", "pack"])
+
+
+_PACKED = "kind int, route bigint, pack binary"
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of _packed; rows sorted by (kind, route). Of first occurrences those of hashes that several tasks have, sorted by (h, a, places)."""
+
+    def opened(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        h, a, p = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in packs], axis=1)
+        order, again = _ordered(h, a, p)
+        at = order[again]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(h[at]), pa.array(a[at]), pa.nulls(len(at), pa.int64()), pa.array(p[at])], schema=_LINK)
+
+    now, kept = None, []
+    for batch in batches:
+        for kind, route, pack in zip(*(batch.column(c).to_pylist() for c in ("kind", "route", "pack")), strict=True):
+            if kept and (kind or route != now):
+                yield from opened(kept)
+                kept = []
+            if kind:
+                a, b, p, h = np.frombuffer(pack, np.int64).reshape(4, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(a ^ b), pa.array(h), pa.array(a), pa.array(b), pa.array(p)], schema=_LINK)
+            else:
+                now = route
+                kept.append(pack)
+    if kept:
+        yield from opened(kept)
+
+
 def _match_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Matches: those that come as such, and those between tasks' first occurrences; rows sorted by h."""
     rest = None
@@ -498,6 +565,11 @@ def _noded(docs: DataFrame) -> DataFrame:
     return own.withColumn("node", F.xxhash64("text")).withColumn("mark", F.xxhash64("text", F.lit(1)))
 
 
+def _packed_matches(rows: DataFrame, s: Settings) -> DataFrame:
+    """_matches of packed rows."""
+    return rows.repartition("route").sortWithinPartitions("kind", "route").mapInArrow(lambda b: _match_rows(_unpacked(b), s), "a bigint, b bigint, places bigint, h bigint")
+
+
 def _matches(rows: DataFrame, s: Settings) -> DataFrame:
     """Matches (a, b, places, h) from what _settled yields in tasks."""
     return rows.repartition("route").sortWithinPartitions("h", "a", "places").mapInArrow(lambda b: _match_rows(b, s), "a bigint, b bigint, places bigint, h bigint")
@@ -523,12 +595,13 @@ def _spans(texts: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     return spans.mapInArrow(lambda b: _span_rows(b, s), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean, mark bigint")
 
 
-def _told(left: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _told(left: DataFrame, before: DataFrame | None, crowded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """left's seeds that several texts have, with what _pair_rows wants to be told, and each seed's number of places (x, n).
 
     A text is a bit by its hash.  A place's own bit counts only if another place of
     the seed has it too, so a pair that occurs twice has a common bit at both places.
-    before: the numbers in the search before.
+    before: the numbers in the search before.  crowded(x, crowded): where left itself
+    doesn't say it.
     """
     slot = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(64 * LANES)).cast("int")
     marked = left.withColumn("slot", slot)
@@ -536,6 +609,8 @@ def _told(left: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFra
     bit = lambda k, ok: F.when(ok & F.col("slot").between(64 * k, 64 * k + 63), F.expr(f"shiftleft(1L, slot - {64 * k})")).otherwise(F.lit(0).cast("bigint"))
     masks = [F.bit_or(bit(k, ok)).alias(f"{name}{k}") for k in range(LANES) for name, ok in (("all", F.lit(True)), ("twice", F.col("n") > 1))]
     several = slots.groupBy("x").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *masks).where("lo < hi").drop("lo", "hi")
+    if crowded is not None:
+        several = several.join(crowded, "x")
     several = tabled(several if before is None else several.join(before.withColumnRenamed("n", "was"), "x", "left"))
     fresh = F.lit(1) if before is None else F.when(F.col("n") == F.col("was"), 0).otherwise(1)
     other = [F.col(f"all{k}").bitwiseAND(F.bitwise_not(bit(k, F.lit(True)))).bitwiseOR(F.col(f"twice{k}")).alias(f"other{k}") for k in range(LANES)]
@@ -543,32 +618,77 @@ def _told(left: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFra
     return tabled(joined.select("node", "pos", "x", "crowded", fresh.cast("bigint").alias("fresh"), *other)), several.select("x", "n")
 
 
-def _hidden(texts: DataFrame, places: DataFrame, spans: DataFrame, s: Settings, before: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame | None, DataFrame, tuple[DataFrame, DataFrame]]:
-    """Spans of the passages that pairs of distant seeds find in what the repeats among spans leave, and the places and facts that matter for another search.
+_LEFT = "node bigint, pos bigint, x bigint, crowded bigint"
 
-    places(node, pos, x, crowded): the seeds that occur twice or more; crowded (1 or
-    0) are those of three places or more.  Only pairs with a crowded seed, and of
-    which several texts are left, may have been hidden.  before: each seed's number
-    of places in the search before, and the matches of all earlier ones.  A pair of
-    which no place has gone since matches as it did, so only the others are matched
-    again; where they match, the earlier matches of the two texts are chained with
-    them, and where none does there are no spans (None).
-    """
+
+def _uncut(places: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
+    """places(node, pos, x) that the repeats among spans leave, as _left_rows gives them (but for crowded)."""
     cuts = merged(spans).where("repeat").select("node", F.lit(0).cast("bigint").alias("kind"), F.col("start").alias("pos"), F.col("stop").alias("x"))
-    rows = places.select("node", (F.col("crowded") + 1).alias("kind"), "pos", "x").unionAll(cuts).repartition("node").sortWithinPartitions("node", "kind", "pos")
-    left = tabled(rows.mapInArrow(lambda b: _left_rows(b, s), "node bigint, pos bigint, x bigint, crowded bigint"))
-    left, counts = _told(left, before and before[0])
-    links = left.repartition("node").sortWithinPartitions("node", "pos").mapInArrow(lambda b: _pair_rows(b, s, True), "route bigint, h bigint, a bigint, b bigint, places bigint")
+    rows = places.select("node", F.lit(1).cast("bigint").alias("kind"), "pos", "x").unionAll(cuts).repartition("node").sortWithinPartitions("node", "kind", "pos")
+    return tabled(rows.mapInArrow(lambda b: _left_rows(b, s), _LEFT).drop("crowded"))
+
+
+def _left(places: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
+    """The seeds that the repeats among spans leave, with what _pair_rows wants to be told.
+
+    places(node, pos, x): the seeds that occur twice or more; crowded (1 or 0) are
+    those of three places or more.
+    """
+    crowded = places.groupBy("x").agg((F.count(F.lit(1)) > 2).cast("bigint").alias("crowded"))
+    return _told(_uncut(places, spans, s), None, crowded)[0]
+
+
+def _held(left: list[tuple[DataFrame, DataFrame | None]], by: DataFrame, key: str) -> DataFrame:
+    """The rows of left, a table and what later searches told anew of which seeds, that have a key in by; only the last are fresh."""
+    out = None
+    for k, (told, seeds) in enumerate(left):
+        rows = told.join(by, key, "left_semi")
+        if k + 1 < len(left):
+            rows = rows.withColumn("fresh", F.lit(0).cast("bigint"))
+        rows = rows.select(*left[0][0].columns)
+        out = rows if out is None else out.join(seeds, "x", "left_anti").select(*rows.columns).unionAll(rows)
+    return out
+
+
+def _left_again(left: list[tuple[DataFrame, DataFrame | None]], spans: DataFrame, more: DataFrame, s: Settings) -> tuple[list[tuple[DataFrame, DataFrame | None]], DataFrame]:
+    """left without the places that the repeats among more take, and the texts (node) where a seed is fresh.
+
+    Only texts with such a repeat lose places, and only the seeds that lost one
+    (fresh) are told anew; all others stay as they are and are not written again.
+    spans: all of them, more's included, as a seed may lie across two that touch.
+    """
+    texts = tabled(more.where("repeat").select("node").distinct())
+    some = _held(left, texts, "node").select("node", "pos", "x")
+    gone = tabled(some.join(_uncut(some, spans.join(texts, "node", "left_semi"), s), ["node", "pos", "x"], "left_anti"))
+    seeds = tabled(gone.select("x").distinct())
+    rest = _held(left, seeds, "x").select("node", "pos", "x", "crowded").join(gone, ["node", "pos", "x"], "left_anti")
+    told = _told(rest, None)[0]
+    return [*left, (told, seeds)], tabled(told.select("node").distinct())
+
+
+def _hidden(texts: DataFrame, left: list[tuple[DataFrame, DataFrame | None]], fresh: DataFrame | None, s: Settings, before: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+    """Spans of the passages that pairs of distant seeds find in left, and all matches of pairs so far.
+
+    Only pairs with a crowded seed, and of which several texts are left, may have been
+    hidden.  fresh, before: the texts where a seed has lost a place since, and the
+    matches of all earlier searches.  A pair of which no place has gone since matches
+    as it did, so only the others are matched again; where they match, the earlier
+    matches of the two texts are chained with them, and where none does there are no
+    spans (None).
+    """
+    rows = left[0][0] if fresh is None else _held(left, fresh, "node")
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the same in each search, as partners depend on what is in a task
+    links = rows.repartition(tasks, "node").sortWithinPartitions("node", "pos").mapInArrow(lambda b: _pair_rows(b, s, True), "route bigint, h bigint, a bigint, b bigint, places bigint")
     matches = tabled(_matches(links, s).select("a", "b", "places").distinct())
     if matches.isEmpty():
-        return None, left, (counts, matches)
+        return None, matches
     now = matches
-    if before:
-        now = matches.unionAll(before[1].join(matches.select("a", "b").distinct(), ["a", "b"], "left_semi")).distinct()
-        matches = before[1].unionAll(matches)
+    if before is not None:
+        now = matches.unionAll(before.join(matches.select("a", "b").distinct(), ["a", "b"], "left_semi")).distinct()
+        matches = before.unionAll(matches)
     found = _chained(now, s)
     some = tabled(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    return checkpointed(_spans(texts.join(some, "node", "left_semi"), found, s).where("partner is not null")), left, (counts, matches)
+    return checkpointed(_spans(texts.join(some, "node", "left_semi"), found, s).where("partner is not null")), matches
 
 
 def _gram_rows(batches: Iterable[pa.RecordBatch], s: Settings, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -621,6 +741,42 @@ def _gram_rows(batches: Iterable[pa.RecordBatch], s: Settings, whole: bool) -> I
         spans = {x: v for x, v in spans.items() if x == node[-1]} if batch.num_rows and node[-1] != done else {}
 
 
+def _once_rows(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows of _LINK from a task's k-mers (h, node, pos): places of those that it has twice, and of each k-mer one, without b, for the others (places: twice the place, and 1 if it is also among the former)."""
+    kept, held = [], 0
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        h, node, pos = (np.concatenate(c) for c in zip(*kept, strict=True))
+        order = np.argsort(h)
+        h, node, pos = h[order], node[order], pos[order]
+        same = h[1:] == h[:-1]
+        new, again = np.append(True, ~same), np.append(False, same) | np.append(same, False)
+        for at, b in ((np.flatnonzero(again), node), (np.flatnonzero(new), None)):
+            for i in range(0, len(at), 1 << 18):
+                j = at[i : i + (1 << 18)]
+                other, place = (pa.array(node[j]), pos[j]) if b is not None else (pa.nulls(len(j), pa.int64()), 2 * pos[j] + again[j])
+                yield pa.RecordBatch.from_arrays([pa.array(h[j]), pa.array(h[j]), pa.array(node[j]), other, pa.array(place)], schema=_LINK)
+
+    for batch in batches:
+        kept.append([batch.column(c).to_numpy(False) for c in ("h", "node", "pos")])
+        held += batch.num_rows
+        if held >= s.hold:
+            yield from settle()
+            kept, held = [], 0
+    if held:
+        yield from settle()
+
+
+def _twice_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, pos of the k-mers that occur twice or more, from the rows of _once_rows after _unpacked."""
+    for batch in batches:
+        node, place = batch.column("a"), batch.column("places").to_numpy()
+        if batch.column("b").null_count:
+            single = place & 1 == 0
+            node, place = node.filter(pa.array(single)), place[single] >> 1
+        yield pa.RecordBatch.from_arrays([node, pa.array(place)], names=["node", "pos"])
+
+
 def _equal_spans(runs: DataFrame, s: Settings) -> DataFrame:
     """Spans of equal runs (h, node, pos) of s.least words: each with the first one, which a frequent run's others reach in many tasks.
 
@@ -641,14 +797,14 @@ def _exact(texts: DataFrame, spans: DataFrame, s: Settings) -> DataFrame:
     none = F.lit(None)
 
     def grams_of(texts: DataFrame, places: DataFrame, whole: bool) -> DataFrame:
+        run, kind = (lambda b: _gram_rows(b, s, True), schema) if whole else (lambda b: _packed(_once_rows(_gram_rows(b, s, False), s)), _PACKED)
         own = texts.mapInArrow(_distinct, texts.schema).select("node", F.lit(1).alias("kind"), none.cast("bigint").alias("lo"), none.cast("bigint").alias("hi"), "text")
         rows = places.select("node", F.lit(0).alias("kind"), "lo", "hi", none.cast("string").alias("text")).unionAll(own)
-        return rows.repartition("node").sortWithinPartitions("node", "kind").mapInArrow(lambda b: _gram_rows(b, s, whole), schema)
+        return rows.repartition("node").sortWithinPartitions("node", "kind").mapInArrow(run, kind)
 
     cuts = merged(spans).where("repeat").select("node", F.col("start").alias("lo"), F.col("stop").alias("hi"))
-    sampled = grams_of(texts, cuts, False).repartition("h")
-    twice = sampled.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = checkpointed(sampled.join(twice, "h", "left_semi").select("node", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
+    sampled = grams_of(texts, cuts, False).repartition("route").sortWithinPartitions("kind", "route")
+    places = checkpointed(sampled.mapInArrow(lambda b: _twice_rows(_unpacked(b)), "node bigint, pos bigint").select("node", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
     some = texts.join(places.select("node").distinct(), "node", "left_semi")
     return _equal_spans(grams_of(some, places, True), s)
 
@@ -663,20 +819,19 @@ def passages(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B
     missed where too few seeds are left in them.
     """
     texts = _noded(docs).select("node", "mark", "text")
-    rows = texts.select("node", "text").mapInArrow(lambda b: _seed_rows(b, s), "route bigint, h bigint, a bigint, b bigint, places bigint")
-    matches = tabled(_matches(rows, s))
+    rows = texts.select("node", "text").mapInArrow(lambda b: _packed(_seed_rows(b, s)), _PACKED)
+    matches = tabled(_packed_matches(rows, s))
     place = lambda node, pos: F.struct(F.col(node).alias("node"), pos.alias("pos"), F.col("h").alias("x"))
     ends = F.array(place("a", F.shiftrightunsigned("places", 32)), place("b", F.col("places").bitwiseAND(0xFFFFFFFF)))
     places = tabled(matches.select(F.explode(ends).alias("p")).select("p.*").groupBy("node", "pos").agg(F.min("x").alias("x")))
-    counts = places.groupBy("x").agg((F.count(F.lit(1)) > 2).cast("bigint").alias("crowded"))
-    places = spread_join(places, counts, ["x"], ["node", "pos"])
     spans = checkpointed(_spans(texts, _chained(matches, s), s))
-    before = None
+    left, fresh, matches = [(_left(places, spans, s), None)], None, None
     while True:
-        more, places, before = _hidden(texts, places, spans, s, before)
+        more, matches = _hidden(texts, left, fresh, s, matches)
         if more is None or more.where("repeat").isEmpty():
             break
-        spans = checkpointed(spans.unionAll(more))
+        spans = spans.unionAll(more)
+        left, fresh = _left_again(left, spans, more, s)
     return spans.unionAll(_exact(texts, spans, s))
 
 

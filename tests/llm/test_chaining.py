@@ -242,3 +242,44 @@ def test_pairs_of_one_place_make_no_rows(spark):
     assert nodes == {100, 101}
     assert made(counts)[0] == set()
     assert made(counts.selectExpr("x", "if(x = 5012, n + 1, n) as n"))[0] == {100, 101}
+
+
+def test_later_searches_look_only_where_places_have_gone(spark, monkeypatch):
+    """After a search only the seeds that lost a place are told anew, with the result of a search of everything."""
+    s = chaining.Settings(near=10, far=20)
+    seeds = [(k, p, 1000 + 100 * (k // 5) + p) for k in range(20) for p in (0, 12, 25, 70)] + [(k, 99, 7) for k in (0, 19)]
+    places = spark.createDataFrame(seeds, "node bigint, pos bigint, x bigint")
+    spans = lambda *r: spark.createDataFrame(list(r), "node bigint, start bigint, stop bigint, partner bigint, repeat boolean, mark bigint")
+    old, more = [(1, 0, 10, 2, True, None), (2, 0, 10, 1, False, None)], [(1, 10, 20, 3, True, None), (6, 0, 10, 5, False, None), (8, 60, 90, 5, True, None)]
+    read, uncut = [], chaining._uncut
+    monkeypatch.setattr(chaining, "_uncut", lambda places, *more: read.append(places.count()) or uncut(places, *more))
+    left = chaining._left(places, spans(*old), s)
+    parts, fresh = chaining._left_again([(left, None)], spans(*old, *more), spans(*more), s)
+    now = chaining._held(parts, places.select("node").distinct(), "node")
+    want = chaining._left(places, spans(*old, *more), s)
+    names = ["node", "pos", "x", "crowded", *(f"other{k}" for k in range(chaining.LANES))]
+    assert bag(now, *names) == bag(want, *names)
+    assert read == [82, 3 + 4, 82]  # the places of texts 1 and 8, not all
+    assert {r.node for r in fresh.collect()} == {0, 2, 3, 4, 5, 6, 7, 9}
+    assert {(r.x, r.fresh) for r in now.collect() if r.x in (1012, 1170, 1112, 1070, 7)} == {(1012, 1), (1170, 1), (1112, 0), (1070, 0), (7, 0)}
+
+
+def test_packed_occurrences_match_as_rows_do():
+    s = chaining.Settings()
+    rng = np.random.default_rng(7)
+    often = rng.integers(-(1 << 63), (1 << 63) - 1, 300)
+    plain, packed = [], []
+    for _ in range(3):
+        h, node, pos = often[rng.integers(0, 300, 2000)], rng.integers(-40, 40, 2000), rng.permutation(2000)
+        h[:1500] = rng.integers(-(1 << 63), (1 << 63) - 1, 1500)  # most occur once
+        order, again = chaining._ordered(h, node, pos)
+        assert (order == np.lexsort((pos, node, h))).all() and len(again) == sum(n for n in np.unique(h, return_counts=True)[1] if n > 1)
+        rows = list(chaining._settled(h, node, pos, s))
+        plain += rows
+        packed += list(chaining._packed(rows))
+    rows = pa.Table.from_batches(plain).sort_by([("h", "ascending"), ("a", "ascending"), ("places", "ascending")]).combine_chunks().to_batches()
+    packs = pa.Table.from_batches(packed)
+    assert packs.num_rows < 0.9 * sum(r.num_rows for r in rows)
+    packs = packs.sort_by([("kind", "ascending"), ("route", "ascending")]).combine_chunks().to_batches()
+    made = lambda batches: sorted(tuple(r.values()) for out in chaining._match_rows(batches, s) for r in out.to_pylist())
+    assert made(rows) == made(chaining._unpacked(packs)) and len(made(rows)) > 500
